@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from recordsearch.functions.text import let
+
 # Weights of the two check digits; the first skips the leading 6.
 CHECK_WEIGHTS = (6, 5, 4, 3, 2, 9, 8, 7, 6, 5, 4, 3, 2)
 
@@ -17,50 +19,63 @@ def _zero_fill(text: Column, width: int) -> Column:
 def only_digits(raw: Column) -> Column:
     """Digits of the text, padded to 14; no digits stay empty."""
     digits = F.regexp_replace(raw.cast("string"), "[^0-9]", "")
-    return F.when(digits == "", digits).otherwise(_zero_fill(digits, 14))
+    return let(digits, lambda d: F.when(d == "", d).otherwise(_zero_fill(d, 14)))
 
 
-def _check_digit(base: Column, weights) -> Column:
+def _weighted(base: Column, weights) -> Column:
+    """Sum of the digits times their weights; missing places count as nothing."""
     total = F.lit(0)
     for place, weight in enumerate(weights, start=1):
-        # Missing places count as nothing, so short text gives no error.
-        digit = F.coalesce(F.substring(base, place, 1).try_cast("int"), F.lit(0))
-        total = total + digit * weight
-    rest = total % 11
-    return F.when(rest < 2, F.lit("0")).otherwise((F.lit(11) - rest).cast("string"))
+        digit = F.substring(base, place, 1).try_cast("int")
+        total = total + F.coalesce(digit, F.lit(0)) * weight
+    return total
+
+
+def _digit(total: Column) -> Column:
+    return let(total % 11, lambda rest: F.when(rest < 2, F.lit(0)).otherwise(F.lit(11) - rest))
 
 
 def check_digits(base: Column) -> Column:
-    """Both check digits of a 12-digit base."""
-    first = _check_digit(base, CHECK_WEIGHTS[1:])
-    second = _check_digit(F.concat(base, first), CHECK_WEIGHTS)
-    return F.concat(first, second)
+    """Both check digits of a 12-digit base.
 
+    The second one also weighs the first, with the last weight.
+    """
+    def both(sums):
+        return let(_digit(sums["one"]), lambda first: F.concat(
+            first.cast("string"),
+            _digit(sums["two"] + first * CHECK_WEIGHTS[12]).cast("string"),
+        ))
 
-def is_valid(raw: Column) -> Column:
-    digits = only_digits(raw)
+    return let(base, lambda b: let(
+        F.struct(_weighted(b, CHECK_WEIGHTS[1:]).alias("one"),
+                 _weighted(b, CHECK_WEIGHTS[:12]).alias("two")),
+        both,
+    ))
+
+
+def _valid_digits(digits: Column) -> Column:
     right = F.substring(digits, 13, 2) == check_digits(F.substring(digits, 1, 12))
     return F.coalesce((F.length(digits) == 14) & right, F.lit(False))
 
 
+def is_valid(raw: Column) -> Column:
+    return let(only_digits(raw), _valid_digits)
+
+
 def masked(raw: Column) -> Column:
     """NN.NNN.NNN/NNNN-NN."""
-    d = only_digits(raw)
-    return F.concat(
-        F.substring(d, 1, 2), F.lit("."), F.substring(d, 3, 3), F.lit("."),
-        F.substring(d, 6, 3), F.lit("/"), F.substring(d, 9, 4), F.lit("-"),
-        F.substring(d, 13, 1 << 20),
+    return F.regexp_replace(
+        only_digits(raw), r"^(\d{2})(\d{3})(\d{3})(\d{4})(\d*)$", r"$1.$2.$3/$4-$5"
     )
 
 
 def parts(raw: Column) -> Column:
     """Struct of base (8), branch (4) and the rest."""
-    d = only_digits(raw)
-    return F.struct(
+    return let(only_digits(raw), lambda d: F.struct(
         F.substring(d, 1, 8).alias("base"),
         F.substring(d, 9, 4).alias("branch"),
         F.substring(d, 13, 1 << 20).alias("check"),
-    )
+    ))
 
 
 def joined(base: Column, branch: Column, check: Column) -> Column:
@@ -73,19 +88,16 @@ def joined(base: Column, branch: Column, check: Column) -> Column:
 
 def clean_tax_ids(df: DataFrame, column: str) -> DataFrame:
     """Add digits, masked form, parts, validity and the outcome of the check."""
-    digits = only_digits(F.col(column))
-    valid = is_valid(F.col("digits"))
+    d = F.col("digits")
     return (
-        df.withColumn("digits", digits)
-        .withColumns({"is_valid": valid, "masked": masked(F.col("digits")),
-                      "parts": parts(F.col("digits"))})
+        df.withColumn("digits", only_digits(F.col(column)))
+        .withColumn("is_valid", let(d, _valid_digits))
         .withColumns({
-            "base": F.col("parts.base"), "branch": F.col("parts.branch"),
-            "check": F.col("parts.check"),
-            "outcome": F.when(F.coalesce(F.col("digits"), F.lit("")) == "", "empty")
-            .when(F.length("digits") > 14, "too_long")
+            "masked": masked(d), "parts": parts(d),
+            "outcome": F.when(F.coalesce(d, F.lit("")) == "", "empty")
+            .when(F.length(d) > 14, "too_long")
             .when(F.col("is_valid"), "valid")
             .otherwise("wrong_check_digits"),
         })
-        .drop("parts")
+        .select("*", "parts.*").drop("parts")
     )

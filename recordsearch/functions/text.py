@@ -87,6 +87,66 @@ class Analysis:
 EXACT = Analysis()
 
 
+def let(value: Column, body) -> Column:
+    """Bind a value once and use it many times in ``body``."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+CHUNK = 32
+LOCATED = "array<struct<token:string,start:int,stop:int>>"
+
+
+def located_tokens(text: Column, token_pattern: str = TOKEN_PATTERN) -> Column:
+    """Every raw token with its 0-based place: array of (token, start, stop).
+
+    The places are running sums over the tokens and the gaps between them.
+    They are summed in chunks, so the work grows with the length of the text
+    and not with its square.
+    """
+    found = F.regexp_extract_all(text, F.lit(token_pattern), F.lit(0))
+    pairs = F.zip_with(
+        F.split(text, token_pattern), found,
+        lambda gap, tok: F.struct(F.length(gap).alias("gap"), tok.alias("tok")),
+    )
+
+    def places(begin, chunk):
+        def step(state, pair):
+            start = state["at"] + pair["gap"]
+            stop = start + F.length(pair["tok"])
+            here = F.struct(pair["tok"].alias("token"), start.alias("start"), stop.alias("stop"))
+            return F.struct(stop.alias("at"), F.concat(state["out"], F.array(here)).alias("out"))
+
+        empty = F.array().cast(LOCATED)
+        first = F.struct(begin.alias("at"), empty.alias("out"))
+        return F.aggregate(chunk, first, step, lambda state: state["out"])
+
+    def by_chunks(all_pairs):
+        # The last piece of the split has no token after it.
+        chunks = F.transform(
+            F.sequence(F.lit(0), F.greatest(F.size(all_pairs) - 2, F.lit(0)), F.lit(CHUNK)),
+            lambda at: F.filter(F.slice(all_pairs, at + 1, CHUNK), lambda p: p["tok"].isNotNull()),
+        )
+
+        def step(done, chunk):
+            width = F.aggregate(
+                chunk, F.lit(0), lambda total, p: total + p["gap"] + F.length(p["tok"])
+            )
+            row = F.struct(
+                (done["at"] + width).alias("at"),
+                F.concat(done["begins"], F.array(done["at"])).alias("begins"),
+            )
+            return row
+
+        def with_begins(parts):
+            first = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("begins"))
+            begins = F.aggregate(parts, first, step, lambda done: done["begins"])
+            return F.flatten(F.zip_with(begins, parts, places))
+
+        return let(chunks, with_begins)
+
+    return let(pairs, by_chunks)
+
+
 def occurrences(spaced: Column, needle: str) -> Column:
     """How often ``needle`` occurs in analysed text, without overlaps."""
     rest = F.replace(spaced, F.lit(needle), F.lit(""))

@@ -8,6 +8,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from recordsearch.operators.skew import spread_join
+
 OPENNESS_LEVELS = ("0", "1", "2", "3")
 SORT_MODES = ("relevance", "descending_date", "ascending_date")
 
@@ -30,8 +32,8 @@ def terms(column: str, values) -> Column | None:
 
 def terms_from(df: DataFrame, column: str, ids: DataFrame, id_column: str) -> DataFrame:
     """The same for a table of values."""
-    wanted = ids.select(F.col(id_column).alias(column))
-    return df.join(wanted, column, "left_semi")
+    wanted = ids.select(F.col(id_column).alias(column)).distinct()
+    return spread_join(df, wanted, [column]).select(*df.columns)
 
 
 def array_any(column: str, values) -> Column | None:

@@ -12,7 +12,7 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from recordsearch.functions.text import EXACT, Analysis
+from recordsearch.functions.text import EXACT, Analysis, let, located_tokens
 from recordsearch.operators.match import Fuzzy, Not, Phrase, Prefix, Word, near, AllOf, AnyOf
 
 SPAN = "array<struct<start:int,stop:int,clause:int>>"
@@ -27,31 +27,6 @@ def positive_leaves(clause) -> list:
     return [clause] if isinstance(clause, (Word, Prefix, Fuzzy, Phrase)) else []
 
 
-def token_spans(text: Column, analysis: Analysis) -> Column:
-    """Every token with its place: array of (token, start, stop), 0-based.
-
-    Built from the pieces between the tokens and the tokens themselves.
-    """
-    gaps = F.split(text, analysis.token_pattern)
-    found = F.regexp_extract_all(text, F.lit(analysis.token_pattern), F.lit(0))
-    pairs = F.zip_with(
-        F.slice(gaps, 1, F.size(found)), found,
-        lambda gap, tok: F.struct(F.length(gap).alias("gap"), tok.alias("tok")),
-    )
-    start = F.struct(
-        F.lit(0).alias("at"),
-        F.array().cast("array<struct<token:string,start:int,stop:int>>").alias("out"),
-    )
-
-    def step(state, pair):
-        begin = state["at"] + pair["gap"]
-        end = begin + F.length(pair["tok"])
-        here = F.struct(pair["tok"].alias("token"), begin.alias("start"), end.alias("stop"))
-        return F.struct(end.alias("at"), F.concat(state["out"], F.array(here)).alias("out"))
-
-    return F.aggregate(pairs, start, step, lambda state: state["out"])
-
-
 def _leaf_spans(leaf, number: int, tokens: Column, analysis: Analysis) -> Column:
     def form(token):
         return analysis.stem(F.lower(token))
@@ -96,10 +71,16 @@ def _leaf_spans(leaf, number: int, tokens: Column, analysis: Analysis) -> Column
 
 def match_spans(text: Column, clause, plain: Analysis = EXACT, exact: Analysis = EXACT) -> Column:
     """Marked stretches of both analyses together, overlaps merged, in order."""
+    def spans_of(numbered, analysis):
+        return lambda tokens: F.concat(*[_leaf_spans(x, n, tokens, analysis) for n, x in numbered])
+
+    marked = list(enumerate(positive_leaves(clause)))
     groups = []
-    for number, leaf in enumerate(positive_leaves(clause)):
-        analysis = exact if isinstance(leaf, Phrase) else plain
-        groups.append(_leaf_spans(leaf, number, token_spans(text, analysis), analysis))
+    for analysis, phrases in ((plain, False), (exact, True)):
+        mine = [(n, x) for n, x in marked if isinstance(x, Phrase) == phrases]
+        if mine:
+            tokens = located_tokens(text, analysis.token_pattern)
+            groups.append(let(tokens, spans_of(mine, analysis)))
     if not groups:
         return F.array().cast(SPAN)
     ordered = F.array_sort(reduce(lambda a, b: F.concat(a, b), groups))

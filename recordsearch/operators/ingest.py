@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from recordsearch.functions.dates import parse_date, parse_iso_datetime
 from recordsearch.operators.filters import with_problems
-from recordsearch.operators.skew import dense_ids
+from recordsearch.operators.skew import dense_ids, lookup
 
 GAZETTE_KEY = ("territory_id", "date", "file_checksum")
 
@@ -47,16 +47,14 @@ def validate_ingest_rows(rows: DataFrame) -> DataFrame:
     })
 
 
-def fk_check(rows: DataFrame, territories: DataFrame, column: str = "territory_id"):
-    """(rows of known territories, rows of unknown ones).
-
-    Both are decided on the distinct ids of the batch, so hot ids do no harm;
-    Spark broadcasts the result when its measured size is small.
-    """
+def fk_check(rows: DataFrame, territories: DataFrame, row_id: str,
+             column: str = "territory_id"):
+    """(rows of known territories, rows of unknown ones)."""
     known = territories.select(F.col(territories.columns[0]).alias(column)).distinct()
+    flagged = lookup(rows, known.withColumn("_known", F.lit(True)), [column], [row_id])
     return (
-        rows.join(known, column, "left_semi").select(*rows.columns),
-        rows.join(known, column, "left_anti").select(*rows.columns),
+        flagged.where(F.col("_known").isNotNull()).select(*rows.columns),
+        flagged.where(F.col("_known").isNull()).select(*rows.columns),
     )
 
 
@@ -79,7 +77,7 @@ def ingest_gazettes(
     accepted = firsts.join(known, "territory_id", "left_semi")
     fresh = accepted.join(target.select(*key), key, "left_anti").select(arrival)
     start = target.select(F.coalesce(F.max("id"), F.lit(0)).alias("m")).scalar()
-    numbered = dense_ids(fresh, arrival, start, "id")
+    numbered = dense_ids(fresh, arrival, start, "id", cuts_from=rows)
 
     refused = (
         rows.select("territory_id").distinct().join(known, "territory_id", "left_anti")
@@ -87,8 +85,7 @@ def ingest_gazettes(
     )
     problem = F.size(errors) > 0 if errors else F.lit(False)
     judged = (
-        rows.join(numbered, arrival, "left")
-        .join(refused, "territory_id", "left")
+        lookup(rows.join(numbered, arrival, "left"), refused, ["territory_id"], [arrival])
         .select(
             arrival,
             F.col("id").alias("gazette_id"),

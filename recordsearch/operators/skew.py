@@ -56,16 +56,18 @@ def spread_join(big: DataFrame, small: DataFrame, keys: list[str], salts: int =
     )
 
 
-def dense_ids(df: DataFrame, order: str, start: Column, name: str, slices: int = 128) -> DataFrame:
-    """Number the rows start+1, start+2, ... in the order of a unique column.
+def dense_ids(df: DataFrame, order: str, start: Column, name: str, slices: int = 128,
+              cuts_from: DataFrame | None = None) -> DataFrame:
+    """Number the rows start+1, start+2, ... in the order of a unique number.
 
-    The column's quantiles cut the rows into slices; each slice is numbered on
+    The column's quantiles (of ``cuts_from``, a cheaper table with the same
+    column, when given) cut the rows into slices; each slice is numbered on
     its own and moved by the count of the slices before it.  Only the slice
     counts (at most ``slices`` rows) meet in one place.
     """
     at = F.col(order).cast("double")
     cuts = (
-        df.select(at.alias("v"))
+        (df if cuts_from is None else cuts_from).select(at.alias("v"))
         .agg(F.percentile_approx("v", [i / slices for i in range(1, slices)], 100 * slices)
              .alias("cuts"))
         .select("cuts")

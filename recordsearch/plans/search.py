@@ -104,7 +104,9 @@ def corpus_stats(corpus: Corpus, clause) -> DataFrame:
 
     def features(forms):
         plain, exact = corpus.pick(forms)
-        out = {"plain_len": token_count(plain), "exact_len": token_count(exact)}
+        out = {f"{side}_len": token_count(form) for side, form in
+               (("plain", plain), ("exact", exact)) if side in _sides(leaves)}
+        out["any"] = F.lit(True)
         for w in plain_words:
             out["plain " + w] = F.contains(plain, F.lit(f" {w} "))
         for w in exact_words:
@@ -114,11 +116,17 @@ def corpus_stats(corpus: Corpus, clause) -> DataFrame:
         return F.struct(*[c.alias(name) for name, c in out.items()])
 
     lines = corpus.docs.select(F.inline(F.transform(F.array(corpus.forms()), features)))
-    sums = [F.count("*").alias("n_docs"), F.avg("plain_len").alias("plain_len"),
-            F.avg("exact_len").alias("exact_len")]
-    sums += [F.count_if(F.col(f"`{c}`")).alias(c) for c in lines.columns
-             if c not in ("plain_len", "exact_len")]
-    return lines.agg(*sums)
+    sums = [
+        F.avg(c).alias(c) if c.endswith("_len") else F.count_if(F.col(f"`{c}`")).alias(c)
+        for c in lines.columns
+    ]
+    return lines.agg(F.count("*").alias("n_docs"), *sums)
+
+
+def _sides(leaves) -> set[str]:
+    """Which analysed lengths the scores of the leaves need."""
+    return {"exact" if isinstance(x, match.Phrase) else "plain"
+            for x in leaves if not rank.is_constant(x)}
 
 
 def _score(clause, frequency, matched, stats: Column, lengths) -> Column:
@@ -184,7 +192,8 @@ def text_hits(corpus: Corpus, rows: DataFrame, clause, scored: bool = True,
         plain, exact = corpus.pick(forms)
         out = [match.condition(clause, matched_in(plain, exact)).alias("_match")]
         if scored:
-            out += [token_count(plain).alias("_plain_len"), token_count(exact).alias("_exact_len")]
+            out += [token_count(form).alias(f"_{side}_len") for side, form in
+                    (("plain", plain), ("exact", exact)) if side in _sides(leaves)]
             for leaf, i in number.items():
                 tf = (F.when(matched_in(plain, exact)(leaf), 1).otherwise(0).cast("long")
                       if leaf in sloppy else match.frequency(leaf, plain, exact))
