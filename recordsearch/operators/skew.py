@@ -73,8 +73,9 @@ def dense_ids(df: DataFrame, order: str, start: Column, name: str, slices: int =
         .select("cuts")
         .scalar()
     )
-    below = F.size(F.filter(F.coalesce(cuts, F.array().cast("array<double>")), lambda c: c < at))
-    sliced = df.withColumn("_slice", below)
+    below = F.size(F.filter("_cuts", lambda c: c < at))
+    sliced = df.withColumn("_cuts", F.coalesce(cuts, F.array().cast("array<double>")))
+    sliced = sliced.withColumn("_slice", below).drop("_cuts")
     counts = sliced.groupBy("_slice").agg(F.count("*").alias("n"))
     before = Window.orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(

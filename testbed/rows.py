@@ -249,8 +249,9 @@ STATS_ROWS = """stats_rows AS (SELECT event_id AS arrival,
   event_id % 7 > 2 AS good FROM events)"""
 
 
-def stats_rows(spark, sf):
-    return t.table(spark, sf, "events").selectExpr(
+def stats_rows(spark, sf, events=None):
+    events = t.table(spark, sf, "events") if events is None else events
+    return events.selectExpr(
         "event_id AS arrival",
         "CASE WHEN event_id % 13 <> 0 THEN event_type END AS spider_name",
         "CAST(user_id AS string) AS job_id",

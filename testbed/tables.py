@@ -359,8 +359,12 @@ JOB_STATS = """job_stats AS (SELECT event_id AS id, event_type AS spider_name,
 
 def ingest_rows(spark, sf_dir):
     """Scraped rows as text: copies, unknown territories, faulty rows."""
+    return ingest_rows_from(documents(spark, sf_dir))
+
+
+def ingest_rows_from(docs):
     number = "CAST(regexp_extract(source, '[0-9]+', 0) AS int)"
-    return documents(spark, sf_dir).selectExpr(
+    return docs.selectExpr(
         "doc_id AS arrival",
         f"CASE WHEN doc_id % 41 = 0 THEN '12345' ELSE lpad(CAST({number} AS string), 7, '0') END AS territory_id",
         "CASE WHEN doc_id % 43 = 0 THEN 'someday' ELSE"
