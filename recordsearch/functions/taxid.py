@@ -24,11 +24,11 @@ def only_digits(raw: Column) -> Column:
 
 def _weighted(base: Column, weights) -> Column:
     """Sum of the digits times their weights; missing places count as nothing."""
-    total = F.lit(0)
-    for place, weight in enumerate(weights, start=1):
-        digit = F.substring(base, place, 1).try_cast("int")
-        total = total + F.coalesce(digit, F.lit(0)) * weight
-    return total
+    products = F.zip_with(
+        F.split(base, ""), F.lit(list(weights)),
+        lambda digit, weight: F.coalesce(digit.try_cast("int") * weight, F.lit(0)),
+    )
+    return F.aggregate(products, F.lit(0), lambda total, product: total + product)
 
 
 def _digit(total: Column) -> Column:

@@ -181,8 +181,7 @@ def fold_quotes(text: Column) -> Column:
 
 def text_or_null(value: Column) -> Column:
     """Empty text and the text "None" become null; other values become text."""
-    text = value.cast("string")
-    return F.when(~text.isin("", "None"), text)
+    return F.nullif(F.nullif(value.cast("string"), F.lit("")), F.lit("None"))
 
 
 def keyword(text: Column, limit: int = 256) -> Column:

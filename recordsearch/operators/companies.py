@@ -45,25 +45,21 @@ def enrich_companies(requests: DataFrame, companies: DataFrame, column: str, row
     """
     asked = request_ids(requests, column, row_id)
     key = ["cnpj_basico", "cnpj_ordem", "cnpj_dv"]
+    # Invalid ids lose their key here, so they cannot meet a company.
+    asked = asked.withColumn("cnpj_basico", F.when(F.col("is_valid"), F.col("cnpj_basico")))
     wanted = asked.where("is_valid").select(*key).distinct()
     named = companies.select(
-        *[F.col(c).alias(k) for c, k in zip(COMPANY_KEYS, key)], *COMPANY_ATTRIBUTES
-    )
-    hits = (
-        named.join(wanted, key, "left_semi")
-        .groupBy(*key).agg(F.min(F.struct(*COMPANY_ATTRIBUTES)).alias("c"))
-        .select(*key, "c.*", F.lit(True).alias("_found"))
+        *[F.col(c).alias(k) for c, k in zip(COMPANY_KEYS, key)],
+        F.struct(*COMPANY_ATTRIBUTES).alias("c"),
     )
+    hits = named.join(wanted, key, "left_semi").groupBy(*key).agg(F.min("c").alias("c"))
     joined = lookup(asked, hits, key, [row_id])
-    status = (
-        F.when(~F.col("is_valid"), "invalid")
-        .when(F.col("_found") & F.col("is_valid"), "found")
-        .otherwise("not_found")
-    )
-    blank = [c for c in (*ID_COLUMNS, *COMPANY_ATTRIBUTES)]
-    found = F.col("status") == "found"
-    return company_record(joined.withColumn("status", status), (row_id, column, "status")).select(
-        row_id, column, "status", *[F.when(found, F.col(c)).alias(c) for c in blank]
+    found = F.col("c").isNotNull()
+    status = F.when(~F.col("is_valid"), "invalid").when(found, "found").otherwise("not_found")
+    return joined.select(
+        row_id, column, status.alias("status"),
+        *[F.when(found, F.col(c)).alias(c) for c in ID_COLUMNS],
+        *[text_or_null(F.col(f"c.{c}")).alias(c) for c in COMPANY_ATTRIBUTES],
     )
 
 

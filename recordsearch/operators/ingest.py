@@ -58,16 +58,13 @@ def fk_check(rows: DataFrame, territories: DataFrame, row_id: str,
     )
 
 
-def ingest_gazettes(
-    target: DataFrame, rows: DataFrame, territories: DataFrame, arrival: str,
-    now: Column | None = None, errors: str | None = None,
-) -> tuple[DataFrame, DataFrame]:
-    """Idempotent insert; returns (new rows with ids, status of every input row).
+def judge_rows(target: DataFrame, rows: DataFrame, territories: DataFrame, arrival: str,
+               errors: str | None = None) -> DataFrame:
+    """Status of every row, with the id of the created ones.
 
     Unique on territory, date and checksum: the first arrival of a new key is
     created, all others are duplicates.  Rows with entries in the ``errors``
-    column are invalid; rows of unknown territories are refused.  Appending
-    the new rows to the target gives the next snapshot.
+    column are invalid; rows of unknown territories are refused.
     """
     key = list(GAZETTE_KEY)
     sound = rows.where(F.size(errors) == 0) if errors else rows
@@ -77,32 +74,40 @@ def ingest_gazettes(
     accepted = firsts.join(known, "territory_id", "left_semi")
     fresh = accepted.join(target.select(*key), key, "left_anti").select(arrival)
     start = target.select(F.coalesce(F.max("id"), F.lit(0)).alias("m")).scalar()
-    numbered = dense_ids(fresh, arrival, start, "id", cuts_from=rows)
+    numbered = dense_ids(fresh, arrival, start, "gazette_id", cuts_from=rows)
 
-    refused = (
-        rows.select("territory_id").distinct().join(known, "territory_id", "left_anti")
-        .withColumn("_unknown", F.lit(True))
-    )
     problem = F.size(errors) > 0 if errors else F.lit(False)
-    judged = (
-        lookup(rows.join(numbered, arrival, "left"), refused, ["territory_id"], [arrival])
-        .select(
-            arrival,
-            F.col("id").alias("gazette_id"),
-            F.when(problem, "invalid")
-            .when(F.col("_unknown"), "unknown_territory")
-            .when(F.col("id").isNotNull(), "created")
-            .otherwise("duplicate")
-            .alias("status"),
-        )
+    narrow = rows.select(arrival, "territory_id", problem.alias("_problem"))
+    flagged = lookup(narrow, known.withColumn("_known", F.lit(True)), ["territory_id"], [arrival])
+    status = (
+        F.when(F.col("_problem"), "invalid")
+        .when(F.col("_known").isNull(), "unknown_territory")
+        .when(F.col("gazette_id").isNotNull(), "created")
+        .otherwise("duplicate")
     )
-    wanted = [c for c in rows.columns if c not in ("id", "created_at", "processed", errors)]
-    created = (
-        rows.select(*wanted)
-        .join(numbered, arrival)
-        .withColumns({
-            "created_at": F.localtimestamp() if now is None else now,
-            "processed": F.lit(False),
-        })
+    return flagged.join(numbered, arrival, "left").select(
+        arrival, "gazette_id", status.alias("status")
     )
-    return created, judged
+
+
+def created_rows(rows: DataFrame, judged: DataFrame, arrival: str, now: Column | None = None,
+                 errors: str | None = None) -> DataFrame:
+    """The rows to append: those judged created, with id, time and flag."""
+    wanted = [c for c in rows.columns if c not in ("id", "created_at", "processed", errors)]
+    ids = judged.where("status = 'created'").select(arrival, F.col("gazette_id").alias("id"))
+    return rows.select(*wanted).join(ids, arrival).withColumns({
+        "created_at": F.localtimestamp() if now is None else now,
+        "processed": F.lit(False),
+    })
+
+
+def ingest_gazettes(
+    target: DataFrame, rows: DataFrame, territories: DataFrame, arrival: str,
+    now: Column | None = None, errors: str | None = None,
+) -> tuple[DataFrame, DataFrame]:
+    """Idempotent insert; returns (new rows with ids, status of every input row).
+
+    Appending the new rows to the target gives the next snapshot.
+    """
+    judged = judge_rows(target, rows, territories, arrival, errors)
+    return created_rows(rows, judged, arrival, now, errors), judged

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, replace
 from datetime import date, datetime
-from typing import NamedTuple
+from functools import cached_property
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -79,11 +79,16 @@ class Corpus:
         return forms["plain"], forms["plain" if one else "exact"]
 
 
-class Found(NamedTuple):
+class Found:
     """Lazy parts of a search: the page and the exact number of hits."""
 
-    page: DataFrame
-    total: DataFrame
+    def __init__(self, page: DataFrame, hits):
+        self.page = page
+        self._hits = hits
+
+    @cached_property
+    def total(self) -> DataFrame:
+        return page.total_hits(self._hits())
 
 
 def clause_of(querystring, corpus: Corpus):
@@ -244,12 +249,13 @@ def search_gazettes(corpus: Corpus, request: SearchRequest, store: FileStore = F
                     keep: tuple[str, ...] = ()) -> Found:
     """Filters, text, relevance or date order, page, excerpts and result rows."""
     hits, clause = gazette_hits(corpus, request, stats)
-    counted, _ = gazette_hits(corpus, replace(request, sort_by="descending_date"))
     order = page.sort_columns(request.sort_by, corpus.date, ties=(corpus.territory, corpus.key))
     rows = page.paginate(hits, order, request.offset, request.size)
     rows = rows.withColumn("excerpts", _excerpts(corpus, clause, request))
+    unscored = replace(request, sort_by="descending_date")
     return Found(
-        results.gazette_result(rows, store, public, keep), page.total_hits(counted)
+        results.gazette_result(rows, store, public, keep),
+        lambda: gazette_hits(corpus, unscored)[0],
     )
 
 
@@ -296,11 +302,14 @@ def search_excerpts(corpus: Corpus, request: ThemeRequest, store: FileStore = Fi
                     keep: tuple[str, ...] = ()) -> Found:
     """Theme search: boosts added to relevance; the text is the first highlight."""
     hits, clause = excerpt_hits(corpus, request, stats)
-    counted, _ = excerpt_hits(corpus, replace(request, sort_by="descending_date"))
     order = page.sort_columns(request.sort_by, corpus.date, ties=(corpus.territory, corpus.key))
     rows = page.paginate(hits, order, request.offset, request.size)
     rows = rows.withColumn("excerpts", _excerpts(corpus, clause, request))
-    return Found(results.excerpt_result(rows, store, public, keep), page.total_hits(counted))
+    unscored = replace(request, sort_by="descending_date")
+    return Found(
+        results.excerpt_result(rows, store, public, keep),
+        lambda: excerpt_hits(corpus, unscored)[0],
+    )
 
 
 def excerpt_corpus(excerpts: DataFrame, **options) -> Corpus:

@@ -7,7 +7,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql import functions as F
 
-from recordsearch.operators.ingest import ingest_gazettes, validate_ingest_rows
+from recordsearch.operators.ingest import (
+    GAZETTE_KEY, created_rows, judge_rows, validate_ingest_rows,
+)
 from recordsearch.operators.jobstats import append_job_stats, validate_stats_rows
 
 
@@ -22,23 +24,37 @@ def _stored(spark: SparkSession, path: str, schema: str) -> DataFrame:
         raise
 
 
+def _finished(spark: SparkSession, path: str) -> bool:
+    """Whether a folder was written to the end."""
+    jvm = spark.sparkContext._jvm
+    mark = jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    return mark.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(mark)
+
+
 def stream_ingest_gazettes(
     rows: DataFrame, territories: DataFrame, target: str, statuses: str, checkpoint: str,
     schema: str, arrival: str = "arrival",
 ) -> StreamingQuery:
     """Idempotent insert of a stream of rows into a Parquet table.
 
-    New rows go to ``target``; every batch writes the status of its rows to
-    its own folder below ``statuses``, which a repeated batch overwrites.
+    Every batch first writes the status of its rows to its own folder below
+    ``statuses`` and then appends the created ones to ``target``.  A batch
+    that is run again keeps the statuses it has written and appends only what
+    the target still lacks.
     """
     def load(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
         checked = validate_ingest_rows(batch)
         stored = _stored(spark, target, schema)
-        created, judged = ingest_gazettes(stored, checked, territories, arrival, errors="errors")
-        judged.write.mode("overwrite").parquet(f"{statuses}/batch={number}")
-        names = stored.columns
-        created.select(*[F.col(c) for c in names]).write.mode("append").parquet(target)
+        folder = f"{statuses}/batch={number}"
+        again = _finished(spark, folder)
+        if not again:
+            judge_rows(stored, checked, territories, arrival, "errors").write.mode(
+                "overwrite").parquet(folder)
+        created = created_rows(checked, spark.read.parquet(folder), arrival, errors="errors")
+        if again:
+            created = created.join(stored.select(*GAZETTE_KEY), list(GAZETTE_KEY), "left_anti")
+        created.select(*stored.columns).write.mode("append").parquet(target)
 
     return (
         rows.writeStream.foreachBatch(load).option("checkpointLocation", checkpoint)

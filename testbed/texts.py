@@ -453,8 +453,11 @@ cuts AS (SELECT *, greatest(p - 45, 0) AS b0, least(greatest(p - 45, 0) + 100, l
 frames AS (SELECT *, least(b0, greatest(e - 100, 0)) AS b FROM cuts)"""
 
 
-@query("highlight", """SELECT id, md5(text[b+1:p] || '<b>' || text[p+1:p+9] || '</b>' || text[p+10:e]) AS digest
-  FROM frames""", LINE, FIRST_AT)
+TAGGED = "regexp_replace({}, '(?i)([^\\p{{L}}\\p{{N}}>]|^)(thanedble)([^\\p{{L}}\\p{{N}}]|$)', '\\1<b>\\2</b>\\3', 'g')"
+
+
+@query("highlight", f"SELECT id, md5({TAGGED.format(TAGGED.format('text[b+1:e]'))}) AS digest FROM frames",
+       LINE, FIRST_AT)
 def highlight_query(spark, sf):
     c = corpus(spark, sf)
     clause = clause_of("thanedble", c)
