@@ -30,10 +30,11 @@ def terms(column: str, values) -> Column | None:
     return F.col(column).isin(*values) if values else None
 
 
-def terms_from(df: DataFrame, column: str, ids: DataFrame, id_column: str) -> DataFrame:
-    """The same for a table of values."""
+def terms_from(df: DataFrame, column: str, ids: DataFrame, id_column: str,
+               row_id: list[str] | None = None) -> DataFrame:
+    """The same for a table of values; ``row_id`` spreads values with very many rows."""
     wanted = ids.select(F.col(id_column).alias(column)).distinct()
-    return spread_join(df, wanted, [column]).select(*df.columns)
+    return spread_join(df, wanted, [column], row_id=row_id).select(*df.columns)
 
 
 def array_any(column: str, values) -> Column | None:

@@ -59,12 +59,13 @@ def fk_check(rows: DataFrame, territories: DataFrame, row_id: str,
 
 
 def judge_rows(target: DataFrame, rows: DataFrame, territories: DataFrame, arrival: str,
-               errors: str | None = None) -> DataFrame:
+               errors: str | None = None, last_id: Column | None = None) -> DataFrame:
     """Status of every row, with the id of the created ones.
 
     Unique on territory, date and checksum: the first arrival of a new key is
     created, all others are duplicates.  Rows with entries in the ``errors``
-    column are invalid; rows of unknown territories are refused.
+    column are invalid; rows of unknown territories are refused.  ``last_id``
+    is the highest id in use, when the caller knows it.
     """
     key = list(GAZETTE_KEY)
     sound = rows.where(F.size(errors) == 0) if errors else rows
@@ -72,8 +73,15 @@ def judge_rows(target: DataFrame, rows: DataFrame, territories: DataFrame, arriv
     # One row per key from here on.
     known = territories.select(F.col(territories.columns[0]).alias("territory_id")).distinct()
     accepted = firsts.join(known, "territory_id", "left_semi")
-    fresh = accepted.join(target.select(*key), key, "left_anti").select(arrival)
-    start = target.select(F.coalesce(F.max("id"), F.lit(0)).alias("m")).scalar()
+    # Only the target's rows of the batch's days are read, and of these only
+    # keys that occur in the batch go on.
+    days = rows.agg(F.struct(F.min("date").alias("lo"), F.max("date").alias("hi")).alias("d")).scalar()
+    near = target.select(*key).where(F.col("date").between(days["lo"], days["hi"]))
+    seen = near.join(accepted.select(*key), key, "left_semi")
+    fresh = accepted.join(seen, key, "left_anti").select(arrival)
+    start = last_id
+    if start is None:
+        start = target.select(F.coalesce(F.max("id"), F.lit(0)).alias("m")).scalar()
     numbered = dense_ids(fresh, arrival, start, "gazette_id", cuts_from=rows)
 
     problem = F.size(errors) > 0 if errors else F.lit(False)

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from recordsearch.functions.text import EXACT, Analysis, let, located_tokens, token_count
 from recordsearch.operators import rank
 from recordsearch.operators.page import topk_per_group
-from recordsearch.operators.skew import spread_join
+from recordsearch.operators.skew import SALTS, lookup, spread_join
 
 
 def analyze_tokens(df: DataFrame, text: str, analyses: dict[str, Analysis]) -> DataFrame:
@@ -91,8 +91,13 @@ def normalize_vocabulary(postings: DataFrame, dictionary: DataFrame | None = Non
 
 
 def apply_vocabulary(postings: DataFrame, vocabulary: DataFrame) -> DataFrame:
-    """Postings with their normal forms in place of the tokens."""
-    joined = spread_join(postings, vocabulary, ["token"])
+    """Postings with their normal forms in place of the tokens.
+
+    Only the rows of very frequent tokens are spread, as the vocabulary is too
+    large to be repeated as a whole.
+    """
+    spot = [c for c in postings.columns if c != "token"]
+    joined = lookup(postings, vocabulary, ["token"], spot)
     return joined.withColumn("token", F.col("norm")).drop("norm").select(*postings.columns)
 
 
@@ -141,13 +146,14 @@ def expand_fuzzy(vocabulary: DataFrame, terms: DataFrame, edits: int = 1) -> Dat
     )
 
 
-def search_postings(postings: DataFrame, query_terms: DataFrame) -> DataFrame:
+def search_postings(postings: DataFrame, query_terms: DataFrame, salts: int = SALTS) -> DataFrame:
     """Match query terms to documents: postings joined to terms on the token.
 
     Frequent tokens are spread over salted parts.  When Spark finds the terms
-    small it sends them to the postings instead and nothing is shuffled.
+    small it sends them to the postings instead and nothing is shuffled.  With
+    ``salts=1`` postings stored by token stay where they are.
     """
-    return spread_join(postings, query_terms, ["token"])
+    return spread_join(postings, query_terms, ["token"], salts)
 
 
 def match_phrases(postings: DataFrame, key: str, phrase_terms: DataFrame) -> DataFrame:

@@ -41,13 +41,18 @@ def lookup(df: DataFrame, table: DataFrame, keys: list[str], row_id: list[str])
     return left.join(right, keys + ["_salt"], "left").drop("_salt")
 
 
-def spread_join(big: DataFrame, small: DataFrame, keys: list[str], salts: int = SALTS) -> DataFrame:
+def spread_join(big: DataFrame, small: DataFrame, keys: list[str], salts: int = SALTS,
+                row_id: list[str] | None = None) -> DataFrame:
     """Inner join of a large table to a much smaller one on keys that may be hot.
 
     The small side is repeated once per salt.  The salt is the hash of the
-    whole big row, so it needs no second pass over the big side.
+    row's id (of the whole row without one), so it needs no second pass over
+    the big side.  One salt is a plain join, which keeps a stored bucket
+    layout of the big side; hot keys are then left to adaptive execution.
     """
-    own = F.pmod(F.xxhash64(*[F.col(c) for c in big.columns]), F.lit(salts)).cast("int")
+    if salts == 1:
+        return big.join(small, keys)
+    own = F.pmod(F.xxhash64(*[F.col(c) for c in row_id or big.columns]), F.lit(salts)).cast("int")
     every = F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))
     return (
         big.withColumn("_salt", own)

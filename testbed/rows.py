@@ -99,7 +99,7 @@ def filter_terms(spark, sf):
   WHERE territory_id IN (SELECT id FROM territories)""", t.GAZETTES, t.TERRITORIES)
 def filter_terms_table(spark, sf):
     narrow = t.gazettes(spark, sf).select("id", "territory_id")
-    return filters.terms_from(narrow, "territory_id", t.territories(spark, sf), "id")
+    return filters.terms_from(narrow, "territory_id", t.territories(spark, sf), "id", ["id"])
 
 
 @query("filter_array_any", """SELECT excerpt_id FROM excerpts
