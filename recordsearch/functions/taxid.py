@@ -22,17 +22,18 @@ def only_digits(raw: Column) -> Column:
     return let(digits, lambda d: F.when(d == "", d).otherwise(_zero_fill(d, 14)))
 
 
-def _weighted(base: Column, weights) -> Column:
-    """Sum of the digits times their weights; missing places count as nothing."""
-    products = F.zip_with(
-        F.split(base, ""), F.lit(list(weights)),
-        lambda digit, weight: F.coalesce(digit.try_cast("int") * weight, F.lit(0)),
-    )
-    return F.aggregate(products, F.lit(0), lambda total, product: total + product)
+def _weighted(number: Column, weights) -> Column:
+    """Sum of the twelve digits of a number times their weights."""
+    total = None
+    for place, weight in enumerate(reversed(weights)):
+        digit = F.call_function("div", number, F.lit(10**place)) % 10
+        total = digit * weight if total is None else total + digit * weight
+    return total
 
 
 def _digit(total: Column) -> Column:
-    return let(total % 11, lambda rest: F.when(rest < 2, F.lit(0)).otherwise(F.lit(11) - rest))
+    """11 minus the remainder; remainders 0 and 1 give 0."""
+    return (F.lit(11) - total % 11) % 11 % 10
 
 
 def check_digits(base: Column) -> Column:
@@ -40,17 +41,12 @@ def check_digits(base: Column) -> Column:
 
     The second one also weighs the first, with the last weight.
     """
-    def both(sums):
-        return let(_digit(sums["one"]), lambda first: F.concat(
-            first.cast("string"),
-            _digit(sums["two"] + first * CHECK_WEIGHTS[12]).cast("string"),
-        ))
-
-    return let(base, lambda b: let(
-        F.struct(_weighted(b, CHECK_WEIGHTS[1:]).alias("one"),
-                 _weighted(b, CHECK_WEIGHTS[:12]).alias("two")),
-        both,
-    ))
+    def both(number):
+        first = _digit(_weighted(number, CHECK_WEIGHTS[1:]))
+        second = _digit(_weighted(number, CHECK_WEIGHTS[:12]) + first * CHECK_WEIGHTS[12])
+        return (first * 10 + second).cast("string")
+
+    return F.lpad(let(base.try_cast("bigint"), both), 2, "0")
 
 
 def _valid_digits(digits: Column) -> Column:
