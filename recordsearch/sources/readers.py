@@ -78,7 +78,10 @@ def spread_small_input(df: DataFrame, key: str, limit_bytes: int = 1 << 30) -> D
     itself estimates below the limit are moved; large ones stay in place.
     """
     spark = df.sparkSession
-    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    try:
+        size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    except AttributeError:  # remote sessions give no estimate
+        return df
     if int(str(size)) > limit_bytes:
         return df
     return df.repartition(2 * spark.sparkContext.defaultParallelism, key)
