@@ -6,6 +6,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from testbed import registry
 
 FOLDER = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 TABLES = ("region nation customer supplier part orders lineitem events documents embeddings pages "
@@ -37,7 +38,7 @@ def lines(columns, rows):
     return columns, sorted(tuple(map(plain, r)) for r in rows)
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()))
+@pytest.mark.parametrize("name", sorted(registry.QUERIES))
 def test_query(spark, duck, name):
     found = entry.queries()[name](spark, FOLDER)
     columns = sorted(found.columns)
@@ -53,4 +54,4 @@ def test_query(spark, duck, name):
 
 
 def test_only_excerpt_layouts_lack_sql():
-    assert set(entry.queries()) - set(entry.oracle_sql()) == {"highlight_merged", "highlight_tags_cycle"}
+    assert set(registry.QUERIES) - set(registry.SQL) == {"highlight_merged", "highlight_tags_cycle"}
