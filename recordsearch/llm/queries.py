@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from recordsearch.llm import mixing
+from recordsearch.llm import mixing, pii
 
 QUERIES = {
+    "op7_pii": pii.op7_pii,
     "op8_mix_sources": mixing.op8_mix_sources,
 }
 SQL = {
