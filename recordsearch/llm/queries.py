@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from recordsearch.llm import mixing, pii
+from recordsearch.llm import language, mixing, pii
 
 QUERIES = {
+    "op4_language_id": language.op4_language_id,
     "op7_pii": pii.op7_pii,
     "op8_mix_sources": mixing.op8_mix_sources,
 }
