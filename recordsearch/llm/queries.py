@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from recordsearch.llm import language, mixing, pii
+from recordsearch.llm import language, mixing, pii, warc
 
 QUERIES = {
+    "op6_capture_index": warc.op6_capture_index,
     "op4_language_id": language.op4_language_id,
     "op7_pii": pii.op7_pii,
     "op8_mix_sources": mixing.op8_mix_sources,
 }
 SQL = {
+    "op6_capture_index": warc.SQL,
     "op8_mix_sources": mixing.SQL,
 }
