@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from recordsearch.llm import language, mixing, pii, warc
+from recordsearch.llm import language, mixing, mtree, pii, warc
 
 QUERIES = {
+    "op3_mtree_top5": mtree.op3_mtree_top5,
     "op6_capture_index": warc.op6_capture_index,
     "op4_language_id": language.op4_language_id,
     "op7_pii": pii.op7_pii,
     "op8_mix_sources": mixing.op8_mix_sources,
 }
 SQL = {
+    "op3_mtree_top5": mtree.SQL,
     "op6_capture_index": warc.SQL,
     "op8_mix_sources": mixing.SQL,
 }
