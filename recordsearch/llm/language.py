@@ -6,6 +6,7 @@ from functools import cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -142,12 +143,12 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray] | None, text: s
     shared = docs.sparkSession.sparkContext.broadcast(matrix)
     fields = docs.select(*keep).schema
     schema = fields.add("lang_pred", "string").add("score", "double")
-    source = docs.select(*keep, F.col(text).alias("__text"))
+    source = docs.select(F.struct(*keep).alias("own"), F.col(text).alias("text"))
 
     def score(batches):
         weights = shared.value
         for batch in batches:
-            texts = [t if isinstance(t, str) else "" for t in batch["__text"]]
+            texts = [t or "" for t in batch.column("text").to_pylist()]
             best, sure = np.full(len(texts), UNKNOWN, dtype=object), np.zeros(len(texts))
             for group in slices(texts) if langs else []:
                 found, sizes = features([texts[i] for i in group], len(weights) - 1)
@@ -160,10 +161,10 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray] | None, text: s
                 at = np.asarray(group)[used]
                 best[at] = np.asarray(langs, dtype=object)[top]
                 sure[at] = 1 / np.exp(sums - sums.max(axis=1, keepdims=True)).sum(axis=1)
-            out = batch.drop(columns="__text")
-            yield out.assign(lang_pred=best, score=sure)
+            yield pa.RecordBatch.from_arrays(
+                [*batch.column("own").flatten(), pa.array(best, pa.string()), pa.array(sure)], names=schema.names)
 
-    return source.mapInPandas(score, schema)
+    return source.mapInArrow(score, schema)
 
 
 def op4_language_id(spark, sf_dir) -> DataFrame:

@@ -12,6 +12,7 @@ import zlib
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -263,8 +264,8 @@ def score(docs: DataFrame, model: dict, keep: tuple[str, ...] = ("doc_id",)) ->
     def run(batches):
         models = shared.value
         for batch in batches:
-            logits = {t: np.zeros((len(batch), 2)) for t in TARGETS}
-            for part, view, own, feature in _views(batch):
+            logits = {t: np.zeros((batch.num_rows, 2)) for t in TARGETS}
+            for part, view, own, feature in _views(batch.select(["text", "lang", "source"]).to_pandas()):
                 for t in TARGETS:
                     if isinstance(models[t], float):
                         continue
@@ -274,20 +275,16 @@ def score(docs: DataFrame, model: dict, keep: tuple[str, ...] = ("doc_id",)) ->
                     raw = np.bincount(own[hit], views[view].weights[at[hit]], minlength=n) if len(names[view]) else np.zeros(n)
                     m = views[view]
                     logits[t][part, view] = np.clip((raw + m.bias) * m.scale + m.shift, -12, 12)
-            out = batch["own"] if isinstance(batch["own"], pd.DataFrame) else pd.DataFrame(list(batch["own"]), columns=list(keep))
-            scores = {}
+            scores = []
             for t in TARGETS:
                 if isinstance(models[t], float):
-                    scores[f"{t}_score"] = np.full(len(batch), models[t])
+                    scores.append(np.full(batch.num_rows, models[t]))
                 else:
                     both = models[t][2]
-                    scores[f"{t}_score"] = _sigmoid(np.clip(logits[t] @ both.weights + both.bias, -30, 30))
-            out = out.reset_index(drop=True)
-            for k, v in scores.items():
-                out[f"{k}"] = v
-            yield out
+                    scores.append(_sigmoid(np.clip(logits[t] @ both.weights + both.bias, -30, 30)))
+            yield pa.RecordBatch.from_arrays([*batch.column("own").flatten(), *map(pa.array, scores)], names=schema.names)
 
-    return source.mapInPandas(run, schema)
+    return source.mapInArrow(run, schema)
 
 
 def classify(docs: DataFrame, labels: DataFrame, keep: tuple[str, ...] = ("doc_id",), least_quality: float = 0.5,

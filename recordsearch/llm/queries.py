@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from recordsearch.llm import html, language, mixing, mtree, pii, quality, warc
+from recordsearch.llm import decontaminate, html, language, mixing, mtree, pii, quality, warc
 
 QUERIES = {
+    "op2_decontamination": decontaminate.op2_decontamination,
     "op1_quality": quality.op1_quality,
     "op10_page_text": html.op10_page_text,
     "op3_mtree_top5": mtree.op3_mtree_top5,
