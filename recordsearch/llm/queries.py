@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from recordsearch.llm import decontaminate, html, language, mixing, mtree, neardup, pii, quality, warc
+from recordsearch.llm import decontaminate, html, language, mixing, mtree, neardup, pii, quality, repeats, warc
 
 QUERIES = {
+    "op5_repeated_passages": repeats.op5_repeated_passages,
     "op9_near_duplicates": neardup.op9_near_duplicates,
     "op2_decontamination": decontaminate.op2_decontamination,
     "op1_quality": quality.op1_quality,
