@@ -44,6 +44,11 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def parts(df: DataFrame) -> int:
+    """Tasks of a shuffle; given as a number, small rows that mean much work are not put together."""
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
 def word_count(text: Column) -> Column:
     """Number of words; null counts as no word."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
@@ -59,10 +64,9 @@ def attach(left: DataFrame, right: DataFrame, key: str, spread: str, weight: str
     ``spread`` instead.  ``right`` should be checkpointed: it is read twice.
     ``weight`` is not in the result.
     """
-    parts = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     names = [c for c in right.columns if c not in (key, weight)]
     total = right.agg(F.coalesce(F.sum(weight), F.lit(0)).alias("n")).first()["n"]
-    limit = max(total // parts, 1)
+    limit = max(total // parts(left), 1)
     packed = right.select(key, weight, F.struct(*names).alias("_v"))
     hot = packed.where(F.col(weight) > limit).select(F.col(key), F.col("_v").alias("_hot"))
     cold = packed.where(F.col(weight) <= limit).select(

@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from recordsearch.llm.common import attach, checkpointed
+from recordsearch.llm.common import attach, checkpointed, parts as tasks
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript template iframe xmp noembed".split())
@@ -242,7 +242,7 @@ def neighbour_lines(parsed: DataFrame) -> DataFrame:
         F.min(F.struct("host", "path")).alias("at"), F.any_value("lines").alias("lines"), F.count("*").alias("n"))
     order = ["host", "path", "digest"]
     sorted_ = checkpointed(
-        distinct.select("at.host", "at.path", "digest", "lines", "n").repartitionByRange(*order)
+        distinct.select("at.host", "at.path", "digest", "lines", "n").repartitionByRange(tasks(parsed), *order)
         .sortWithinPartitions(*order).withColumn("part", F.spark_partition_id()))
     key = F.struct(*order)
     page = F.struct("host", "path", "lines")

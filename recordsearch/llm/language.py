@@ -16,7 +16,7 @@ FEATURES = 1 << 16
 MOST_LANGUAGES = 1000
 SAMPLE = 2000
 UNKNOWN = "und"
-_SLICE = 1 << 20
+_SLICE = 1 << 18
 
 
 @cache
@@ -70,7 +70,7 @@ def features(texts: list[str], n_features: int = FEATURES) -> tuple[np.ndarray,
 
 
 def slices(texts: list[str]) -> list[list[int]]:
-    """Positions of the texts in groups of about a million characters (a longer text is alone)."""
+    """Positions of the texts in groups of about a quarter of a million characters (a longer text is alone)."""
     groups, size = [[]], 0
     for i, text in enumerate(texts):
         if groups[-1] and size + len(text) > _SLICE:

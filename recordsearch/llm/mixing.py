@@ -39,7 +39,7 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (5, 2, 1),
 
 
 def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source",
-        weights: tuple[int, ...] = (5, 2, 1), most: int = 3) -> DataFrame:
+        weights: tuple[int, ...] = (5, 2, 1), most: int = 3, keep: tuple[str, ...] = ()) -> DataFrame:
     """Words that the mix takes of each document.
 
     Each document gets a hash-random key (md5 of its id).  Within a source the
@@ -49,19 +49,25 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str
     of every document, the last, partial one up to the cut; the document at
     the cut is taken in part, so a source's words equal its budget.
 
-    Result: doc_id, source, size, source_size, target, taken, a row per row.
+    Result: doc_id, source, size, source_size, target, taken, a row per row;
+    with ``keep``, a struct ``kept`` of these columns, too, which are shuffled
+    once and never stored.
     Null text has size 0; null source is a source of its own, after all others;
     null ids share one key.  Repeated rows are documents of their own (equal
     key, ordered by size).  An empty table gives an empty result.  Columns
     other than the three named play no part.
     """
     key = F.md5(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary"))
-    rows = checkpointed(docs.select(
-        F.col(doc_id).alias("doc_id"), F.col(source).alias("source"),
-        F.when(F.col(source).isNull(), F.lit("t"))  # after every "s..."
-        .otherwise(F.concat(F.lit("s"), F.col(source).cast("string"))).alias("src"),
-        word_count(F.col(text)).alias("size"), key.alias("key"),
-    ))
+
+    def keyed(*more):
+        return docs.select(
+            F.col(doc_id).alias("doc_id"), F.col(source).alias("source"),
+            F.when(F.col(source).isNull(), F.lit("t"))  # after every "s..."
+            .otherwise(F.concat(F.lit("s"), F.col(source).cast("string"))).alias("src"),
+            word_count(F.col(text)).alias("size"), key.alias("key"), *more)
+
+    rows = checkpointed(keyed())
+    whole = keyed(F.struct(*keep).alias("kept")) if keep else rows
     part = F.substring("key", 1, RANGE_DIGITS)
     ranges = checkpointed(rows.groupBy("src", part.alias("part")).agg(F.sum("size").alias("n")))
     targets = source_targets(ranges.groupBy("src").agg(F.sum("n").alias("source_size")),
@@ -80,29 +86,17 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str
               .rowsBetween(Window.unboundedPreceding, -1))
     last = F.greatest(F.lit(0), F.least(F.col("size"), F.col("left") - F.col("start")))
     return (
-        rows.withColumn("part", part).join(offsets, ["src", "part"])
+        whole.withColumn("part", part).join(offsets, ["src", "part"])
         .withColumn("start", F.col("before") + F.coalesce(F.sum("size").over(inside), F.lit(0)))
         .select("doc_id", "source", "size", "source_size", "target",
-                (F.col("epochs") * F.col("size") + last).cast("long").alias("taken"))
+                (F.col("epochs") * F.col("size") + last).cast("long").alias("taken"), *(["kept"] if keep else []))
     )
 
 
 def mixed(docs: DataFrame, **options) -> DataFrame:
-    """The documents of the mix: every column, and ``taken``; those not taken go.
-
-    A document row is found again by id and size; where an id is repeated with
-    equal sizes, the words are taken from the rows in turn.
-    """
-    own = docs.withColumn("_size", word_count(F.col("text")))
-    at = Window.partitionBy("doc_id", "_size").orderBy("source", "text")
-    own = own.withColumn("_n", F.row_number().over(at))
-    took = mix(docs, **options).select("doc_id", F.col("size").alias("_size"), "source", "taken")
-    took = took.withColumn("_n", F.row_number().over(
-        Window.partitionBy("doc_id", "_size").orderBy("source", F.desc("taken"))))
-    took = took.where("taken > 0").drop("source")
-    same = F.expr("o.doc_id <=> t.doc_id AND o._size = t._size AND o._n = t._n")
-    return own.alias("o").join(took.alias("t"), same).select(
-        *[F.col(f"o.`{c}`") for c in docs.columns], F.col("t.taken"))
+    """The documents of the mix: every column, and ``taken``; those of which no word is taken go."""
+    took = mix(docs, keep=tuple(docs.columns), **options).where("taken > 0")
+    return took.select(*[F.col("kept")[c].alias(c) for c in docs.columns], "taken")
 
 
 SQL = r"""

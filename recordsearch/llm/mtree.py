@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Entries of a page; children of an inner node; rows of one tree; queries of one block.
-PAGE, FAN, TREE_ROWS, BLOCK = 128, 16, 4096, 4096
+PAGE, FAN, TREE_ROWS, BLOCK = 512, 8, 4096, 4096
 
 
 def usable(vector: Column) -> Column:
@@ -26,14 +26,17 @@ def usable(vector: Column) -> Column:
 class Node:
     """A page: entries of a leaf or child nodes, each with its distance to this page's routing point.
 
-    ``router`` is a row number, ``radius`` covers every point below.
+    ``router`` is a row number, ``radius`` covers every point below; ``rows``
+    are those of the entries or the children's routing points, ``vectors``
+    theirs in one piece.
     """
 
-    __slots__ = ("router", "radius", "rows", "children", "distances")
+    __slots__ = ("router", "radius", "rows", "vectors", "children", "distances", "radii")
 
-    def __init__(self, router, radius, rows, children, distances):
-        self.router, self.radius, self.rows = router, radius, rows
+    def __init__(self, router, radius, rows, vectors, children, distances):
+        self.router, self.radius, self.rows, self.vectors = router, radius, rows, vectors
         self.children, self.distances = children, distances
+        self.radii = np.array([c.radius for c in children or ()])
 
 
 class MTree:
@@ -57,11 +60,11 @@ class MTree:
         router = rows[((self.points[rows] - middle) ** 2).sum(axis=1).argmin()]
         far = self._from(router, rows)
         if len(rows) <= PAGE:
-            return Node(router, far.max(), rows, None, far)
+            return Node(router, far.max(), rows, self.exact[rows], None, far)
         # farthest-first pivots, then every row goes to its nearest one
         pivots, near = [router], far.copy()
         owner = np.zeros(len(rows), np.int64)
-        while len(pivots) < FAN and near.max() > 0:
+        while len(pivots) < min(FAN, len(rows) // PAGE + 1) and near.max() > 0:
             pivots.append(rows[near.argmax()])
             gap = self._from(pivots[-1], rows)
             owner[gap < near] = len(pivots) - 1
@@ -72,17 +75,18 @@ class MTree:
             parts = np.array_split(rows, max(2, min(FAN, len(rows) // PAGE)))
         children = [self._build(p) for p in parts]
         heads = np.array([c.router for c in children])
-        return Node(router, far.max(), heads, children, self._from(router, heads))
+        return Node(router, far.max(), heads, self.exact[heads], children, self._from(router, heads))
 
-    def _scores(self, rows: np.ndarray, query: np.ndarray) -> np.ndarray:
-        self.computed += len(rows)
-        return self.exact[rows] @ query.astype(self.exact.dtype)
+    def _scores(self, node: Node, fit: np.ndarray, query: np.ndarray) -> np.ndarray:
+        self.computed += len(fit)
+        return (node.vectors if len(fit) == len(node.rows) else node.vectors[fit]) @ query
 
     def search(self, query: np.ndarray, k: int, own: int) -> list[tuple[int, int]]:
         """The k best (score, id) of all rows but ``own``; ties go to the smaller id."""
         if self.root is None:
             return []
         base = float((query.astype(np.float64) ** 2).sum()) + self.most
+        query = query.astype(self.exact.dtype)
         slack = 1e-7 * (np.sqrt(base) + 1)  # rounding must never cut a row off
 
         def distance(score):
@@ -90,7 +94,7 @@ class MTree:
 
         best: list[tuple[int, int]] = []
         limit = np.inf
-        start = float(distance(self._scores(np.array([self.root.router]), query))[0])
+        start = float(distance(self.exact[self.root.router] @ query))
         queue = [(max(0.0, start - self.root.radius), 0, start, self.root)]
         serial = 1
         while queue:
@@ -100,13 +104,15 @@ class MTree:
             # |d(q, router) - d(x, router)| bounds d(q, x) before it is computed
             known = np.abs(to_router - node.distances)
             if node.children is None:
-                rows = node.rows[known <= limit + slack] if np.isfinite(limit) else node.rows
-                if not len(rows):
+                fit = np.flatnonzero(known <= limit + slack)
+                if not len(fit):
                     continue
-                scores = self._scores(rows, query)
+                scores, rows = self._scores(node, fit, query), node.rows[fit]
                 if len(best) == k:
-                    fit = scores >= best[-1][0]
-                    rows, scores = rows[fit], scores[fit]
+                    better = np.flatnonzero(scores >= best[-1][0])
+                    if not len(better):
+                        continue
+                    scores, rows = scores[better], rows[better]
                 ids = self.ids[rows]
                 at = np.lexsort((ids, -scores))[:k + 1]
                 found = [(int(scores[i]), int(ids[i])) for i in at if ids[i] != own]
@@ -114,15 +120,14 @@ class MTree:
                 if len(best) == k:
                     limit = float(distance(best[-1][0]))
                 continue
-            radii = np.array([c.radius for c in node.children])
-            fit = np.flatnonzero(known - radii <= limit + slack)
+            fit = np.flatnonzero(known - node.radii <= limit + slack)
             if not len(fit):
                 continue
-            gaps = distance(self._scores(node.rows[fit], query))
-            for i, gap in zip(fit, gaps, strict=True):
-                bound = max(0.0, float(gap) - node.children[i].radius)
+            gaps = distance(self._scores(node, fit, query))
+            for i, gap in zip(fit.tolist(), gaps.tolist(), strict=True):
+                bound = max(0.0, gap - node.children[i].radius)
                 if bound <= limit + slack:
-                    heapq.heappush(queue, (bound, serial, float(gap), node.children[i]))
+                    heapq.heappush(queue, (bound, serial, gap, node.children[i]))
                     serial += 1
         return best
 

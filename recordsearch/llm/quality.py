@@ -259,20 +259,23 @@ def score(docs: DataFrame, model: dict, keep: tuple[str, ...] = ("doc_id",)) ->
     shared = docs.sparkSession.sparkContext.broadcast(model)
     schema = docs.select(*keep).schema.add("quality_score", "double").add("toxic_score", "double")
     # names of the caller's columns may clash with those read here
-    source = docs.select(F.struct(*keep).alias("own"), "text", "lang", "source")
+    read = ("text", "lang", "source")
+    source = docs.select(F.struct(*keep).alias("own"), *[c for c in read if c not in keep])
 
     def run(batches):
         models = shared.value
         for batch in batches:
+            own = dict(zip(keep, batch.column("own").flatten(), strict=True))
+            seen = pd.DataFrame({c: (own[c] if c in own else batch.column(c)).to_pandas() for c in read})
             logits = {t: np.zeros((batch.num_rows, 2)) for t in TARGETS}
-            for part, view, own, feature in _views(batch.select(["text", "lang", "source"]).to_pandas()):
+            for part, view, at_text, feature in _views(seen):
                 for t in TARGETS:
                     if isinstance(models[t], float):
                         continue
                     names, views, _ = models[t]
                     at, hit = _places(names[view], feature)
                     n = part.stop - part.start
-                    raw = np.bincount(own[hit], views[view].weights[at[hit]], minlength=n) if len(names[view]) else np.zeros(n)
+                    raw = np.bincount(at_text[hit], views[view].weights[at[hit]], minlength=n) if len(names[view]) else np.zeros(n)
                     m = views[view]
                     logits[t][part, view] = np.clip((raw + m.bias) * m.scale + m.shift, -12, 12)
             scores = []
@@ -282,7 +285,7 @@ def score(docs: DataFrame, model: dict, keep: tuple[str, ...] = ("doc_id",)) ->
                 else:
                     both = models[t][2]
                     scores.append(_sigmoid(np.clip(logits[t] @ both.weights + both.bias, -30, 30)))
-            yield pa.RecordBatch.from_arrays([*batch.column("own").flatten(), *map(pa.array, scores)], names=schema.names)
+            yield pa.RecordBatch.from_arrays([*own.values(), *map(pa.array, scores)], names=schema.names)
 
     return source.mapInArrow(run, schema)
 

@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from recordsearch.llm.common import attach, checkpointed, new_folder
+from recordsearch.llm.common import attach, checkpointed, new_folder, parts
 
 #: Payloads below this size are never revisits.
 LEAST_PAYLOAD = 100
@@ -183,7 +183,7 @@ def write_index(captures: DataFrame, folder: str, block: int = BLOCK) -> DataFra
             yield pd.DataFrame([(*first, *last, f"{name}.cdx.gz", f"{name}.dir", total)], columns=[
                 "first_key", "first_id", "last_key", "last_id", "index", "directory", "captures"])
 
-    sorted_ = captures.select(*order, "length", "record_type").repartitionByRange(*order).sortWithinPartitions(*order)
+    sorted_ = captures.select(*order, "length", "record_type").repartitionByRange(parts(captures), *order).sortWithinPartitions(*order)
     return checkpointed(sorted_.mapInPandas(write, SHARD))
 
 
@@ -268,7 +268,7 @@ def read_captures(requests: DataFrame, shards: DataFrame, archives: str, index:
                 yield _frame(found)
 
     wanted = requests.select("key", F.coalesce("page_id", F.lit(-1 << 63)).alias("page_id")).distinct()
-    return wanted.repartitionByRange("key", "page_id").sortWithinPartitions("key", "page_id").mapInPandas(read, RECORD)
+    return wanted.repartitionByRange(parts(wanted), "key", "page_id").sortWithinPartitions("key", "page_id").mapInPandas(read, RECORD)
 
 
 def _frame(records: list[dict]) -> pd.DataFrame:

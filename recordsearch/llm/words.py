@@ -8,7 +8,7 @@ _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
 #: Characters that are handled together; a longer text is handled alone.
-GROUP = 1 << 20
+GROUP = 1 << 17
 
 
 def groups(texts: list[str]) -> list[slice]:
