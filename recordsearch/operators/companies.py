@@ -74,7 +74,7 @@ def enrich_partners(requests: DataFrame, partners: DataFrame, column: str, row_i
     named = partners.select("cnpj_basico", *PARTNER_ATTRIBUTES)
     wanted = valid.select("cnpj_basico").distinct()
     mine = named.join(wanted, "cnpj_basico", "left_semi")
-    pairs = spread_join(mine, valid, ["cnpj_basico"]).withColumn("status", F.lit("found"))
+    pairs = spread_join(valid, mine, ["cnpj_basico"], row_id=[row_id]).withColumn("status", F.lit("found"))
     known = partners.select("cnpj_basico").join(wanted, "cnpj_basico", "left_semi").distinct()
     alone = (
         lookup(asked.select(row_id, column, "is_valid", *ID_COLUMNS),

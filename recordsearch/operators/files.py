@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from recordsearch.operators.results import file_catalogue_record
+from recordsearch.operators.skew import spread_join
 
 
 def file_catalogue_filter(files: DataFrame, state_code: str, territory_id: str | None = None):
@@ -17,11 +18,12 @@ def file_catalogue_filter(files: DataFrame, state_code: str, territory_id: str |
 
 def file_catalogue_batch(files: DataFrame, requests: DataFrame) -> DataFrame:
     """The same for a table of (request_id, state_code, territory_id or null)."""
-    asked = requests.select(
-        "request_id", F.upper("state_code").alias("_state"), F.col("territory_id").alias("_place")
-    )
-    same = (F.col("state_code") == F.col("_state")) & F.col("territory_id").eqNullSafe(F.col("_place"))
-    return files.join(asked, same).drop("_state", "_place")
+    # a struct keeps "no territory" apart from every name and is joined like any key
+    place = F.struct(F.col("territory_id").isNull().alias("none"), F.coalesce("territory_id", F.lit("")).alias("name"))
+    asked = requests.select("request_id", F.upper("state_code").alias("_state"), place.alias("_place"))
+    listed = files.withColumns({"_state": F.col("state_code"), "_place": place})
+    joined = spread_join(asked, listed, ["_state", "_place"], row_id=["request_id"])
+    return joined.select(*files.columns, "request_id")
 
 
 def order_year_desc(df: DataFrame, ties: tuple[str, ...] = ()) -> DataFrame:

@@ -32,9 +32,14 @@ class Prefix:
 
 @dataclass(frozen=True)
 class Fuzzy:
+    """A word within some edits; more than two count as two, in text and here."""
+
     text: str
     edits: int = 2
 
+    def __post_init__(self):
+        object.__setattr__(self, "edits", min(self.edits, 2))
+
 
 @dataclass(frozen=True)
 class Phrase:
@@ -66,10 +71,12 @@ def read_clauses(text: str):
     """Turn search text into a clause tree.
 
     Blank means or; ``+`` and; ``|`` or; ``-`` not; ``"…"`` phrase; ``*`` at a
-    word's end prefix; ``~N`` after a word or phrase edits or slop; ``( )``
-    groups.  Operators apply from left to right.
+    word's end prefix; ``~N`` after a word or phrase edits or slop (``~`` alone
+    after a word: two edits); ``( )`` groups; a backslash makes the next
+    character an ordinary one.  Operators apply from left to right.
     """
-    pieces = regex.findall(r'"[^"]*"(?:~\d+)?|[()+|]|-(?=\S)|[^\s()+|"]+', text)
+    pieces = regex.findall(
+        r'"(?:\\.|[^"\\])*"(?:~\d+)?|[()+|]|-(?=\S)|(?:\\.|[^\s()+|"\\])+|\\', text, regex.DOTALL)
 
     def group(at: int):
         tree, joiner, negate = None, None, False
@@ -105,37 +112,54 @@ def read_clauses(text: str):
 
 def _leaf(piece: str):
     body, mark, number = piece, "", ""
-    tail = regex.fullmatch(r"(.+)~(\d+)", piece)
+    tail = regex.fullmatch(r"(.*[^\\](?:\\\\)*)~(\d*)", piece, regex.DOTALL)
     if tail:
         body, mark, number = tail[1], "~", tail[2]
     if body.startswith('"'):
-        return Phrase(body.strip('"'), int(number or 0)) if body.strip('"').strip() else None
+        body = _unescaped(body[1:-1] if body.endswith('"') else body[1:])
+        return Phrase(body, int(number or 0)) if body.strip() else None
     if mark:
-        return Fuzzy(body, min(int(number), 2))
-    if len(body) > 1 and body.endswith("*"):
-        return Prefix(body.rstrip("*"))
-    return Word(body)
+        return Fuzzy(_unescaped(body), int(number or 2))
+    stem = body.rstrip("*")
+    if stem and stem != body and not regex.search(r"(?<!\\)(?:\\\\)*\\$", stem):
+        return Prefix(_unescaped(stem))
+    return Word(_unescaped(body))
+
+
+def _unescaped(text: str) -> str:
+    return regex.sub(r"\\(.)", r"\1", text, flags=regex.DOTALL)
 
 
 def resolve(clause, plain: Analysis, exact: Analysis = EXACT):
-    """Analyse the clause words: every leaf ends up with analysed words."""
+    """Analyse the clause words: every leaf ends up with analysed words.
+
+    A leaf that the analysis leaves without words says nothing: it is left out
+    of the clauses around it, also where it is negated.  Only a tree without
+    any word is ``Nothing``.
+    """
+    found = _resolved(clause, plain, exact)
+    return Nothing() if found is None else found
+
+
+def _resolved(clause, plain: Analysis, exact: Analysis):
     if isinstance(clause, Word):
         words = plain.words(clause.text)
         if not words:
-            return Nothing()
+            return None
         return Word(words[0]) if len(words) == 1 else AnyOf(tuple(Word(w) for w in words))
     if isinstance(clause, Phrase):
         words = exact.words(clause.text)
-        return Phrase(" ".join(words), clause.slop) if words else Nothing()
+        return Phrase(" ".join(words), clause.slop) if words else None
     if isinstance(clause, Prefix):
         return Prefix(clause.text.lower())
     if isinstance(clause, Fuzzy):
         return Fuzzy(clause.text.lower(), clause.edits)
     if isinstance(clause, Not):
-        return Not(resolve(clause.clause, plain, exact))
+        inner = _resolved(clause.clause, plain, exact)
+        return None if inner is None else Not(inner)
     if isinstance(clause, (AllOf, AnyOf)):
-        inner = tuple(resolve(c, plain, exact) for c in clause.clauses)
-        return type(clause)(inner)
+        parts = tuple(c for c in (_resolved(c, plain, exact) for c in clause.clauses) if c is not None)
+        return type(clause)(parts) if len(parts) > 1 else parts[0] if parts else None
     return clause
 
 
@@ -226,8 +250,6 @@ def phrase_slop(
     """
     words = phrase.text.split(" ")
     repeated = {w for w in words if words.count(w) > 1}
-    if any(words.count(w) > 2 for w in repeated):
-        raise ValueError("a phrase with slop may hold the same word at most twice")
     has_all = reduce(
         lambda a, b: a & b, [F.contains(F.col(exact), F.lit(f" {w} ")) for w in dict.fromkeys(words)]
     )
@@ -238,21 +260,20 @@ def phrase_slop(
     )
     places = F.explode(
         F.array_compact(F.array(*[
-            F.when(F.col("token") == w, F.struct(F.lit(1 << i).cast("long").alias("bit"),
+            F.when(F.col("token") == w, F.struct(F.lit(i).alias("place"),
                                                  (F.col("pos") - i).alias("moved")))
             for i, w in enumerate(words)
         ]))
     )
     frame = Window.partitionBy(key).orderBy("moved").rangeBetween(0, phrase.slop)
-    full = (1 << len(words)) - 1
-    seen = F.bit_or("bit").over(frame)
+    seen = F.size(F.collect_set("place").over(frame))
     ok = F.lit(True)
     flagged = spots.select(key, "pos", "token", places.alias("p")).select(
-        key, "pos", "token", "p.bit", "p.moved"
+        key, "pos", "token", "p.place", "p.moved"
     )
     flagged = flagged.withColumn("seen", seen)
     for n, word in enumerate(sorted(repeated)):
         spots_of = F.size(F.collect_set(F.when(F.col("token") == word, F.col("pos"))).over(frame))
         flagged = flagged.withColumn(f"n{n}", spots_of)
-        ok = ok & (F.col(f"n{n}") >= 2)
-    return flagged.where((F.col("seen") == full) & ok).select(key).distinct()
+        ok = ok & (F.col(f"n{n}") >= words.count(word))
+    return flagged.where((F.col("seen") == len(words)) & ok).select(key).distinct()

@@ -35,13 +35,14 @@ def topk_per_group(
 ) -> DataFrame:
     """The page of every group, with the rank.
 
-    Spark cuts small pages down before the shuffle.  Deep pages are first cut
-    within the salted parts of each group, so a large group is never sorted
-    in one task.
+    With a row id, pages of any depth are first cut within salted parts of
+    each group, as many as a shuffle has tasks, so a large group is never
+    sorted in one task.
     """
     last = offset + size
-    if last > 1000 and row_id:
-        salt = F.pmod(F.xxhash64(*[F.col(c) for c in row_id]), F.lit(256))
+    if row_id:
+        tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        salt = F.pmod(F.xxhash64(*[F.col(c) for c in row_id]), F.lit(tasks))
         part = Window.partitionBy(*group, "_part").orderBy(*order)
         df = (
             df.withColumn("_part", salt)

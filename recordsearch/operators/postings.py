@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from recordsearch.functions.text import EXACT, Analysis, let, located_tokens, token_count
 from recordsearch.operators import rank
 from recordsearch.operators.page import topk_per_group
-from recordsearch.operators.skew import SALTS, lookup, spread_join
+from recordsearch.operators.skew import lookup, spread_join
 
 
 def analyze_tokens(df: DataFrame, text: str, analyses: dict[str, Analysis]) -> DataFrame:
@@ -146,14 +146,14 @@ def expand_fuzzy(vocabulary: DataFrame, terms: DataFrame, edits: int = 1) -> Dat
     )
 
 
-def search_postings(postings: DataFrame, query_terms: DataFrame, salts: int = SALTS) -> DataFrame:
+def search_postings(postings: DataFrame, query_terms: DataFrame, spread: bool = True) -> DataFrame:
     """Match query terms to documents: postings joined to terms on the token.
 
     Frequent tokens are spread over salted parts.  When Spark finds the terms
     small it sends them to the postings instead and nothing is shuffled.  With
-    ``salts=1`` postings stored by token stay where they are.
+    ``spread=False`` postings stored by token stay where they are.
     """
-    return spread_join(postings, query_terms, ["token"], salts)
+    return spread_join(postings, query_terms, ["token"], spread)
 
 
 def match_phrases(postings: DataFrame, key: str, phrase_terms: DataFrame) -> DataFrame:
@@ -168,7 +168,7 @@ def match_phrases(postings: DataFrame, key: str, phrase_terms: DataFrame) -> Dat
         "query_id", key, (F.col("pos") - F.col("place")).alias("start")
     )
     counted = starts.groupBy("query_id", key, "start").agg(F.count("*").alias("n"))
-    full = counted.join(sizes, "query_id").where(F.col("n") == F.col("_words"))
+    full = spread_join(counted, sizes, ["query_id"]).where(F.col("n") == F.col("_words"))
     return full.groupBy("query_id", key).agg(F.count("*").alias("occurrences"))
 
 

@@ -117,7 +117,7 @@ def corpus_stats(corpus: Corpus, clause) -> DataFrame:
         for w in exact_words:
             out["exact " + w] = F.contains(exact, F.lit(f" {w} "))
         for leaf in fuzzy:
-            out[f"fuzzy {leaf.text} {leaf.edits}"] = match.present(leaf, plain, exact)
+            out[_fuzzy_name(leaf)] = match.present(leaf, plain, exact)
         return F.struct(*[c.alias(name) for name, c in out.items()])
 
     lines = corpus.docs.select(F.inline(F.transform(F.array(corpus.forms()), features)))
@@ -128,6 +128,11 @@ def corpus_stats(corpus: Corpus, clause) -> DataFrame:
     return lines.agg(F.count("*").alias("n_docs"), *sums)
 
 
+def _fuzzy_name(leaf) -> str:
+    """A column name that holds whatever the user wrote, in hexadecimal."""
+    return f"fuzzy {leaf.text.encode('utf-8', 'surrogatepass').hex()} {leaf.edits}"
+
+
 def _sides(leaves) -> set[str]:
     """Which analysed lengths the scores of the leaves need."""
     return {"exact" if isinstance(x, match.Phrase) else "plain"
@@ -152,7 +157,7 @@ def _score(clause, frequency, matched, stats: Column, lengths) -> Column:
         return F.when(tf > 0, 1.0).otherwise(0.0)
     field_name = "exact" if isinstance(clause, match.Phrase) else "plain"
     if isinstance(clause, match.Fuzzy):
-        names = [f"fuzzy {clause.text} {clause.edits}"]
+        names = [_fuzzy_name(clause)]
     else:
         names = [f"{field_name} {w}" for w in rank.words_of(clause)]
     weight = F.lit(0.0)

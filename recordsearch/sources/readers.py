@@ -64,24 +64,17 @@ def scan_relational(spark: SparkSession, url: str, table: str, key: str | None =
 def select_rows(table: DataFrame, data: dict | None = None) -> DataFrame:
     """Parameterised row fetch: every named column equals its value.
 
-    Pushed down to whatever the table is read from, a database included.
+    Pushed down to whatever the table is read from, a database included; as in
+    SQL, nothing equals null.
     """
     for name, value in (data or {}).items():
-        table = table.where(F.col(name).eqNullSafe(F.lit(value)))
+        table = table.where(F.col(name) == F.lit(value))
     return table
 
 
-def spread_small_input(df: DataFrame, key: str, limit_bytes: int = 1 << 30) -> DataFrame:
-    """Share the rows of a small, badly split input among all cores.
+def spread(df: DataFrame, tasks: int | None = None) -> DataFrame:
+    """Rows dealt anew to ``tasks`` tasks, for a caller whose files cannot be split.
 
-    A file of one row group is read by one task.  Only inputs that Spark
-    itself estimates below the limit are moved; large ones stay in place.
+    Without a number rows stay where they are; nothing depends on their size.
     """
-    spark = df.sparkSession
-    try:
-        size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-    except AttributeError:  # remote sessions give no estimate
-        return df
-    if int(str(size)) > limit_bytes:
-        return df
-    return df.repartition(2 * spark.sparkContext.defaultParallelism, key)
+    return df.repartition(tasks) if tasks else df

@@ -12,11 +12,15 @@ from pyspark.sql import functions as F
 def shared_folder(spark: SparkSession) -> str:
     """A new folder that all executors see.
 
-    The cluster names the place in spark.checkpoint.dir; only where it is
-    unset, as in tests, a local folder is made.
+    The cluster names the place in spark.checkpoint.dir.  Only a session on
+    one machine may go without and gets a local folder; on a cluster that
+    would be a folder of its own on every executor, so it is an error.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        master = spark.conf.get("spark.master", "")
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         base = tempfile.mkdtemp(prefix="recordsearch-")
     return f"{base.rstrip('/')}/run-{uuid.uuid4().hex}"
 

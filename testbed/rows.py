@@ -365,23 +365,36 @@ def paginate(spark, sf):
     return _numbered(page.paginate(rows, order, 20, 15), order)
 
 
-@query("order_year_desc", """SELECT id, year FROM files WHERE territory_id IS NULL""", t.FILES)
+def _placed(ordered):
+    """Place of each row in the order that the frame has."""
+    from pyspark.sql import Window
+
+    at = ordered.withColumn("_at", F.monotonically_increasing_id())
+    return at.withColumn("place", F.row_number().over(Window.orderBy("_at")).cast("long")).drop("_at")
+
+
+@query("order_year_desc", """SELECT id, y AS year, row_number() OVER (ORDER BY y DESC NULLS FIRST, id) AS place
+  FROM (SELECT id, CASE WHEN CAST(file_size_mb AS INT) % 3 <> 0 THEN year END AS y FROM files WHERE territory_id IS NULL)""",
+       t.FILES)
 def order_year_desc(spark, sf):
-    rows = t.files(spark, sf).where("territory_id IS NULL")
-    return files.order_year_desc(rows, ("id",)).select("id", "year")
+    year = F.expr("CASE WHEN CAST(file_size_mb AS int) % 3 <> 0 THEN year END")
+    rows = t.files(spark, sf).where("territory_id IS NULL").withColumn("year", year)
+    return _placed(files.order_year_desc(rows, ("id",))).select("id", "year", "place")
 
 
-@query("find_files", """SELECT state_code, year, 'store' || file_path AS file_path FROM files
+@query("find_files", """SELECT state_code, year, 'store' || file_path AS file_path,
+  row_number() OVER (ORDER BY year DESC NULLS FIRST) AS place FROM files
   WHERE state_code = 'O' AND territory_id = 'T7'""", t.FILES)
 def find_files(spark, sf):
     rows = files.find_files(t.files(spark, sf), "o", "T7", "store")
-    return rows.select("state_code", "year", "file_path")
+    return _placed(rows).select("state_code", "year", "file_path", "place")
 
 
-@query("order_spider_name", "SELECT spider_name FROM spiders WHERE enabled ORDER BY spider_name", t.SPIDERS)
+@query("order_spider_name", """SELECT spider_name, row_number() OVER (ORDER BY spider_name) AS place
+  FROM spiders WHERE enabled""", t.SPIDERS)
 def order_spider_name(spark, sf):
     live = spiders.interval_overlap(t.spiders(spark, sf))
-    return spiders.order_spider_name(live).select("spider_name")
+    return _placed(spiders.order_spider_name(live)).select("spider_name", "place")
 
 
 @query("latest_job_stats", """SELECT id, job_id FROM job_stats WHERE spider_name = 'view'
@@ -424,12 +437,12 @@ def entities_by_category(spark, sf):
 
 @query("entity_rows", """SELECT s.c_mktsegment AS entity_type, c.c_name AS entity
   FROM (SELECT DISTINCT c_mktsegment FROM customer UNION ALL SELECT 'NONE') s
-  LEFT JOIN customer c ON s.c_mktsegment = c.c_mktsegment AND c.c_nationkey < 20""")
+  LEFT JOIN customer c ON s.c_mktsegment = c.c_mktsegment""")
 def entity_rows(spark, sf):
     customer = t.table(spark, sf, "customer")
     names = customer.select(F.col("c_mktsegment").alias("name")).distinct()
     names = names.unionByName(spark.range(1).select(F.lit("NONE").alias("name")))
-    cases = customer.where("c_nationkey < 20").select(
+    cases = customer.select(
         F.col("c_name").alias("title"), F.col("c_mktsegment").alias("category"))
     rows = catalogue.entity_rows(names.withColumn("description", F.lit("segment")), cases)
     return rows.select("entity_type", "entity")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from recordsearch.functions import taxid
 from recordsearch.functions.urls import FileStore
 from recordsearch.schemas import COMPANY_ATTRIBUTES, PARTNER_ATTRIBUTES
-from recordsearch.sources.readers import spread_small_input
+from recordsearch.sources.readers import spread
 
 STORE = FileStore(
     endpoint="https://files.example.org",
@@ -22,9 +22,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def documents(spark, sf_dir):
-    return spread_small_input(
-        table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"), "doc_id"
-    )
+    tasks = spark.conf.get("spark.recordsearch.tasks", None)  # set by who runs one small file on many cores
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"), tasks and int(tasks))
 
 
 def gazettes(spark, sf_dir):
@@ -330,20 +329,19 @@ SPIDERS = """spiders AS (SELECT 'spider_' || l_suppkey AS spider_name,
 
 def spider_batch(spark, sf_dir):
     """Batch of the sync: by line items, old and new names, repeated names."""
-    return table(spark, sf_dir, "lineitem").where("l_linenumber = 1").selectExpr(
+    return table(spark, sf_dir, "lineitem").selectExpr(
         "CASE WHEN l_suppkey % 5 = 0 THEN concat('new_', l_suppkey) ELSE concat('spider_', l_suppkey) END"
         " AS spider_name",
         "concat('t', l_partkey % 100) AS territory_id",
         "CAST(l_shipdate AS date) AS date_from",
-        "l_orderkey * 1000000 + l_partkey * 100 + CAST(l_quantity AS bigint) AS seq",
+        "l_orderkey * 8 + l_linenumber AS seq",
     )
 
 
 SPIDER_BATCH = """batch AS (SELECT CASE WHEN l_suppkey % 5 = 0 THEN 'new_' || l_suppkey
     ELSE 'spider_' || l_suppkey END AS spider_name, 't' || (l_partkey % 100) AS territory_id,
   CAST(l_shipdate AS DATE) AS date_from,
-  l_orderkey * 1000000 + l_partkey * 100 + CAST(l_quantity AS BIGINT) AS seq
-  FROM lineitem WHERE l_linenumber = 1)"""
+  l_orderkey * 8 + l_linenumber AS seq FROM lineitem)"""
 
 
 def job_stats(spark, sf_dir):

@@ -188,6 +188,30 @@ def match_plain_analysis(spark, sf):
     return text_hits(c, c.docs, clause_of("haedtion of", c), scored=False).select("id")
 
 
+def matching_plain(spark, sf, clause):
+    c = Corpus(corpus(spark, sf).docs, key="id", text="text", plain=PLAIN)
+    return text_hits(c, c.docs, clause_of(clause, c), scored=False).select("id")
+
+
+@query("match_all_stopwords", """SELECT doc_id AS id FROM postings WHERE """ + STEM.format("token") + """ = 'haed'
+  GROUP BY doc_id""", t.TOKENS)
+def match_all_stopwords(spark, sf):
+    return matching_plain(spark, sf, "+haed +the +(of | to)")
+
+
+@query("match_not_stopwords", """SELECT doc_id AS id FROM token_lists WHERE len(list_filter(toks,
+  lambda x: """ + STEM.format("x") + """ = 'haed')) > 0 AND NOT list_contains(toks, 'with')""", t.TOKENS)
+def match_not_stopwords(spark, sf):
+    return matching_plain(spark, sf, "haed + -the + -(with + the)")
+
+
+@query("match_phrase_slop_equal_words", """SELECT DISTINCT a.doc_id AS id FROM postings a JOIN postings b
+  ON a.doc_id = b.doc_id AND a.token = 'the' AND b.token = 'the' AND b.pos > a.pos JOIN postings c
+  ON a.doc_id = c.doc_id AND c.token = 'the' AND c.pos > b.pos AND c.pos - 2 - a.pos <= 4""", t.TOKENS)
+def match_phrase_slop_equal_words(spark, sf):
+    return matching(spark, sf, '"the the the"~4')
+
+
 # ---- relevance
 
 SCORE = """ln(1 + (n - df + 0.5) / (df + 0.5)) * tf / (tf + 1.2 * (0.25 + 0.75 * length / mean))"""

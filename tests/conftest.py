@@ -28,21 +28,21 @@ def toy(spark):
     from datetime import date, datetime, timedelta
 
     today = date(2024, 6, 15)
-    base = "This is a fake gazette content"
+    base = "Our town plans harbour repair budget"
     lines = [
         (1, 0, "3304557", base),
         (2, -1, "4205902", base),
         (3, 1, "4205902", base),
-        (4, -1, "3304557", base + ". anotherkeyword"),
-        (5, 1, "4205902", base + ". keyword1"),
-        (6, 0, "3304557", "This is a fake gazette with some keywork which is: 000.000.000-00"),
-        (7, -8, "4205919", base + " from ID 6"),
-        (8, -7, "4205919", base + " from ID 7"),
-        (9, -6, "4205919", base + " from ID 8"),
-        (10, -8, "4205920", base + " from ID 9"),
-        (11, -7, "4205920", base + " from ID 10"),
-        (12, -6, "4205920", base + " from ID 11"),
-        (13, -6, "4205920", base + " from ID 11"),
+        (4, -1, "3304557", base + ". otherlantern"),
+        (5, 1, "4205902", base + ". lantern1"),
+        (6, 0, "3304557", "Our town plans harbour repair with some lanterm near: 000.000.000-00"),
+        (7, -8, "4205919", base + " after meeting 6"),
+        (8, -7, "4205919", base + " after meeting 7"),
+        (9, -6, "4205919", base + " after meeting 8"),
+        (10, -8, "4205920", base + " after meeting 9"),
+        (11, -7, "4205920", base + " after meeting 10"),
+        (12, -6, "4205920", base + " after meeting 11"),
+        (13, -6, "4205920", base + " after meeting 11"),
     ]
     seen = datetime(2020, 10, 30, 7, 4, 29, 796347)
     rows = []
