@@ -147,6 +147,38 @@ def located_tokens(text: Column, token_pattern: str = TOKEN_PATTERN) -> Column:
     return let(pairs, by_chunks)
 
 
+def earlier_max(values: Column) -> Column:
+    """The largest of the values (0 or more) before each one, -1 for the first.
+
+    Worked out in chunks, so the work grows with the number of values.
+    """
+    numbers = "array<int>"
+
+    def inside(begin, chunk):
+        first = F.struct(begin.alias("at"), F.array().cast(numbers).alias("out"))
+        return F.aggregate(chunk, first, lambda state, v: F.struct(
+            F.greatest(state["at"], v).alias("at"),
+            F.concat(state["out"], F.array(state["at"])).alias("out")), lambda state: state["out"])
+
+    def by_chunks(all_values):
+        chunks = F.transform(
+            F.sequence(F.lit(0), F.greatest(F.size(all_values) - 1, F.lit(0)), F.lit(CHUNK)),
+            lambda at: F.slice(all_values, at + 1, CHUNK),
+        )
+
+        def with_begins(parts):
+            first = F.struct(F.lit(-1).alias("at"), F.array().cast(numbers).alias("begins"))
+            begins = F.aggregate(parts, first, lambda done, chunk: F.struct(
+                F.greatest(done["at"], F.array_max(chunk)).alias("at"),
+                F.concat(done["begins"], F.array(done["at"])).alias("begins")),
+                lambda done: done["begins"])
+            return F.flatten(F.zip_with(begins, parts, inside))
+
+        return let(chunks, with_begins)
+
+    return let(values.cast(numbers), by_chunks)
+
+
 def occurrences(spaced: Column, needle: str) -> Column:
     """How often ``needle`` occurs in analysed text, without overlaps."""
     rest = F.replace(spaced, F.lit(needle), F.lit(""))

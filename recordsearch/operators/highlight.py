@@ -12,7 +12,7 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from recordsearch.functions.text import EXACT, Analysis, let, located_tokens
+from recordsearch.functions.text import EXACT, Analysis, earlier_max, let, located_tokens
 from recordsearch.operators.match import Fuzzy, Not, Phrase, Prefix, Word, near, AllOf, AnyOf
 
 SPAN = "array<struct<start:int,stop:int,clause:int>>"
@@ -85,20 +85,22 @@ def match_spans(text: Column, clause, plain: Analysis = EXACT, exact: Analysis =
         return F.array().cast(SPAN)
     ordered = F.array_sort(reduce(lambda a, b: F.concat(a, b), groups))
 
-    def merge(done, span):
-        last = F.try_element_at(done, F.lit(-1))
-        wider = F.struct(
-            last["start"].alias("start"),
-            F.greatest(last["stop"], span["stop"]).alias("stop"),
-            last["clause"].alias("clause"),
-        )
-        overlaps = (F.size(done) > 0) & (span["start"] < last["stop"])
-        kept = F.slice(done, F.lit(1), F.greatest(F.size(done) - 1, F.lit(0)))
-        return F.when(overlaps, F.concat(kept, F.array(wider))).otherwise(
-            F.concat(done, F.array(span))
-        )
+    # A span opens a stretch when it starts behind all spans before it; the
+    # stretch ends where those before the next opening end at most.
+    def with_max(spans):
+        before = earlier_max(F.transform(spans, lambda s: s["stop"]))
+        placed = F.zip_with(spans, before, lambda s, m: F.struct(s.alias("s"), m.alias("before")))
+        opening = F.filter(placed, lambda p: p["s"]["start"] >= p["before"])
+        end = F.array_max(F.transform(spans, lambda s: s["stop"]))
+
+        def closed(found):
+            following = F.concat(F.transform(F.slice(found, F.lit(2), F.size(found)), lambda p: p["before"]), F.array(end))
+            return F.zip_with(found, following, lambda p, stop: F.struct(
+                p["s"]["start"].alias("start"), stop.alias("stop"), p["s"]["clause"].alias("clause")))
+
+        return let(opening, closed)
 
-    return F.aggregate(ordered.cast(SPAN), F.array().cast(SPAN), merge)
+    return F.when(F.size(ordered) > 0, let(ordered.cast(SPAN), with_max)).otherwise(F.array().cast(SPAN)).cast(SPAN)
 
 
 def _fragments(text: Column, spans: Column, size: int, count: int) -> Column:

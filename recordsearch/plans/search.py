@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from recordsearch.functions.text import EXACT, Analysis, token_count
 from recordsearch.functions.urls import FileStore
 from recordsearch.operators import filters, match, page, rank, results
+from recordsearch.operators.catalogue import theme_route
 from recordsearch.operators.highlight import highlight
 
 QUOTES = str.maketrans("“”‘’", "\"\"''")
@@ -304,8 +305,13 @@ def excerpt_hits(corpus: Corpus, request: ThemeRequest, stats: DataFrame | None
 
 def search_excerpts(corpus: Corpus, request: ThemeRequest, store: FileStore = FileStore(),
                     stats: DataFrame | None = None, public: bool = False,
-                    keep: tuple[str, ...] = ()) -> Found:
-    """Theme search: boosts added to relevance; the text is the first highlight."""
+                    keep: tuple[str, ...] = (), themes: DataFrame | None = None) -> Found:
+    """Theme search: boosts added to relevance; the text is the first highlight.
+
+    With the catalogue of ``themes``, a theme that it lacks is an error.
+    """
+    if themes is not None:
+        theme_route(corpus.docs, themes, request.theme, check=True)
     hits, clause = excerpt_hits(corpus, request, stats)
     order = page.sort_columns(request.sort_by, corpus.date, ties=(corpus.territory, corpus.key))
     rows = page.paginate(hits, order, request.offset, request.size)

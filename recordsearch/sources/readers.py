@@ -26,22 +26,27 @@ def scan_documents(spark: SparkSession, name: str = "", default: str = "",
 
 
 def scan_cities_csv(spark: SparkSession, path: str) -> DataFrame:
-    """Header CSV, every column text; ``seq`` keeps the file order."""
-    return (
+    """Header CSV, every column text; ``seq`` orders by file name, then line."""
+    raw = (
         spark.read.schema(schemas.CITIES)
         .options(header=True, multiLine=True, escape='"', mode="PERMISSIVE")
         .option("nullValue", "\u0000").option("emptyValue", "")
         .csv(path)
-        .na.fill("")
-        .withColumn("seq", F.monotonically_increasing_id())
     )
+    return raw.select("*", _file_order()).na.fill("")
+
+
+def _file_order():
+    """Grows with file name and place in the file, however files are packed in tasks."""
+    return F.struct(F.col("_metadata.file_path").alias("file"),
+                    F.monotonically_increasing_id().alias("line")).alias("seq")
 
 
 def scan_theme_catalogue(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
     """One row per theme of the JSON catalogues, in order."""
     raw = spark.read.schema(schemas.THEME_CATALOGUE).option("multiLine", multi_line).json(path)
-    rows = raw.select(F.posexplode("themes").alias("pos", "t"))
-    return rows.withColumn("seq", F.monotonically_increasing_id()).select("seq", "t.*")
+    rows = raw.select(_file_order(), F.posexplode("themes").alias("pos", "t"))
+    return rows.select(F.struct("seq.file", "seq.line", "pos").alias("seq"), "t.*")
 
 
 def scan_relational(spark: SparkSession, url: str, table: str, key: str | None = None,

@@ -237,6 +237,16 @@ def migrate_job_stats(spark, sf):
                         F.unix_micros("created_at").alias("created_us"))
 
 
+@query("migrate_job_stats_violations", """SELECT event_id AS id, replace(props, ' ', '') AS stats
+  FROM events WHERE event_id % 9 = 0""")
+def migrate_job_stats_violations(spark, sf):
+    legacy = t.table(spark, sf, "events").selectExpr(
+        "event_id AS id", "CASE WHEN event_id % 9 <> 0 THEN event_type END AS spider",
+        "props AS job_stats", "ts AS start_time")
+    _, faulty = jobstats.migrate_job_stats(legacy)
+    return faulty.where("spider_name IS NULL").select("id", F.to_json("stats").alias("stats"))
+
+
 # ---- streams
 
 
