@@ -16,6 +16,7 @@ import ahocorasick
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -61,31 +62,74 @@ def _scan(run: int, phrase: int):
     return scan
 
 
-def _runs(run: int, phrase: int):
-    """doc_id, place and hash of the distinct runs whose phrase is among the document's recurring ones."""
-    def runs(batches):
+def _packed(batches):
+    """Texts compressed, as they are shuffled and stored several times."""
+    packer = zstandard.ZstdCompressor(level=1)
+    for batch in batches:
+        texts = [packer.compress(t.encode("utf-8", "surrogatepass")) for t in batch.column("text").to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(texts, pa.binary())], names=["doc_id", "packed"])
+
+
+def _open(packed: bytes) -> str:
+    return zstandard.ZstdDecompressor().decompress(packed).decode("utf-8", "surrogatepass")
+
+
+def _stretch_hashes(hashes: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Hash of each stretch of words, from prefix sums of a polynomial modulo 2^64."""
+    base = 0x9E3779B97F4A7C15
+    n = len(hashes)
+    up = np.cumprod(np.concatenate((np.ones(1, np.uint64), np.full(n, base, np.uint64))))
+    down = np.cumprod(np.concatenate((np.ones(1, np.uint64), np.full(n, pow(base, -1, 1 << 64), np.uint64))))
+    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(hashes * up[:-1])))
+    return words.mix((sums[starts + lengths] - sums[starts]) * down[starts] + lengths.astype(np.uint64), 29)
+
+
+def _blocks(run: int, phrase: int):
+    """Blocks of a document: neighbouring runs that share one place of a recurring phrase.
+
+    doc_id, anchor, block (hash of all its words), start and n (its runs).
+    Equal blocks of a document are one.
+    """
+    def blocks(batches):
         for batch in batches:
-            for number, text, known in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "anchors")), strict=True):
-                hashes, _ = words.word_hashes([text])
-                own, _ = anchors(hashes, run, phrase)
+            for number, packed, known in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "packed", "anchors")), strict=True):
+                hashes, _ = words.word_hashes([_open(packed)])
+                own, place = anchors(hashes, run, phrase)
                 at = np.flatnonzero(np.isin(own, np.array(known, np.int64).view(np.uint64)))
                 if not len(at):
                     continue
-                value, first = np.unique(words.shingles(hashes, run)[at], return_index=True)
+                cuts = np.flatnonzero((np.diff(at) > 1) | (np.diff(place[at]) != 0)) + 1
+                starts = at[np.concatenate(([0], cuts))]
+                counts = np.diff(np.concatenate(([0], cuts, [len(at)])))
+                value, first = np.unique(_stretch_hashes(hashes, starts, counts + run - 1), return_index=True)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(len(first), number, np.int64)), pa.array(own[starts[first]].view(np.int64)), pa.array(value.view(np.int64)),
+                     pa.array(starts[first]), pa.array(counts[first])], names=["doc_id", "anchor", "block", "start", "n"])
+    return blocks
+
+
+def _runs(run: int):
+    """doc_id, place and hash of the distinct runs of the given blocks of a document."""
+    def runs(batches):
+        for batch in batches:
+            for number, packed, blocks in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "packed", "blocks")), strict=True):
+                hashes, _ = words.word_hashes([_open(packed)])
+                at = np.concatenate([np.arange(b["start"], b["start"] + b["n"]) for b in blocks])
+                value, first = np.unique(_stretch_hashes(hashes, at, np.full(len(at), run)), return_index=True)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.full(len(first), number, np.int64)), pa.array(at[first]), pa.array(value.view(np.int64))],
-                    names=["doc_id", "place", "run"])
+                    names=["doc_id", "start", "run"])
     return runs
 
 
 def _passages(run: int):
-    """Texts of the passages of a document from the places where recurring runs start."""
+    """Texts of the passages of a document from the runs that recur, given as start and number."""
     def cut(batches):
         for batch in batches:
             out = []
-            for number, text, places in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "places")), strict=True):
-                own = plain(text).split(b" ")
-                places = np.array(sorted(places))
+            for number, packed, parts in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "packed", "parts")), strict=True):
+                own = plain(_open(packed)).split(b" ")
+                places = np.unique(np.concatenate([np.arange(b["start"], b["start"] + b["n"]) for b in parts]))
                 ends = np.flatnonzero(np.diff(places) > 1)
                 for a, b in zip(places[np.concatenate(([0], ends + 1))], places[np.concatenate((ends, [len(places) - 1]))], strict=True):
                     out.append((number, b" ".join(own[a:b + run]).decode("utf-8", "surrogatepass")))
@@ -149,8 +193,8 @@ def _spans(covered: np.ndarray) -> list[tuple[int, int]]:
 def _kept(batches):
     for batch in batches:
         removed, digests = [], []
-        for text, spans in zip(batch.column("text").to_pylist(), batch.column("spans").to_pylist(), strict=True):
-            own = plain(text).split(b" ")
+        for packed, spans in zip(batch.column("packed").to_pylist(), batch.column("spans").to_pylist(), strict=True):
+            own = plain(_open(packed)).split(b" ")
             keep = np.ones(len(own), dtype=bool)
             for s in spans:
                 keep[s["a"]:s["b"]] = False
@@ -186,17 +230,33 @@ def repeated_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
         .where("first < last").select("anchor", F.lit(True).alias("recurs"), "n"))
     recurring = attach(each, common, "anchor", "doc_id", "n").where("recurs").groupBy("doc_id").agg(
         F.collect_set("anchor").alias("anchors"))
-    texts = checkpointed(source.where("text IS NOT NULL").join(recurring, "doc_id"))
-
-    found = checkpointed(texts.mapInArrow(_runs(run, phrase), "doc_id long, place long, run long"))
-    homes = checkpointed(found.groupBy("run").agg(
-        F.min(F.struct("doc_id", "place")).alias("home"), F.max("doc_id").alias("last"), F.count("*").alias("n"))
-        .where("home.doc_id < last").select("run", F.col("home.doc_id").alias("home"), F.col("home.place").alias("place"), "n"))
-    wanted = attach(found, homes.select("run", "home", "n"), "run", "doc_id", "n").where("home < doc_id").select(
-        "doc_id", "home").distinct()
-
-    starts = homes.groupBy(F.col("home").alias("doc_id")).agg(F.collect_set("place").alias("places"))
-    passages = checkpointed(texts.select("doc_id", "text").join(starts, "doc_id").mapInArrow(
+    packed = source.where("doc_id IS NOT NULL AND text IS NOT NULL").mapInArrow(_packed, "doc_id long, packed binary")
+    texts = checkpointed(packed.join(recurring, "doc_id"))
+
+    # blocks that are equal as a whole need no closer look
+    blocks = checkpointed(texts.mapInArrow(_blocks(run, phrase), "doc_id long, anchor long, block long, start long, n long"))
+    distinct = checkpointed(blocks.groupBy("block").agg(
+        F.min("doc_id").alias("home"), F.min_by("start", "doc_id").alias("start"), F.max("doc_id").alias("last"),
+        F.any_value("anchor").alias("anchor"), F.any_value("n").alias("n"), F.count("*").alias("members")))
+    shared = distinct.where("home < last")
+    by_block = attach(blocks.select("block", "doc_id"), shared.select("block", "home", "members"), "block", "doc_id", "members")
+
+    # where one phrase is in different blocks, these may still have runs in common
+    several = checkpointed(distinct.groupBy("anchor").agg(F.count("*").alias("variants")).where("variants > 1")
+                           .select("anchor", F.lit(True).alias("several"), "variants"))
+    asked = attach(distinct.select("anchor", F.col("home").alias("doc_id"), "start", "n", "block"), several, "anchor", "block", "variants")
+    asked = asked.where("several").groupBy("doc_id").agg(F.collect_list(F.struct("start", "n")).alias("blocks"))
+    runs = checkpointed(texts.select("doc_id", "packed").join(asked, "doc_id").mapInArrow(_runs(run), "doc_id long, start long, run long"))
+    first = checkpointed(runs.groupBy("run").agg(
+        F.min("doc_id").alias("home"), F.min_by("start", "doc_id").alias("start"), F.max("doc_id").alias("last"), F.count("*").alias("members"))
+        .where("home < last").select("run", "home", "start", "members"))
+    by_run = attach(runs.select("run", "doc_id"), first.select("run", "home", "members"), "run", "doc_id", "members")
+    wanted = by_block.select("doc_id", "home").unionByName(by_run.select("doc_id", "home")).where("home < doc_id").distinct()
+
+    parts = shared.select(F.col("home").alias("doc_id"), "start", "n").unionByName(
+        first.select(F.col("home").alias("doc_id"), "start", F.lit(1).cast("long").alias("n")))
+    parts = parts.groupBy("doc_id").agg(F.collect_list(F.struct("start", "n")).alias("parts"))
+    passages = checkpointed(texts.select("doc_id", "packed").join(parts, "doc_id").mapInArrow(
         _passages(run), "home long, passage string").distinct())
     chars = passages.agg(F.sum(F.length("passage"))).first()[0] or 0
     shards = -(-chars // SHARD_CHARS) or 1
@@ -206,14 +266,15 @@ def repeated_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
         "tasks", F.ceil(F.col("n") / TASK_DOCS).cast("int"))
     dealt = attach(asked, sizes, "shard", "doc_id", "n").withColumn(
         "task", F.pmod(F.xxhash64("doc_id", F.lit("task")), F.col("tasks")).cast("int"))
-    left = dealt.select("doc_id", "shard", "task", "homes").join(texts.select("doc_id", "text"), "doc_id")
+    left = dealt.select("doc_id", "shard", "task", "homes").join(texts.select("doc_id", "packed"), "doc_id")
     right = (passages.withColumn("shard", shard).join(sizes.select("shard", "tasks"), "shard")
              .select("shard", F.explode(F.sequence(F.lit(0), F.col("tasks") - 1)).alias("task"), "home", "passage"))
 
     def locate(documents: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
         machine = Automaton(known["home"].tolist(), known["passage"].tolist(), run, phrase)
         out = []
-        for number, content, own in documents[["doc_id", "text", "homes"]].itertuples(index=False, name=None):
+        for number, packed_text, own in documents[["doc_id", "packed", "homes"]].itertuples(index=False, name=None):
+            content = _open(packed_text)
             spans = _spans(machine.covered(content, set(own)))
             digest = hashlib.sha256(plain(content)).hexdigest()
             out += [(number, digest, a, b) for a, b in spans]
@@ -223,7 +284,7 @@ def repeated_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
         locate, "doc_id long, digest string, a long, b long")
     spans = spans.groupBy("doc_id", "digest").agg(F.array_sort(F.collect_set(F.struct("a", "b"))).alias("spans"))
     changed = checkpointed(spans).withColumnRenamed("digest", "_digest")
-    cut = texts.select("doc_id", "text").join(changed, "doc_id").withColumnRenamed("_digest", "digest").mapInArrow(
+    cut = texts.select("doc_id", "packed").join(changed, "doc_id").withColumnRenamed("_digest", "digest").mapInArrow(
         _kept_of_row, "doc_id long, digest string, n_removed long, kept_sha256 string, spans array<struct<a:long,b:long>>"
     ).dropDuplicates(["doc_id", "digest"])
     base = scanned.select("doc_id", "digest", "n_words")
@@ -235,7 +296,7 @@ def repeated_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
 def _kept_of_row(batches):
     """Kept words of the rows whose text is the one that the spans were found in."""
     for batch in batches:
-        own = [hashlib.sha256(plain(t)).hexdigest() for t in batch.column("text").to_pylist()]
+        own = [hashlib.sha256(plain(_open(t))).hexdigest() for t in batch.column("packed").to_pylist()]
         same = pa.array([a == b for a, b in zip(own, batch.column("digest").to_pylist(), strict=True)], pa.bool_())
         yield from _kept([batch.filter(same)])
 
