@@ -52,7 +52,9 @@ def _cases(url: Column, store: FileStore):
         marked = F.lit(False)
         for marker in store.old_markers:
             marked = marked | F.contains(url, F.lit(marker))
-        rest = F.regexp_extract(url, r"^(https?://|s3://)[^/]+/(.+)$", 2)
+        # what follows the first slash behind a host that is not empty
+        slash = F.locate("/", after_scheme)
+        rest = F.when(slash > 1, F.substr(after_scheme, slash + 1)).otherwise("")
         yield "migrated", marked & (rest != ""), F.concat(F.lit(base), rest)
 
 

@@ -34,32 +34,62 @@ COMPANY_KEYS = (
 )
 
 # Names and order of the published company and partner records.
-COMPANY_ATTRIBUTES = tuple(
-    "identificador_matriz_filial nome_fantasia situacao_cadastral data_situacao_cadastral "
-    "motivo_situacao_cadastral nome_cidade_exterior data_inicio_atividade "
-    "cnae_fiscal_secundario tipo_logradouro logradouro numero complemento bairro cep uf "
-    "ddd_telefone_1 ddd_telefone_2 ddd_telefone_fax correio_eletronico situacao_especial "
-    "data_situacao_especial razao_social natureza_juridica qualificacao_do_responsavel "
-    "capital_social porte ente_federativo_responsavel opcao_pelo_simples "
-    "data_opcao_pelo_simples data_exclusao_pelo_simples opcao_pelo_mei data_opcao_pelo_mei "
-    "data_exclusao_pelo_mei cnae pais municipio".split()
+COMPANY_ATTRIBUTES = (
+    "identificador_matriz_filial",
+    "nome_fantasia",
+    "situacao_cadastral",
+    "data_situacao_cadastral",
+    "motivo_situacao_cadastral",
+    "nome_cidade_exterior",
+    "data_inicio_atividade",
+    "cnae_fiscal_secundario",
+    "tipo_logradouro",
+    "logradouro",
+    "numero",
+    "complemento",
+    "bairro",
+    "cep",
+    "uf",
+    "ddd_telefone_1",
+    "ddd_telefone_2",
+    "ddd_telefone_fax",
+    "correio_eletronico",
+    "situacao_especial",
+    "data_situacao_especial",
+    "razao_social",
+    "natureza_juridica",
+    "qualificacao_do_responsavel",
+    "capital_social",
+    "porte",
+    "ente_federativo_responsavel",
+    "opcao_pelo_simples",
+    "data_opcao_pelo_simples",
+    "data_exclusao_pelo_simples",
+    "opcao_pelo_mei",
+    "data_opcao_pelo_mei",
+    "data_exclusao_pelo_mei",
+    "cnae",
+    "pais",
+    "municipio",
 )
-PARTNER_ATTRIBUTES = tuple(
-    "identificador_socio razao_social cnpj_cpf_socio qualificacao_socio "
-    "data_entrada_sociedade pais_socio_estrangeiro numero_cpf_representante_legal "
-    "nome_representante_legal qualificacao_representante_legal faixa_etaria".split()
+PARTNER_ATTRIBUTES = (
+    "identificador_socio",
+    "razao_social",
+    "cnpj_cpf_socio",
+    "qualificacao_socio",
+    "data_entrada_sociedade",
+    "pais_socio_estrangeiro",
+    "numero_cpf_representante_legal",
+    "nome_representante_legal",
+    "qualificacao_representante_legal",
+    "faixa_etaria",
 )
 
 COMPANIES = (", ".join(f"{c} string" for c in COMPANY_KEYS + COMPANY_ATTRIBUTES))
 PARTNERS = (
     ", ".join(f"{c} string" for c in ("cnpj_basico",) + PARTNER_ATTRIBUTES)
 )
-FILE_CATALOGUE = (
-    "id string, territory_id string, state_code string, year string, file_path string, "
-    "file_size_mb string, hash_info string, last_updated string"
-)
 SPIDERS = ("spider_name string, date_from date, date_to date, enabled boolean")
-SPIDER_MAP = ("spider_name string, territory_id string")
 JOB_STATS = (
     "id long, spider_name string, job_id string, stats variant, created_at timestamp"
 )

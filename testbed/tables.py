@@ -419,8 +419,3 @@ postings AS (SELECT doc_id, unnest(toks) AS token, generate_subscripts(toks, 1)
   FROM token_lists),
 lengths AS (SELECT doc_id, CAST(len(toks) AS BIGINT) AS length FROM token_lists),
 freqs AS (SELECT doc_id, token, count(*) AS tf FROM postings GROUP BY 1, 2)"""
-
-
-def query_table(spark, sf_dir):
-    """Queries drawn from the benchmark texts and the shipped words of the parts."""
-    return table(spark, sf_dir, "benchmark").selectExpr("item_id AS query_id", "text")
