@@ -64,15 +64,20 @@ def stream_ingest_gazettes(
 
 def stream_job_stats(
     rows: DataFrame, target: str, checkpoint: str, schema: str, arrival: str = "arrival",
+    refusals: str | None = None,
 ) -> StreamingQuery:
     """Append a stream of job statistics, each record with a new id.
 
     ``arrival`` is unique and kept in the target, so records of a repeated
-    batch are known and left out.
+    batch are known and left out.  Faulty records go to ``refusals``, a folder
+    per batch, with the names of their faults.
     """
     def load(batch: DataFrame, number: int) -> None:
         stored = _stored(batch.sparkSession, target, schema)
         checked = validate_stats_rows(batch)
+        if refusals:
+            checked.where(F.size("errors") > 0).select(arrival, "errors").write.mode(
+                "overwrite").parquet(f"{refusals}/batch={number}")
         sound = checked.where(F.size("errors") == 0).drop("errors")
         fresh = sound.join(stored.select(arrival), arrival, "left_anti")
         added = append_job_stats(stored, fresh, arrival)

@@ -278,3 +278,16 @@ def stream_job_stats(spark, sf):
     jobs.stream_job_stats(rows, f"{folder}/stats", f"{folder}/checkpoint", schema).awaitTermination()
     stored = spark.read.schema(T.StructType.fromDDL(schema)).parquet(f"{folder}/stats")
     return stored.select("arrival", "id", F.to_json("stats").alias("stats"))
+
+
+@query("stream_job_stats_refusals", """SELECT arrival, concat_ws(',',
+    CASE WHEN spider_name IS NULL THEN 'spider_name' END, CASE WHEN NOT good THEN 'stats' END) AS errors
+  FROM stats_rows WHERE spider_name IS NULL OR NOT good""", STATS_ROWS)
+def stream_job_stats_refusals(spark, sf):
+    folder = writers.shared_folder(spark)
+    schema = "id long, spider_name string, job_id string, stats variant, created_at timestamp, arrival long"
+    rows = stats_rows(None, None, _stream_of(spark, sf, "events"))
+    jobs.stream_job_stats(rows, f"{folder}/stats", f"{folder}/checkpoint", schema,
+                          refusals=f"{folder}/refusals").awaitTermination()
+    refused = spark.read.parquet(f"{folder}/refusals")
+    return refused.select("arrival", F.array_join("errors", ",").alias("errors"))

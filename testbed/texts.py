@@ -499,11 +499,29 @@ def highlight_merged(spark, sf):
     return hits.select("id", F.array_join(marked, "|").alias("excerpts"))
 
 
-@query("highlight_tags_cycle")
+CYCLE_AT = """first_spots AS (SELECT id, text, length(regexp_extract(text, '{0}', 1)) AS p,
+    length(regexp_extract(text, '{0}', 2)) AS n FROM (SELECT doc_id AS id, text FROM documents JOIN lines ON id = doc_id
+    WHERE contains(line, ' attion ') OR contains(line, ' haed ') OR contains(line, ' oution '))),
+first_cuts AS (SELECT *, greatest(p - (200 - n) // 2, 0) AS b0 FROM first_spots),
+first_ends AS (SELECT *, least(b0 + 200, length(text)) AS e FROM first_cuts),
+first_frames AS (SELECT *, least(b0, greatest(e - 200, 0)) AS b FROM first_ends),
+cut_texts AS (SELECT id, CASE WHEN b > 0 THEN 1 ELSE 0 END AS l, CASE WHEN e < length(text) THEN 1 ELSE 0 END AS r,
+    text[b + 1 - CASE WHEN b > 0 THEN 1 ELSE 0 END : e + 1] AS x FROM first_frames)""".format(
+        "(?is)^(.*?[^\\p{L}\\p{N}]|)(attion|haed|oution)(?:[^\\p{L}\\p{N}]|$)")
+
+
+def _tagged(inner: str, word: str, tag: str) -> str:
+    once = ("regexp_replace({0}, '(?i)([^\\p{{L}}\\p{{N}}>]|^)(" + word + ")([^\\p{{L}}\\p{{N}}]|$)', '\\1<" + tag
+            + ">\\2</" + tag + ">\\3', 'g')")
+    return once.format(once.format(inner))
+
+
+@query("highlight_tags_cycle", "SELECT id, md5(y[1 + l : length(y) - r]) AS digest FROM (SELECT *, "
+       + _tagged(_tagged(_tagged("x", "attion", "b"), "haed", "i"), "oution", "b") + " AS y FROM cut_texts)", LINE, CYCLE_AT)
 def highlight_tags_cycle(spark, sf):
     c = corpus(spark, sf)
     clause = clause_of("attion haed oution", c)
     hits = text_hits(c, c.docs, clause, scored=False)
     marked = highlight.highlight(F.col("text"), clause, size=200, count=2,
                                  pre_tags=("<b>", "<i>"), post_tags=("</b>", "</i>"))
-    return hits.select("id", F.array_join(marked, "|").alias("excerpts"))
+    return hits.select("id", F.md5(marked[0]).alias("digest"))

@@ -54,4 +54,4 @@ def test_query(spark, duck, name):
 
 
 def test_only_excerpt_layouts_lack_sql():
-    assert set(registry.QUERIES) - set(registry.SQL) == {"highlight_merged", "highlight_tags_cycle"}
+    assert set(registry.QUERIES) - set(registry.SQL) == {"highlight_merged"}
