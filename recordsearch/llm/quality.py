@@ -1,6 +1,6 @@
 """Quality and toxicity of documents by co-training two views.
 
-One view sees the text (words, runs of symbols, shape of the text), the other
+One view sees the text (words and how they begin, runs of symbols, shape), the other
 page metadata (source, language, length, lines).  Over some rounds each view
 labels unlabelled documents it is sure of for the other; then both are
 calibrated and combined.
@@ -26,6 +26,8 @@ ROUNDS = 2
 SURE, PSEUDO_WEIGHT = 0.97, 0.3
 #: A feature needs this many documents and this many standard errors between the classes.
 LEAST_DOCS, LEAST_Z = 5, 4.0
+#: Bytes of the beginnings of words that are features beside the words.
+STEMS = (4, 5)
 TARGETS = ("quality", "toxic")
 VIEWS = ("text", "page")
 
@@ -70,9 +72,18 @@ def text_features(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     shape = [("upper", _share(per_text(np.flatnonzero(upper)), letters)), ("distinct", np.floor(10 * distinct / np.maximum(counts, 1))),
              ("length", np.floor(2 * letters / np.maximum(counts, 1))), ("marks", _share(marks, letters + marks)),
              ("words", np.floor(2 * np.log2(counts + 1)))]
+    lengths = ends - starts
+    first_own = np.searchsorted(at, starts, side="right") - 1
+    stems = []
+    for k in STEMS:  # how a word begins, for families of words
+        long = np.flatnonzero(lengths >= k)
+        value = np.zeros(len(long), np.uint64)
+        for i in range(k):
+            value = value * np.uint64(0x9E3779B97F4A7C15) + lower[starts[long] + i] + np.uint64(1)
+        stems.append((first_own[long], words.mix(value, 40 + k)))
     every = np.arange(n)
-    owner = np.concatenate([own[new], np.searchsorted(at, places, side="right") - 1, *[every] * len(shape)])
-    value = np.concatenate([hashes[new], words.mix(symbols, 3), *[_named(k, v) for k, v in shape]])
+    owner = np.concatenate([own[new], *[o for o, _ in stems], np.searchsorted(at, places, side="right") - 1, *[every] * len(shape)])
+    value = np.concatenate([hashes[new], *[v for _, v in stems], words.mix(symbols, 3), *[_named(k, v) for k, v in shape]])
     order = np.lexsort((value, owner))
     owner, value = owner[order], value[order]
     keep = np.ones(len(owner), dtype=bool)
@@ -291,7 +302,7 @@ def score(docs: DataFrame, model: dict, keep: tuple[str, ...] = ("doc_id",)) ->
 
 
 def classify(docs: DataFrame, labels: DataFrame, keep: tuple[str, ...] = ("doc_id",), least_quality: float = 0.5,
-             most_toxic: float = 0.5) -> DataFrame:
+             most_toxic: float = 0.3) -> DataFrame:
     """Score every document; ``accepted`` says that it is good enough and not toxic.
 
     Null texts count as empty; null source or language is a value of its own.
