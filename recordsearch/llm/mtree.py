@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Entries of a page; children of an inner node; rows of one tree; queries of one block.
+#: Vectors in many dimensions are pruned little, so full pages matter more than small ones.
 PAGE, FAN, TREE_ROWS, BLOCK = 512, 8, 4096, 4096
 
 
