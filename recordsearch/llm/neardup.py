@@ -22,6 +22,10 @@ from recordsearch.llm.graph import components
 SHINGLE, SIMILAR, SKETCHES, KEPT = 5, 0.8, 16, 3
 
 _WIDE = 1 << 16
+#: Top bits of a labelled shingle that name its counter.
+_SLOT_BITS = 22
+#: Aligned shingles of a pair at the least similarity, as a part of the shingles of both.
+_BOTH = SIMILAR / (1 + SIMILAR)
 
 
 def _seeds() -> tuple[np.ndarray, np.ndarray]:
@@ -146,6 +150,59 @@ def _verify(batches):
                                          names=["lead", "node", "share"])
 
 
+def _slots(batches):
+    for batch in batches:
+        own = [labelled(_unpack(w)) >> np.uint64(64 - _SLOT_BITS) for w in batch.column("words").to_pylist()]
+        slot, n = np.unique(np.concatenate(own) if own else np.zeros(0, np.uint64), return_counts=True)
+        yield pa.RecordBatch.from_arrays([pa.array(slot.astype(np.int64)), pa.array(n.astype(np.int64))], names=["slot", "n"])
+
+
+def rare_first(own: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The labelled shingles that a similar text must share one of: the rarest by ``counts``, in one order for all texts."""
+    order = np.lexsort((own, counts[(own >> np.uint64(64 - _SLOT_BITS)).astype(np.int64)]))
+    return own[order[:len(own) - int(np.ceil(SIMILAR * len(own) - 1e-9)) + 1]]
+
+
+def _crowd_pairs(crowd: DataFrame) -> DataFrame:
+    """(lead, node): all pairs of a crowd (node, root, words) with different roots that can reach SIMILAR.
+
+    Exact, by prefix filtering: a pair at SIMILAR has, in any common order of
+    the shingles, its first common shingle among the first 1 - SIMILAR of each
+    text, and behind it enough shingles in both.  The order is by counts in the
+    crowd, so what fills a bucket (a template) comes last; the counts are kept
+    in 2^22 counters, which affects the cost and not the result.
+    """
+    spark = crowd.sparkSession
+    found = crowd.select("words").mapInArrow(_slots, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
+    counts = np.zeros(1 << _SLOT_BITS, np.int64)
+    counts[found.column("slot").to_numpy()] = found.column("n").to_numpy()
+    shared = spark.sparkContext.broadcast(counts)
+
+    def prefixes(batches):
+        for batch in batches:
+            own = [labelled(_unpack(w)) for w in batch.column("words").to_pylist()]
+            chosen = [rare_first(o, shared.value).view(np.int64).tolist() for o in own]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("class"), pa.array([len(o) for o in own], pa.int64()),
+                                              pa.array(chosen, pa.list_(pa.int64()))], names=["id", "class", "n", "chosen"])
+
+    named = crowd.select(F.xxhash64("node").alias("id"), F.xxhash64("root").alias("class"), "node", "words")
+    rows = checkpointed(named.select("id", "class", "words").mapInArrow(prefixes, "id long, class long, n long, chosen array<long>")
+                        .select("id", "class", "n", F.posexplode("chosen").alias("place", "shingle")))
+    met = rows.groupBy("shingle").agg(F.min("class").alias("a"), F.max("class").alias("b")).where("a <> b").select("shingle")
+    rows = checkpointed(rows.join(met, "shingle", "left_semi"))
+    # the shorter text of a pair has the shingle among its first 1 - 2 SIMILAR / (1 + SIMILAR)
+    short = rows.where(F.col("n") - F.col("place") >= 2 * _BOTH * F.col("n") - 1e-9)
+    classes = rows.select("shingle", F.col("class").alias("other")).distinct()
+    both = short.alias("y").join(classes.alias("c"), F.expr("y.shingle = c.shingle AND y.class <> c.other")).join(
+        rows.alias("x"), F.expr("x.shingle = y.shingle AND x.class = c.other AND (y.n, y.id) < (x.n, x.id)")
+        & (F.col("y.n") >= SIMILAR * F.col("x.n") - 1e-9)
+        & (F.least(F.expr("x.n - x.place"), F.expr("y.n - y.place")) >= _BOTH * F.expr("x.n + y.n") - 1e-9))
+    pairs = both.select(F.col("y.id").alias("y"), F.col("x.id").alias("x")).distinct()
+    ids = named.select("id", "node")
+    return pairs.join(ids.select(F.col("id").alias("y"), F.col("node").alias("lead")), "y").join(
+        ids.select(F.col("id").alias("x"), "node"), "x").select("lead", "node")
+
+
 def _candidates(buckets: DataFrame) -> DataFrame:
     """(key, lead, node): every member of a bucket with the member of the smallest id."""
     leads = checkpointed(buckets.groupBy("key").agg(
@@ -163,10 +220,12 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
 
     Texts with an equal sketch meet in a bucket.  There each is compared with
     the member of the smallest id, and those it rejects with the smallest of
-    the rejected and with one that was accepted; so a bucket of any size gives
-    pairs in proportion to its members.  With 16 sketches of 3 shingles, texts
-    at the least similarity miss each other with a probability of about
-    (1 - 0.8^3)^16 = 0.001 %.
+    the rejected and with one that was accepted.  The members of buckets that
+    are not one class by then (thousands of texts on one template, say) are
+    compared in full: with all texts of these buckets that an exact filter on
+    rare shingles leaves.  With 16 sketches of 3 shingles, texts at the least
+    similarity miss each other with a probability of about
+    (1 - 0.8^3)^16 = 0.001 %: that of having no bucket in common.
 
     Texts with fewer than five words are one shingle.  Rows whose text is
     null or has no words are a class each, with their own id.  Repeated rows
@@ -213,9 +272,19 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
         checked.select("lead", "node"), ["lead", "node"], "left_anti")
     links = links.unionByName(verified(second).where("share > 0").select(F.col("lead").alias("a"), F.col("node").alias("b")))
 
-    roots = components(links)
-    rooted = checkpointed(nodes.select("node", "first_id", "copies").join(roots, "node", "left")
-                          .withColumn("root", F.coalesce("root", "node")))
+    roots = checkpointed(components(links))
+    member = checkpointed(judged.select("key", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")))
+    open_ = member.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b"), F.count("*").alias("members")).where(
+        "a <> b AND members > 2")  # of two, each was compared with the other
+    asked = attach(member, checkpointed(open_.select("key", "a", "members")), "key", "node", "members").where("a IS NOT NULL")
+    crowd = checkpointed(texts.join(asked.select("node", "root").distinct(), "node").select("node", "root", "words"))
+    late = verified(_crowd_pairs(crowd)).where("share > 0").select("lead", "node")
+    of = crowd.select("node", "root")
+    joined = components(late.join(of.withColumnRenamed("root", "b"), "node").join(
+        of.select(F.col("node").alias("lead"), F.col("root").alias("a")), "lead").select("a", "b"))
+    rooted = nodes.select("node", "first_id", "copies").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    rooted = checkpointed(rooted.join(joined.select(F.col("node").alias("root"), F.col("root").alias("last")), "root", "left")
+                          .withColumn("root", F.coalesce("last", "root")).drop("last"))
     classes = checkpointed(rooted.groupBy("root").agg(F.min("first_id").alias("class_id"), F.count("*").alias("members")))
     named = checkpointed(attach(rooted, classes, "root", "node", "members").select(
         F.col("node").alias("digest"), "class_id", "root", "copies"))

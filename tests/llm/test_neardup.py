@@ -2,6 +2,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import pytest
 
 from recordsearch.llm import neardup, words
 from recordsearch.llm.graph import components
@@ -82,6 +83,24 @@ def test_classes_equal_all_pairs(rows):
     assert got == sorted(want + [(i, last[0]) for i in last], key=repr)
 
 
+@pytest.mark.parametrize("common", [0.8, 0.85])
+def test_pairs_on_one_template_are_all_found(rows, common):
+    rng = random.Random(7)
+    size, items, want = 200, [], {}
+    template = ["t%d" % i for i in range(int(size * common))]
+    for i in range(300):
+        own = ["u%d_%d" % (i, j) for j in range(size - len(template))]
+        other = own[:len(own) * 7 // 10] + ["v%d_%d" % (i, j) for j in range(len(own) - len(own) * 7 // 10)]
+        for body in (own, other):
+            items.append((len(items), " ".join(template + body)))
+            want[len(items) - 1] = 2 * i
+    rng.shuffle(items)
+    few = items[:12]
+    assert brute_classes(few) == sorted(((i, min(j for j, _ in few if want[j] == want[i])) for i, _ in few), key=repr)
+    got = {r.doc_id: r.class_id for r in neardup.near_duplicates(rows(items)).collect()}
+    assert got == want
+
+
 def test_one_of_each_class_stays(rows):
     items = corpus(3, 6)
     table = rows(items).selectExpr("*", "1 AS root")
