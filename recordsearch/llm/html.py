@@ -14,6 +14,7 @@ import bisect
 import hashlib
 import html as entities
 import re
+from collections import Counter
 from functools import lru_cache
 from urllib.parse import urlsplit
 
@@ -29,7 +30,7 @@ RAW = frozenset("script style textarea title noscript template iframe xmp noembe
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd mark q s samp small "
                    "span strike strong sub sup time tt u var wbr td th input label".split())
 #: Elements whose text is never the article's.
-AROUND = frozenset("nav footer aside form button select option dialog menu svg canvas object audio video head "
+AROUND = frozenset("nav footer aside button select option dialog menu svg canvas object audio video head "
                    "header script style noscript template iframe".split())
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert menu menubar toolbar".split())
 #: Words in class or id that say the same; those of the second list only outside an article.
@@ -41,6 +42,8 @@ WORDS = frozenset("ad ads advert adverts advertisement advertising adsbygoogle s
 OUTSIDE = frozenset("header masthead topbar top bottom meta tags author".split())
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"},
           "th": {"td", "th"}, "option": {"option"}}
+#: An element with more of the page's text than this is the page, whatever its class or id says.
+MOST_TEXT = 0.5
 #: A block mostly made of links is a menu.
 MOST_LINKED = 0.5
 
@@ -51,29 +54,36 @@ _NAMED = re.compile(r"\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*(\"[
 
 
 @lru_cache(maxsize=4096)
-def _around(attributes: str, inside: bool) -> bool:
-    """Do the attributes name something other than article text?"""
+def _around(attributes: str, inside: bool) -> int:
+    """Do the attributes name something other than article text?  2: by role or as hidden; 1: by a word of class or id."""
+    named = 0
     for name, value in _NAMED.findall(attributes):
         name, value = name.lower(), value.strip("\"'")
         if name in ("class", "id"):
             words = set(re.split(r"[^a-z0-9]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", value).lower()))
             if words & WORDS or not inside and words & OUTSIDE:
-                return True
+                named = 1
         elif name == "role" and value.lower() in ROLES or name == "hidden" or \
                 name == "aria-hidden" and value.lower() == "true" or \
                 name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
-            return True
-    return False
+            return 2
+    return named
 
 
 def blocks(page: str) -> list[tuple[str, int]]:
     """Blocks in page order with a role: 2 inside an article, 1 undecided; all others are left out.
 
     In a page with an article, undecided blocks are those of its main element;
-    in a page without, all that no markup speaks against.
+    in a page without, all that no markup speaks against.  A form, or a word in
+    class or id, speaks against an element's text unless the element holds the
+    longest of the article and main elements or, in a page with neither, most
+    of the text.
     """
-    found: list[list] = []  # text, in article, in main, share of linked characters
-    stack: list[tuple[str, int, int, int, int]] = []  # tag; depth of: around, article, main, links
+    found: list[list] = []  # text, in article, in main, share of linked characters, named elements around it, holder
+    stack: list[tuple] = []  # tag; depth of: around, article, main, links; named elements; holder
+    named: tuple[int, ...] = ()  # numbers of the open elements that a class, an id or a form speaks against
+    count = holder = 0
+    holders: dict[int, tuple[int, ...]] = {}  # article and main elements with the named elements around each
     parts: list[str] = []
     linked = total = 0
     around = article = main = links = 0
@@ -84,13 +94,13 @@ def blocks(page: str) -> list[tuple[str, int]]:
         if parts:
             text = " ".join("".join(parts).split())
             if text:
-                found.append([text, article > 0, main > 0, linked / max(total, 1)])
+                found.append([text, article > 0, main > 0, linked / max(total, 1), named, holder])
             parts.clear()
         linked = total = 0
 
     def pop(to: int):
-        nonlocal around, article, main, links
-        _, around, article, main, links = stack[to]
+        nonlocal around, article, main, links, named, holder
+        _, around, article, main, links, named, holder = stack[to]
         del stack[to:]
 
     def say(text: str):
@@ -142,22 +152,42 @@ def blocks(page: str) -> list[tuple[str, int]]:
                     break
                 if stack[i][0] not in INLINE and stack[i][0] != "p":
                     break
-        stack.append((tag, around, article, main, links))
+        stack.append((tag, around, article, main, links, named, holder))
+        against = _around(attributes, bool(article)) if attributes and tag not in ("html", "body") else 0
+        opens = tag == "article" or "articlebody" in attributes.lower()
         if tag == "header":
             around += not article
         elif tag in AROUND:
             around += 1
-        elif tag not in ("html", "body") and attributes and _around(attributes, bool(article)):
+        elif against == 2:
             around += 1
-        elif tag == "article" or "articlebody" in attributes.lower():
+        elif tag == "form" or against:
+            count += 1
+            named += (count,)
+        elif opens:
             article += 1
+            holder = len(holders) + 1
+            holders[holder] = named
         elif tag == "main" or re.search(r"role\s*=\s*[\"']?main\b", attributes):
             main += 1
+            holder = len(holders) + 1
+            holders[holder] = named
             has_main = True
         links += tag == "a"
     close()
+    sizes: Counter = Counter()
+    if holders:
+        for text, *_, names, within in found:
+            if within and names == holders[within]:
+                sizes[within] += len(text)
+        wrappers = set(holders[max(sizes, key=sizes.get)]) if sizes else set()
+    else:
+        for text, *_, names, _ in found:
+            sizes.update(dict.fromkeys(names, len(text)))
+        wrappers = {x for x, n in sizes.items() if n > MOST_TEXT * sum(len(b[0]) for b in found)}
+    found = [x for x in found if wrappers.issuperset(x[4])]
     has_article = any(x[1] for x in found)
-    return [(text, 2 if inside else 1) for text, inside, in_main, share in found
+    return [(text, 2 if inside else 1) for text, inside, in_main, share, *_ in found
             if inside or share <= MOST_LINKED and (in_main if has_main else not has_article)]
 
 

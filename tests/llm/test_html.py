@@ -24,6 +24,21 @@ def test_odd_markup(page, want):
     assert [t for t, _ in html.blocks(page)] == want
 
 
+@pytest.mark.parametrize("start,end", [
+    ("<div id='page' class='layout no-sidebar'>", "</div>"), ("<div class='has-sidebar'>", "</div>"), ("<form action=x>", "</form>"),
+    ("<div class='with-comments'><div class='cookie-accepted'>", "</div></div>"), ("<div class='header-fixed'>", "</div>"),
+    ("<form><div id='top'>", "</div></form>")])
+@pytest.mark.parametrize("body", ["<article><p>one two</p></article>", "<main><p>one two</p></main>", "<p>one two</p>"])
+def test_names_around_the_whole_page_do_not_silence_it(start, end, body):
+    page = f"<html><body>{start}<div class='ad'>x</div>{body}<form>y</form>{end}</body></html>"
+    assert [t for t, _ in html.blocks(page)] == ["one two"]
+
+
+def test_names_around_other_articles_count():
+    page = "<div class=no-sidebar><article>the long story</article></div><div class=related><article>teaser</article></div>"
+    assert [t for t, _ in html.blocks(page)] == ["the long story"]
+
+
 def brute(own, other):
     """Length of a longest common subsequence by the whole table."""
     table = [[0] * (len(other) + 1) for _ in range(len(own) + 1)]
