@@ -191,19 +191,31 @@ def score_hits(hits: DataFrame, key: str, stats: DataFrame, lengths: DataFrame,
     )
 
 
+#: What the search syntax of one query reads as an operator.
+_OPERATOR = r'["\u201c\u201d()+|\\]|(^|\s)-(?=\S)|\*(?=\s|$)|~\d*(?=\s|$)'
+
+
+def _plain(text: str) -> Column:
+    """The text of a query; the query fails where it holds an operator."""
+    said = F.concat(F.lit("batch queries are plain words; operator in: "), F.col(text))
+    return F.when(F.col(text).rlike(_OPERATOR), F.raise_error(said)).otherwise(F.col(text))
+
+
 def batch_hits(frequencies: DataFrame, queries: DataFrame, key: str, lengths: DataFrame,
                analysis: Analysis = EXACT) -> DataFrame:
     """All hits of a table of queries, with scores.
 
     ``queries`` has query_id, text, and optionally need ("any" or "all") and
-    excluded (text whose words rule a document out).  ``frequencies`` holds
-    document, token, tf.  Numbers per token are taken for query tokens only.
+    excluded (text whose words rule a document out).  Both texts are bags of
+    words: one with an operator of the search syntax (quotes, ``+ - |``,
+    brackets, ``*``, ``~``, backslash) raises when it is run.  ``frequencies``
+    holds document, token, tf.  Numbers per token are taken for query tokens only.
     """
     cols = queries.columns
     need = F.col("need") if "need" in cols else F.lit("any")
     listed = queries.select(
         "query_id", need.alias("need"),
-        F.array_distinct(analysis.tokens(F.col("text"))).alias("tokens"),
+        F.array_distinct(analysis.tokens(_plain("text"))).alias("tokens"),
     )
     terms = listed.select("query_id", F.explode("tokens").alias("token"))
     found = search_postings(frequencies, terms)
@@ -217,7 +229,7 @@ def batch_hits(frequencies: DataFrame, queries: DataFrame, key: str, lengths: Da
     )
     if "excluded" in cols:
         barred = queries.select(
-            "query_id", F.explode(analysis.tokens(F.col("excluded"))).alias("token")
+            "query_id", F.explode(analysis.tokens(_plain("excluded"))).alias("token")
         ).distinct()
         out = search_postings(frequencies, barred).select("query_id", key).distinct()
         hits = hits.join(out, ["query_id", key], "left_anti")

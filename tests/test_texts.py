@@ -77,6 +77,17 @@ def test_batch_and_single_search_agree(spark, docs):
     assert sorted((r.query_id, r["rank"]) for r in page) == [(1, 1), (2, 1)]
 
 
+def test_batch_search_refuses_operators(spark, docs):
+    freqs = postings.term_frequencies(postings.token_rows(docs, "id", "text"), "id")
+    lengths = postings.document_lengths(docs, "id", "text")
+    texts = ['"red dog"', "+red", "red -dog", "re*", "red~", "(red)", "red well-known a~b 5*6"]
+    rows = spark.createDataFrame([(t, t) for t in texts], "text string, same string")
+    assert [bool(r[0]) for r in rows.select(F.col("text").rlike(postings._OPERATOR)).collect()] == [True] * 6 + [False]
+    asked = spark.createDataFrame([(1, '+"red dog" -fox')], "query_id int, text string")
+    with pytest.raises(Exception, match="plain words"):
+        postings.batch_hits(freqs, asked, "id", lengths).collect()
+
+
 def test_batch_phrases(spark, docs):
     asked = [(1, "red fox"), (2, "dog dog dog"), (3, "lazy fox")]
     rows = [(q, w, i) for q, t in asked for i, w in enumerate(t.split())]
