@@ -15,15 +15,17 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from recordsearch.llm import words
-from recordsearch.llm.common import attach, checkpointed
+from recordsearch.llm.common import attach, stored
 from recordsearch.llm.graph import components
 
 #: Words of a shingle; least similarity; sketches of a text; shingles of a sketch.
 SHINGLE, SIMILAR, SKETCHES, KEPT = 5, 0.8, 16, 3
 
 _WIDE = 1 << 16
-#: Top bits of a labelled shingle that name its counter.
+#: Most bits of a labelled shingle that name its counter.
 _SLOT_BITS = 22
+#: Rows that a shingle's classes are compared with in one task.
+_SHARE = 1 << 12
 #: Aligned shingles of a pair at the least similarity, as a part of the shingles of both.
 _BOTH = SIMILAR / (1 + SIMILAR)
 
@@ -150,33 +152,60 @@ def _verify(batches):
                                          names=["lead", "node", "share"])
 
 
-def _slots(batches):
-    for batch in batches:
-        own = [labelled(_unpack(w)) >> np.uint64(64 - _SLOT_BITS) for w in batch.column("words").to_pylist()]
-        slot, n = np.unique(np.concatenate(own) if own else np.zeros(0, np.uint64), return_counts=True)
-        yield pa.RecordBatch.from_arrays([pa.array(slot.astype(np.int64)), pa.array(n.astype(np.int64))], names=["slot", "n"])
+def _slots(bits: int):
+    """Tasks that count the labelled shingles of their rows in 2^bits counters."""
+    def count(batches):
+        total = np.zeros(1 << bits, np.int64)
+        for batch in batches:
+            for packed in batch.column("words").to_pylist():
+                slot, n = np.unique(_slot(labelled(_unpack(packed)), bits), return_counts=True)
+                total[slot] += n
+        slot = np.flatnonzero(total)
+        for part in np.array_split(slot, len(slot) // _WIDE + 1):
+            yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int64)), pa.array(total[part])], names=["slot", "n"])
+
+    return count
+
+
+def _slot(own: np.ndarray, bits: int) -> np.ndarray:
+    return (own >> np.uint64(64 - bits)).astype(np.int64)
+
 
+def rare_first(own: np.ndarray, rarity: np.ndarray) -> np.ndarray:
+    """The labelled shingles that a similar text must share one of: the rarest, in one order for all texts.
 
-def rare_first(own: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """The labelled shingles that a similar text must share one of: the rarest by ``counts``, in one order for all texts."""
-    order = np.lexsort((own, counts[(own >> np.uint64(64 - _SLOT_BITS)).astype(np.int64)]))
+    ``rarity`` is a table of 2^b classes of rarity, found by the top b bits.
+    """
+    order = np.lexsort((own, rarity[_slot(own, len(rarity).bit_length() - 1)]))
     return own[order[:len(own) - int(np.ceil(SIMILAR * len(own) - 1e-9)) + 1]]
 
 
+def _rarity(crowd: DataFrame) -> np.ndarray:
+    """Classes of rarity (the binary logarithm of a count in eighths) of the crowd's shingles, one byte a counter.
+
+    There are as many counters as a few of the crowd's shingles need, 2^22 at
+    most: what the driver holds is bounded by 4 MB and small for a small crowd.
+    Shingles that share a counter cost comparisons, never a pair.
+    """
+    words_of = crowd.agg(F.coalesce(F.sum(F.length("words") / 3), F.lit(0)).cast("long").alias("n")).first()["n"]
+    bits = min(max(int(2 * words_of).bit_length(), 8), _SLOT_BITS)
+    counts = crowd.select("words").mapInArrow(_slots(bits), "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n"))
+    found = counts.select("slot", F.least(F.lit(255), F.round(8 * F.log2(F.col("n") + 1))).cast("short").alias("rarity")).toArrow()
+    table = np.zeros(1 << bits, np.uint8)
+    table[found.column("slot").to_numpy()] = found.column("rarity").to_numpy()
+    return table
+
+
 def _crowd_pairs(crowd: DataFrame) -> DataFrame:
     """(lead, node): all pairs of a crowd (node, root, words) with different roots that can reach SIMILAR.
 
     Exact, by prefix filtering: a pair at SIMILAR has, in any common order of
     the shingles, its first common shingle among the first 1 - SIMILAR of each
     text, and behind it enough shingles in both.  The order is by counts in the
-    crowd, so what fills a bucket (a template) comes last; the counts are kept
-    in 2^22 counters, which affects the cost and not the result.
+    crowd, so what fills a bucket (a template) comes last.  A shingle of many
+    rows and classes is dealt over parts by its rows' ids.
     """
-    spark = crowd.sparkSession
-    found = crowd.select("words").mapInArrow(_slots, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
-    counts = np.zeros(1 << _SLOT_BITS, np.int64)
-    counts[found.column("slot").to_numpy()] = found.column("n").to_numpy()
-    shared = spark.sparkContext.broadcast(counts)
+    shared = crowd.sparkSession.sparkContext.broadcast(_rarity(crowd))
 
     def prefixes(batches):
         for batch in batches:
@@ -186,14 +215,17 @@ def _crowd_pairs(crowd: DataFrame) -> DataFrame:
                                               pa.array(chosen, pa.list_(pa.int64()))], names=["id", "class", "n", "chosen"])
 
     named = crowd.select(F.xxhash64("node").alias("id"), F.xxhash64("root").alias("class"), "node", "words")
-    rows = checkpointed(named.select("id", "class", "words").mapInArrow(prefixes, "id long, class long, n long, chosen array<long>")
-                        .select("id", "class", "n", F.posexplode("chosen").alias("place", "shingle")))
-    met = rows.groupBy("shingle").agg(F.min("class").alias("a"), F.max("class").alias("b")).where("a <> b").select("shingle")
-    rows = checkpointed(rows.join(met, "shingle", "left_semi"))
+    rows = stored(named.select("id", "class", "words").mapInArrow(prefixes, "id long, class long, n long, chosen array<long>")
+                  .select("id", "class", "n", F.posexplode("chosen").alias("place", "shingle")))
+    met = rows.groupBy("shingle").agg(F.min("class").alias("a"), F.max("class").alias("b"), F.count("*").alias("k"))
+    met = met.where("a <> b").select("shingle", F.ceil(F.col("k") / _SHARE).cast("int").alias("parts"))
+    rows = stored(rows.join(met, "shingle"))
     # the shorter text of a pair has the shingle among its first 1 - 2 SIMILAR / (1 + SIMILAR)
     short = rows.where(F.col("n") - F.col("place") >= 2 * _BOTH * F.col("n") - 1e-9)
-    classes = rows.select("shingle", F.col("class").alias("other")).distinct()
-    both = short.alias("y").join(classes.alias("c"), F.expr("y.shingle = c.shingle AND y.class <> c.other")).join(
+    short = short.withColumn("part", F.pmod(F.col("id"), F.col("parts")))
+    classes = rows.groupBy("shingle", F.col("class").alias("other")).agg(F.first("parts").alias("parts"))
+    classes = classes.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    both = short.alias("y").join(classes.alias("c"), F.expr("y.shingle = c.shingle AND y.part = c.part AND y.class <> c.other")).join(
         rows.alias("x"), F.expr("x.shingle = y.shingle AND x.class = c.other AND (y.n, y.id) < (x.n, x.id)")
         & (F.col("y.n") >= SIMILAR * F.col("x.n") - 1e-9)
         & (F.least(F.expr("x.n - x.place"), F.expr("y.n - y.place")) >= _BOTH * F.expr("x.n + y.n") - 1e-9))
@@ -205,7 +237,7 @@ def _crowd_pairs(crowd: DataFrame) -> DataFrame:
 
 def _candidates(buckets: DataFrame) -> DataFrame:
     """(key, lead, node): every member of a bucket with the member of the smallest id."""
-    leads = checkpointed(buckets.groupBy("key").agg(
+    leads = stored(buckets.groupBy("key").agg(
         F.min(F.struct("first_id", "node", "n")).alias("least"), F.count("*").alias("members")).where("members > 1")
         .select("key", F.col("least.node").alias("lead"), F.col("least.n").alias("lead_n"), "members"))
     return attach(buckets, leads, "key", "node", "members").where("lead IS NOT NULL AND lead <> node")
@@ -235,19 +267,19 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     """
     source = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"),
                          text_digest(F.col(text)).alias("digest"))
-    sketched = checkpointed(source.mapInArrow(_sketch, "doc_id long, digest string, n long, keys array<long>"))
-    nodes = checkpointed(sketched.where("digest IS NOT NULL").groupBy(F.col("digest").alias("node")).agg(
+    sketched = stored(source.mapInArrow(_sketch, "doc_id long, digest string, n long, keys array<long>"))
+    nodes = stored(sketched.where("digest IS NOT NULL").groupBy(F.col("digest").alias("node")).agg(
         F.min("doc_id").alias("first_id"), F.any_value("n").alias("n"), F.any_value("keys").alias("keys"), F.count("*").alias("copies")))
     buckets = nodes.select("node", "first_id", "n", F.explode("keys").alias("key"))
     fit = (F.least("n", "lead_n") >= SIMILAR * F.greatest("n", "lead_n") - 1e-9)
-    first = checkpointed(_candidates(buckets).select("key", "node", "first_id", "n", "lead", "lead_n"))
-    pairs = checkpointed(first.where(fit).select("lead", "node").distinct())
+    first = stored(_candidates(buckets).select("key", "node", "first_id", "n", "lead", "lead_n"))
+    pairs = stored(first.where(fit).select("lead", "node").distinct())
     needed = pairs.select("node").unionByName(pairs.select(F.col("lead").alias("node"))).distinct()
     # the second round compares only members of the same buckets
     needed = needed.unionByName(first.where(~fit).select("node")).distinct()
     needed = nodes.select("node", "first_id").join(needed, "node", "left_semi")
     own = source.where("digest IS NOT NULL").mapInArrow(_sequences, "first_id long, node string, words binary")
-    texts = checkpointed(  # of each node the row with its smallest id, so copies are spread by their ids
+    texts = stored(  # of each node the row with its smallest id, so copies are spread by their ids
         own.alias("o").join(needed.alias("q"), F.expr("o.node = q.node AND o.first_id <=> q.first_id"))
         .select("o.node", "o.first_id", "o.words").dropDuplicates(["node", "first_id"]).select("node", "words"))
 
@@ -255,15 +287,15 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
         right = texts.withColumnRenamed("words", "right_words")
         left = texts.select(F.col("node").alias("lead"), F.col("words").alias("left_words"))
         both = asked.join(right, "node").join(left, "lead")
-        return checkpointed(both.mapInArrow(_verify, "lead string, node string, share double"))
+        return stored(both.mapInArrow(_verify, "lead string, node string, share double"))
 
     checked = verified(pairs)
     links = checked.where("share > 0").select(F.col("lead").alias("a"), F.col("node").alias("b"))
     judged = first.join(checked, ["lead", "node"], "left").withColumn("share", F.coalesce("share", F.lit(0.0)))
-    judged = checkpointed(judged.select("key", "node", "first_id", "n", "share"))
+    judged = stored(judged.select("key", "node", "first_id", "n", "share"))
     rejected = judged.where("share = 0").drop("share")
     again = _candidates(rejected).select("lead", "node", "n", "lead_n")
-    accepted = checkpointed(judged.where("share > 0").groupBy("key").agg(
+    accepted = stored(judged.where("share > 0").groupBy("key").agg(
         F.max(F.struct("first_id", "node", "n")).alias("last"))
         .join(rejected.groupBy("key").agg(F.count("*").alias("members")), "key")
         .select("key", F.col("last.node").alias("lead"), F.col("last.n").alias("lead_n"), "members"))
@@ -272,21 +304,21 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
         checked.select("lead", "node"), ["lead", "node"], "left_anti")
     links = links.unionByName(verified(second).where("share > 0").select(F.col("lead").alias("a"), F.col("node").alias("b")))
 
-    roots = checkpointed(components(links))
-    member = checkpointed(judged.select("key", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")))
+    roots = stored(components(links))
+    member = stored(judged.select("key", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")))
     open_ = member.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b"), F.count("*").alias("members")).where(
         "a <> b AND members > 2")  # of two, each was compared with the other
-    asked = attach(member, checkpointed(open_.select("key", "a", "members")), "key", "node", "members").where("a IS NOT NULL")
-    crowd = checkpointed(texts.join(asked.select("node", "root").distinct(), "node").select("node", "root", "words"))
+    asked = attach(member, stored(open_.select("key", "a", "members")), "key", "node", "members").where("a IS NOT NULL")
+    crowd = stored(texts.join(asked.select("node", "root").distinct(), "node").select("node", "root", "words"))
     late = verified(_crowd_pairs(crowd)).where("share > 0").select("lead", "node")
     of = crowd.select("node", "root")
     joined = components(late.join(of.withColumnRenamed("root", "b"), "node").join(
         of.select(F.col("node").alias("lead"), F.col("root").alias("a")), "lead").select("a", "b"))
     rooted = nodes.select("node", "first_id", "copies").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    rooted = checkpointed(rooted.join(joined.select(F.col("node").alias("root"), F.col("root").alias("last")), "root", "left")
+    rooted = stored(rooted.join(joined.select(F.col("node").alias("root"), F.col("root").alias("last")), "root", "left")
                           .withColumn("root", F.coalesce("last", "root")).drop("last"))
-    classes = checkpointed(rooted.groupBy("root").agg(F.min("first_id").alias("class_id"), F.count("*").alias("members")))
-    named = checkpointed(attach(rooted, classes, "root", "node", "members").select(
+    classes = stored(rooted.groupBy("root").agg(F.min("first_id").alias("class_id"), F.count("*").alias("members")))
+    named = stored(attach(rooted, classes, "root", "node", "members").select(
         F.col("node").alias("digest"), "class_id", "root", "copies"))
     rows = attach(sketched.select("doc_id", "digest"), named, "digest", "doc_id", "copies")
     return rows.withColumn("class_id", F.when(F.col("digest").isNull(), F.col("doc_id")).otherwise(F.col("class_id")))
