@@ -206,6 +206,34 @@ def phrase_occurrences(spaced: Column, words: list[str]) -> Column:
     return occurrences(spaced, needle)
 
 
+def swapped(word: Column) -> Column:
+    """All words that a swap of two neighbouring letters makes of the word."""
+    return F.transform(F.sequence(F.lit(1), F.greatest(F.length(word) - 1, F.lit(1))), lambda i: F.concat(
+        word.substr(F.lit(1), i - 1), word.substr(i + 1, F.lit(1)), word.substr(i, F.lit(1)), word.substr(i + 2, F.length(word))))
+
+
+def within_edits(one: Column, other: Column, edits: int) -> Column:
+    """Whether at most ``edits`` (0, 1 or 2) edits lie between two words.
+
+    An edit inserts, deletes or replaces a letter or swaps two neighbours.  A
+    swap and another edit come in either order.  The first test is cheap and
+    drops nearly all words: an edit is at most two without swaps.
+    """
+    if not edits:
+        return one == other
+
+    def close(a, b, n):
+        return F.levenshtein(a, b, n) >= 0
+
+    if edits == 1:
+        found = F.exists(swapped(one), lambda s: s == other)
+    else:
+        found = (F.exists(swapped(one), lambda s: close(s, other, 1)) | F.exists(swapped(other), lambda s: close(one, s, 1))
+                 | F.arrays_overlap(swapped(one), swapped(other)))
+    return F.length(one).between(F.length(other) - edits, F.length(other) + edits) & close(one, other, 2 * edits) & (
+        close(one, other, edits) | found)
+
+
 def fold_quotes(text: Column) -> Column:
     """Curly double and single quotes become straight ones."""
     return F.translate(text, "“”‘’", "\"\"''")

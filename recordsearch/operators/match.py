@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from recordsearch.functions.text import (
-    EXACT, Analysis, occurrences, phrase_occurrences, word_occurrences,
+    EXACT, Analysis, occurrences, phrase_occurrences, within_edits, word_occurrences,
 )
 
 
@@ -176,9 +176,7 @@ def leaves(clause) -> list:
 def near(token: Column, word: str, edits: int) -> Column:
     """Within the edit distance; the length test spares most of the work."""
     size = F.length(token)
-    return size.between(len(word) - edits, len(word) + edits) & (
-        F.levenshtein(token, F.lit(word), edits) >= 0
-    )
+    return size.between(len(word) - edits, len(word) + edits) & within_edits(token, F.lit(word), edits)
 
 
 def frequency(leaf, plain: Column, exact: Column) -> Column:

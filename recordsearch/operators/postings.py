@@ -1,19 +1,17 @@
 """Words of a corpus as tables: vocabulary, postings, and search for many
 queries at once.
 
-The postings table (token, document, position) is written once and read by
-token.  A batch of queries is an equi-join on the token; prefixes and fuzzy
-words are first resolved on the vocabulary, also by equi-joins.
+The postings table is written once and read by token.  A batch of queries is
+an equi-join on the token; prefixes and fuzzy words are first resolved on the
+vocabulary, also by equi-joins.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from recordsearch.functions.text import EXACT, Analysis, let, located_tokens, token_count
-from recordsearch.operators import rank
-from recordsearch.operators.page import topk_per_group
+from recordsearch.functions.text import EXACT, Analysis, let, located_tokens, token_count, within_edits
 from recordsearch.operators.skew import lookup, spread_join
 
 
@@ -104,14 +102,14 @@ def apply_vocabulary(postings: DataFrame, vocabulary: DataFrame) -> DataFrame:
 def expand_prefixes(vocabulary: DataFrame, prefixes: DataFrame) -> DataFrame:
     """(query_id, term, token) for prefix terms, by an equi-join on prefixes.
 
-    Every distinct token lists its own prefixes; the vocabulary is small
-    beside the corpus, and no pair has to be tried.
+    A token lists its beginnings of the lengths that are asked, mostly one or
+    two, and no pair has to be tried.
     """
-    starts = F.transform(
-        F.sequence(F.lit(1), F.length("token")), lambda n: F.col("token").substr(F.lit(1), n)
-    )
-    listed = vocabulary.where(F.length("token") > 0).select("token", F.explode(starts).alias("term"))
-    return prefixes.join(listed, "term").select("query_id", "term", "token")
+    lengths = prefixes.agg(F.collect_set(F.length("term"))).scalar()  # at most as many as the longest term has letters
+    listed = vocabulary.select("token", lengths.alias("_lengths"))
+    starts = F.transform(F.filter("_lengths", lambda n: n.between(1, F.length("token"))),
+                         lambda n: F.col("token").substr(F.lit(1), n))
+    return prefixes.join(listed.select("token", F.explode(starts).alias("term")), "term").select("query_id", "term", "token")
 
 
 def _deletions(word: Column, edits: int) -> Column:
@@ -132,18 +130,54 @@ def _deletions(word: Column, edits: int) -> Column:
     return forms
 
 
+def _segments(edits: int, size: Column) -> Column:
+    """(number, begin, length) of the parts of a word of ``size`` letters: so many that edits leave one as it is."""
+    n = 2 * edits + 1  # a swap over a border touches two
+    return F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda j: F.struct(
+        j.alias("number"), F.floor(j * size / n).cast("int").alias("begin"),
+        (F.floor((j + 1) * size / n) - F.floor(j * size / n)).cast("int").alias("length")))
+
+
+def _own_pieces(word: Column, edits: int) -> Column:
+    return F.transform(_segments(edits, F.length(word)), lambda s: F.struct(
+        F.length(word).alias("size"), s["number"].alias("number"), word.substr(s["begin"] + 1, s["length"]).alias("piece")))
+
+
+def _asked_pieces(word: Column, edits: int, least: int) -> Column:
+    """What the parts of a word within the edits would be, for each length it may have and each place a part may have moved to."""
+    size = F.length(word)
+    sizes = F.filter(F.sequence(size - edits, size + edits), lambda n: n >= least)
+
+    def of_part(n, s):
+        begins = F.filter(F.sequence(s["begin"] - edits, s["begin"] + edits), lambda b: (b >= 0) & (b + s["length"] <= size))
+        return F.transform(begins, lambda b: F.struct(
+            n.alias("size"), s["number"].alias("number"), word.substr(b + 1, s["length"]).alias("piece")))
+
+    def of_size(n):
+        return F.flatten(F.transform(_segments(edits, n), lambda s: of_part(n, s)))
+
+    return F.array_distinct(F.flatten(F.transform(sizes, of_size)))
+
+
 def expand_fuzzy(vocabulary: DataFrame, terms: DataFrame, edits: int = 1) -> DataFrame:
-    """(query_id, term, token) for tokens within the edit distance of a term.
+    """(query_id, term, token) for tokens within the edit distance of a term; a swap of neighbours is one edit.
 
-    Two words within N edits share a form with at most N letters left out:
-    candidates meet in an equi-join on those forms and are then measured.
+    A token is cut into 2N + 1 parts, of which N edits leave one as it is, at
+    most N letters from its place: candidates meet in an equi-join on length,
+    number and letters of a part, so the vocabulary makes a few rows a token.
+    Words too short to be cut meet on the forms with up to N letters left out.
+    All candidates are then measured.
     """
-    left = vocabulary.select("token", F.explode(_deletions(F.col("token"), edits)).alias("form"))
-    right = terms.select("query_id", "term", F.explode(_deletions(F.col("term"), edits)).alias("form"))
-    close = F.levenshtein(F.col("token"), F.col("term"), edits) >= 0
-    return (
-        left.join(right, "form").where(close).select("query_id", "term", "token").distinct()
-    )
+    least = 2 * (2 * edits + 1)  # letters of the shortest token that is cut, two a part
+    asked = terms.select("term").where(F.length("term") > 0).distinct()
+    long = vocabulary.where(F.length("token") >= least).select("token", F.inline(_own_pieces(F.col("token"), edits)))
+    wide = asked.where(F.length("term") >= least - edits).select("term", F.inline(_asked_pieces(F.col("term"), edits, least)))
+    short = vocabulary.where(F.length("token") < least).select("token", F.explode(_deletions(F.col("token"), edits)).alias("form"))
+    small = asked.where(F.length("term") < least + edits).select("term", F.explode(_deletions(F.col("term"), edits)).alias("form"))
+    met = long.join(wide, ["size", "number", "piece"]).select("term", "token").unionByName(
+        short.join(small, "form").select("term", "token")).distinct()
+    close = met.where(within_edits(F.col("token"), F.col("term"), edits))
+    return terms.select("query_id", "term").join(close, "term").select("query_id", "term", "token").distinct()
 
 
 def search_postings(postings: DataFrame, query_terms: DataFrame, spread: bool = True) -> DataFrame:
@@ -156,98 +190,40 @@ def search_postings(postings: DataFrame, query_terms: DataFrame, spread: bool =
     return spread_join(postings, query_terms, ["token"], spread)
 
 
-def match_phrases(postings: DataFrame, key: str, phrase_terms: DataFrame) -> DataFrame:
-    """(query_id, document) where the words of a phrase stand in a row.
+def phrase_places(postings: DataFrame, key: str, words: DataFrame, phrase: list[str], rest: tuple[str, ...] = ()) -> DataFrame:
+    """For each phrase and document with all of its words: ``places``, the places of the phrase with their positions.
 
-    ``phrase_terms`` holds (query_id, token, place).  Position minus place is
-    the start of the phrase; a start that all places agree on is a match, so
-    one grouping replaces the chain of self-joins.
+    ``postings`` has token, key, positions and the columns ``rest``; ``words``
+    has the columns ``phrase`` that name a phrase, token, place and doc_freq.
+    The rarest word of a phrase chooses its documents; only for these the
+    other words are looked up, by token and document, so a frequent word costs
+    no more than the rarest one has documents.
     """
-    sizes = phrase_terms.groupBy("query_id").agg(F.count("*").alias("_words"))
-    starts = search_postings(postings, phrase_terms).select(
-        "query_id", key, (F.col("pos") - F.col("place")).alias("start")
-    )
-    counted = starts.groupBy("query_id", key, "start").agg(F.count("*").alias("n"))
-    full = spread_join(counted, sizes, ["query_id"]).where(F.col("n") == F.col("_words"))
-    return full.groupBy("query_id", key).agg(F.count("*").alias("occurrences"))
+    order = Window.partitionBy(*phrase).orderBy("doc_freq", "place")
+    size = F.count("*").over(Window.partitionBy(*phrase))
+    ranked = words.withColumns({"_rank": F.row_number().over(order), "_n": size})
+    first = postings.select("token", key).join(ranked.where("_rank = 1").select(*phrase, "token"), "token").drop("token")
+    asked = first.join(ranked.drop("_rank", "doc_freq"), phrase)
+    found = postings.select("token", key, "positions", *rest).join(asked, ["token", key])
+    rows = found.groupBy(*phrase, key, *rest, "_n").agg(F.collect_list(F.struct("place", "token", "positions")).alias("places"))
+    return rows.where(F.size("places") == F.col("_n")).drop("_n")
 
 
-def score_hits(hits: DataFrame, key: str, stats: DataFrame, lengths: DataFrame,
-               frequencies: DataFrame) -> DataFrame:
-    """BM25 per query and document from (query_id, document, token, tf).
-
-    The sum is rounded, so equal documents score equal in whatever order their
-    words were added up.
-    """
-    one = stats.select(F.struct("*")).scalar()
-    weighed = spread_join(hits, frequencies.select("token", "doc_freq"), ["token"])
-    rows = weighed.join(lengths, key).withColumn("_s", one)
-    points = rank.bm25(
-        F.col("tf"), rank.idf(F.col("_s.n_docs"), F.col("doc_freq")),
-        F.col("length"), F.col("_s.mean_length"),
-    )
-    return rows.groupBy("query_id", key).agg(
-        F.round(F.sum(points), 9).alias("score"), F.count("*").alias("matched")
-    )
-
-
-#: What the search syntax of one query reads as an operator.
-_OPERATOR = r'["\u201c\u201d()+|\\]|(^|\s)-(?=\S)|\*(?=\s|$)|~\d*(?=\s|$)'
+def times_in_a_row(places: Column) -> Column:
+    """How often the words of a phrase stand in a row: starts (position minus place) that all places have."""
+    starts = F.transform(places, lambda p: F.transform(p["positions"], lambda x: x - p["place"]))
+    return F.size(F.aggregate(F.slice(starts, 2, F.size(starts)), F.element_at(starts, 1), F.array_intersect))
 
 
-def _plain(text: str) -> Column:
-    """The text of a query; the query fails where it holds an operator."""
-    said = F.concat(F.lit("batch queries are plain words; operator in: "), F.col(text))
-    return F.when(F.col(text).rlike(_OPERATOR), F.raise_error(said)).otherwise(F.col(text))
+def match_phrases(postings: DataFrame, key: str, phrase_terms: DataFrame, words: DataFrame) -> DataFrame:
+    """(query_id, document, occurrences) where the words of a phrase stand in a row.
 
-
-def batch_hits(frequencies: DataFrame, queries: DataFrame, key: str, lengths: DataFrame,
-               analysis: Analysis = EXACT) -> DataFrame:
-    """All hits of a table of queries, with scores.
-
-    ``queries`` has query_id, text, and optionally need ("any" or "all") and
-    excluded (text whose words rule a document out).  Both texts are bags of
-    words: one with an operator of the search syntax (quotes, ``+ - |``,
-    brackets, ``*``, ``~``, backslash) raises when it is run.  ``frequencies``
-    holds document, token, tf.  Numbers per token are taken for query tokens only.
-    """
-    cols = queries.columns
-    need = F.col("need") if "need" in cols else F.lit("any")
-    listed = queries.select(
-        "query_id", need.alias("need"),
-        F.array_distinct(analysis.tokens(_plain("text"))).alias("tokens"),
-    )
-    terms = listed.select("query_id", F.explode("tokens").alias("token"))
-    found = search_postings(frequencies, terms)
-    wanted = terms.select("token").distinct()
-    doc_freq = token_stats(frequencies.join(wanted, "token", "left_semi"))
-    scored = score_hits(found, key, corpus_stats(lengths), lengths, doc_freq)
-    rules = listed.select("query_id", "need", F.size("tokens").alias("_n"))
-    complete = (F.col("need") != "all") | (F.col("matched") == F.col("_n"))
-    hits = spread_join(scored, rules, ["query_id"]).where(complete).select(
-        "query_id", key, "score", "matched"
-    )
-    if "excluded" in cols:
-        barred = queries.select(
-            "query_id", F.explode(analysis.tokens(_plain("excluded"))).alias("token")
-        ).distinct()
-        out = search_postings(frequencies, barred).select("query_id", key).distinct()
-        hits = hits.join(out, ["query_id", key], "left_anti")
-    return hits
-
-
-def batch_search(frequencies: DataFrame, queries: DataFrame, docs: DataFrame, key: str,
-                 lengths: DataFrame, order: list[Column] | None = None, size: int = 10,
-                 offset: int = 0, analysis: Analysis = EXACT) -> DataFrame:
-    """The page of every query, best first, with the columns of ``docs``.
-
-    Only the page keys are joined to the documents when the order needs the
-    score and key alone.
+    ``postings`` has a row (token, document, positions) for each token of a
+    document, ``phrase_terms`` holds (query_id, token, place) and ``words``
+    (token, doc_freq).  A phrase with a word that no document has matches
+    nothing.
     """
-    hits = batch_hits(frequencies, queries, key, lengths, analysis)
-    by_score = [F.col("score").desc(), F.col(key).asc()]
-    if order is not None:
-        hits = hits.join(docs, key)
-        return topk_per_group(hits, ["query_id"], order, offset, size, ["query_id", key])
-    page = topk_per_group(hits, ["query_id"], by_score, offset, size, ["query_id", key])
-    return page.join(docs, key)
+    known = phrase_terms.join(words.select("token", "doc_freq"), "token", "left")
+    known = known.withColumn("doc_freq", F.coalesce("doc_freq", F.lit(0)))
+    rows = phrase_places(postings, key, known, ["query_id"])
+    return rows.select("query_id", key, times_in_a_row(F.col("places")).cast("long").alias("occurrences")).where("occurrences > 0")

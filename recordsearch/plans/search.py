@@ -14,6 +14,7 @@ from recordsearch.functions.urls import FileStore
 from recordsearch.operators import filters, match, page, rank, results
 from recordsearch.operators.catalogue import theme_route
 from recordsearch.operators.highlight import highlight
+from recordsearch.operators.numbers import Numbers
 
 QUOTES = str.maketrans("“”‘’", "\"\"''")
 
@@ -50,8 +51,8 @@ class Corpus:
     """A document table with its column names and analyses.
 
     ``analysed_plain`` and ``analysed_exact`` name stored columns of analysed
-    text and ``stats`` a stored table of corpus numbers; without them both are
-    worked out from the text.
+    text; without them it is worked out.  Searches take corpus numbers that
+    are kept beside the documents as ``stats``.
     """
 
     docs: DataFrame
@@ -129,6 +130,28 @@ def corpus_stats(corpus: Corpus, clause) -> DataFrame:
     return lines.agg(F.count("*").alias("n_docs"), *sums)
 
 
+def kept_stats(numbers: Numbers, corpus: Corpus, clause) -> DataFrame:
+    """The row of ``corpus_stats`` from kept numbers: one read of the words asked, none of the corpus.
+
+    How many documents have any word near a fuzzy one can't be told from the
+    words alone; only this is counted in the corpus.
+    """
+    leaves = match.leaves(clause)
+    asked = {f"{side} {w}": (side, w) for x in leaves for side, kind in (("plain", match.Word), ("exact", match.Phrase))
+             if isinstance(x, kind) for w in rank.words_of(x)}
+    found = numbers.words.where(F.col("token").isin(*{w for _, w in asked.values()})) if asked else numbers.words.where(F.lit(False))
+    words = found.agg(F.count("*").alias("_"), *[
+        F.coalesce(F.max(F.when((F.col("side") == side) & (F.col("token") == w), F.col("doc_freq"))), F.lit(0)).alias(name)
+        for name, (side, w) in asked.items()]).drop("_")
+    lengths = [(F.col(f"{s}_tokens") / F.nullif(F.col(f"{s}_texts"), F.lit(0))).alias(f"{s}_len") for s in ("plain", "exact")]
+    row = numbers.sizes.select("n_docs", *lengths).join(words)  # two tables of one row
+    fuzzy = tuple(x for x in leaves if isinstance(x, match.Fuzzy))
+    if fuzzy:
+        near = corpus_stats(corpus, match.AnyOf(fuzzy))
+        row = row.join(near.select(*[f"`{_fuzzy_name(x)}`" for x in fuzzy]))
+    return row
+
+
 def _fuzzy_name(leaf) -> str:
     """A column name that holds whatever the user wrote, in hexadecimal."""
     return f"fuzzy {leaf.text.encode('utf-8', 'surrogatepass').hex()} {leaf.edits}"
@@ -170,7 +193,7 @@ def _score(clause, frequency, matched, stats: Column, lengths) -> Column:
 
 
 def text_hits(corpus: Corpus, rows: DataFrame, clause, scored: bool = True,
-              score: str = "score", stats: DataFrame | None = None) -> DataFrame:
+              score: str = "score", stats: DataFrame | Numbers | None = None) -> DataFrame:
     """Rows that match the clause, with their score.
 
     One pass: a substring test on the raw text, then the analysis of the rest,
@@ -215,7 +238,9 @@ def text_hits(corpus: Corpus, rows: DataFrame, clause, scored: bool = True,
     rows = rows.select(*columns, F.inline(bound))
     if not scored:
         return rows.select(*columns)
-    numbers = (corpus_stats(corpus, clause) if stats is None else stats)
+    numbers = corpus_stats(corpus, clause) if stats is None else stats
+    if isinstance(numbers, Numbers):
+        numbers = kept_stats(numbers, corpus, clause)
     rows = rows.withColumn("_stats", numbers.select(F.struct("*")).scalar())
     points = _score(
         clause,
@@ -236,7 +261,7 @@ def _shared_filters(request: SearchRequest, corpus: Corpus) -> list[Column]:
     return [c for c in found if c is not None]
 
 
-def gazette_hits(corpus: Corpus, request: SearchRequest, stats: DataFrame | None = None):
+def gazette_hits(corpus: Corpus, request: SearchRequest, stats: DataFrame | Numbers | None = None):
     """(matching rows with a score, clause): nothing asked, nothing found."""
     clause = clause_of(request.querystring, corpus)
     conditions = _shared_filters(request, corpus)
@@ -251,7 +276,7 @@ def gazette_hits(corpus: Corpus, request: SearchRequest, stats: DataFrame | None
 
 
 def search_gazettes(corpus: Corpus, request: SearchRequest, store: FileStore = FileStore(),
-                    stats: DataFrame | None = None, public: bool = False,
+                    stats: DataFrame | Numbers | None = None, public: bool = False,
                     keep: tuple[str, ...] = ()) -> Found:
     """Filters, text, relevance or date order, page, excerpts and result rows."""
     hits, clause = gazette_hits(corpus, request, stats)
@@ -272,7 +297,7 @@ def _excerpts(corpus: Corpus, clause, request: SearchRequest) -> Column:
     )
 
 
-def excerpt_hits(corpus: Corpus, request: ThemeRequest, stats: DataFrame | None = None,
+def excerpt_hits(corpus: Corpus, request: ThemeRequest, stats: DataFrame | Numbers | None = None,
                  pivots: DataFrame | None = None):
     """(excerpts of the theme with a score, clause).  No condition finds all."""
     theme = replace(corpus, docs=corpus.docs.where(F.col("theme") == request.theme))
@@ -304,7 +329,7 @@ def excerpt_hits(corpus: Corpus, request: ThemeRequest, stats: DataFrame | None
 
 
 def search_excerpts(corpus: Corpus, request: ThemeRequest, store: FileStore = FileStore(),
-                    stats: DataFrame | None = None, public: bool = False,
+                    stats: DataFrame | Numbers | None = None, public: bool = False,
                     keep: tuple[str, ...] = (), themes: DataFrame | None = None) -> Found:
     """Theme search: boosts added to relevance; the text is the first highlight.
 

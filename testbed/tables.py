@@ -7,8 +7,11 @@ from pyspark.sql import functions as F
 
 from recordsearch.functions import taxid
 from recordsearch.functions.urls import FileStore
+from recordsearch.plans.index import Index, write_index
+from recordsearch.plans.search import Corpus
 from recordsearch.schemas import COMPANY_ATTRIBUTES, PARTNER_ATTRIBUTES
 from recordsearch.sources.readers import spread
+from recordsearch.sources.writers import shared_folder
 
 STORE = FileStore(
     endpoint="https://files.example.org",
@@ -86,11 +89,11 @@ TERRITORIES = "territories AS (SELECT DISTINCT source AS id FROM documents WHERE
 
 def excerpts(spark, sf_dir):
     labels = table(spark, sf_dir, "labels").select("doc_id", "quality")
-    return documents(spark, sf_dir).join(labels, "doc_id").selectExpr(
+    return documents(spark, sf_dir).join(labels, "doc_id", "left").selectExpr(
         "lang AS theme",
         "concat('x', doc_id) AS excerpt_id",
         "text AS excerpt",
-        "array(source, concat('q', quality)) AS excerpt_subthemes",
+        "array(source, concat('q', coalesce(CAST(quality AS string), 'none'))) AS excerpt_subthemes",
         """CASE WHEN doc_id % 9 <> 0 THEN
              array(concat('e', doc_id % 4), concat('e', doc_id % 6)) END AS excerpt_entities""",
         "CAST(1 AS double) / (1 + doc_id % 10) AS excerpt_tfidf_score",
@@ -108,7 +111,7 @@ def excerpts(spark, sf_dir):
 
 
 EXCERPTS = """excerpts AS (SELECT lang AS theme, 'x' || doc_id AS excerpt_id, text AS excerpt,
-  [source, 'q' || quality] AS excerpt_subthemes,
+  [source, 'q' || coalesce(CAST(quality AS VARCHAR), 'none')] AS excerpt_subthemes,
   CASE WHEN doc_id % 9 <> 0 THEN ['e' || (doc_id % 4), 'e' || (doc_id % 6)] END AS excerpt_entities,
   CAST(1 AS DOUBLE) / (1 + doc_id % 10) AS excerpt_tfidf_score,
   CAST(1 + doc_id % 7 AS DOUBLE) / 8 AS excerpt_embedding_score,
@@ -118,7 +121,7 @@ EXCERPTS = """excerpts AS (SELECT lang AS theme, 'x' || doc_id AS excerpt_id, te
   source || '/' || doc_id || '.pdf' AS source_url,
   CASE WHEN doc_id % 6 <> 0 THEN source || '/' || doc_id || '.txt' END AS source_file_raw_txt,
   CAST(doc_id AS VARCHAR) AS source_edition_number, doc_id % 2 = 0 AS source_is_extra_edition
-  FROM documents JOIN labels USING (doc_id))"""
+  FROM documents LEFT JOIN labels USING (doc_id))"""
 
 
 def themes(spark, sf_dir):
@@ -413,6 +416,17 @@ def postings(spark, sf_dir):
     return token_rows(documents(spark, sf_dir), "doc_id", "text")
 
 
+_INDEXES: dict[tuple[str, str], Index] = {}
+
+
+def index(spark, sf_dir) -> Index:
+    """The stored index of the documents as gazettes; built once a session, as a corpus is indexed once and searched often."""
+    known = (spark.sparkContext.applicationId, sf_dir)
+    if known not in _INDEXES:
+        _INDEXES[known] = write_index(Corpus(gazettes(spark, sf_dir), key="id"), shared_folder(spark), buckets=16)
+    return _INDEXES[known]
+
+
 TOKENS = """token_lists AS (SELECT doc_id,
     regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS toks FROM documents),
 postings AS (SELECT doc_id, unnest(toks) AS token, generate_subscripts(toks, 1) - 1 AS pos

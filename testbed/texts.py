@@ -7,8 +7,9 @@ from datetime import date
 from pyspark.sql import functions as F
 
 from recordsearch.functions.text import EXACT, Analysis
-from recordsearch.operators import highlight, page, postings
+from recordsearch.operators import highlight, ingest, numbers, page, postings
 from recordsearch.operators.match import AllOf, AnyOf, Not, Phrase, Word
+from recordsearch.plans import batch
 from recordsearch.plans.search import (
     Corpus, SearchRequest, ThemeRequest, clause_of, corpus_stats, excerpt_corpus,
     search_excerpts, search_gazettes, text_hits,
@@ -168,7 +169,7 @@ def match_prefix(spark, sf):
 
 
 @query("match_fuzzy", """SELECT DISTINCT doc_id AS id FROM postings
-  WHERE levenshtein({0}, 'attion') <= 1 OR levenshtein({0}, 'esnont') <= 2""".format(
+  WHERE damerau_levenshtein({0}, 'attion') <= 1 OR damerau_levenshtein({0}, 'esnont') <= 2""".format(
     PLAIN_LETTERS.format("token")), t.TOKENS)
 def match_fuzzy(spark, sf):
     return matching(spark, sf, "attion~1 esnont~2")
@@ -352,67 +353,126 @@ def search_excerpts_all(spark, sf):
 # ---- many queries at once
 
 BATCH = SCORED + """,
-asked AS (SELECT item_id AS query_id, list_distinct(list_filter(
-    regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+'), lambda x: length(x) > 6)) AS words FROM benchmark),
+asked AS (SELECT item_id AS query_id, list_distinct(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+')) AS words FROM benchmark),
 terms AS (SELECT query_id, unnest(words) AS token FROM asked)"""
 
 
 def batch_queries(spark, sf):
-    """The longer words of the benchmark texts, as one query per text."""
-    rows = t.table(spark, sf, "benchmark")
-    words = F.filter(EXACT.tokens(F.col("text")), lambda w: F.length(w) > 6)
-    return rows.select(F.col("item_id").alias("query_id"), F.array_join(words, " ").alias("text"))
+    """All words of each benchmark text, each once, as one query per text."""
+    words = F.array_distinct(EXACT.tokens(F.col("text")))
+    return t.table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), words.alias("words"))
 
 
 def batch_terms(spark, sf):
-    tokens = F.array_distinct(F.split("text", " "))
-    rows = batch_queries(spark, sf).select("query_id", F.explode(tokens).alias("token"))
-    return rows.where("token <> ''")
-
-
-def frequencies(spark, sf):
-    return postings.term_frequencies(t.postings(spark, sf), "doc_id")
+    return batch_queries(spark, sf).select("query_id", F.explode("words").alias("token"))
 
 
 @query("search_postings", "SELECT query_id, doc_id, token, tf FROM freqs JOIN terms USING (token)", BATCH)
 def search_postings(spark, sf):
-    out = postings.search_postings(frequencies(spark, sf), batch_terms(spark, sf))
-    return out.select("query_id", "doc_id", "token", "tf")
+    side = t.index(spark, sf).exact
+    out = postings.search_postings(side.postings, batch_terms(spark, sf), spread=False)
+    return out.select("query_id", F.col("id").alias("doc_id"), "token", F.size("positions").cast("long").alias("tf"))
 
 
-@query("batch_search", """SELECT query_id, doc_id, lang, rank, round(score, 6) AS score FROM (
+@query("batch_search", """SELECT query_id, doc_id, rank, round(score, 6) AS score FROM (
     SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id
-      ORDER BY round(score, 9) DESC, doc_id)::INT AS rank
-    FROM (SELECT query_id, doc_id, sum(s) AS score FROM terms JOIN scores USING (token) GROUP BY 1, 2))
-  JOIN documents USING (doc_id) WHERE rank <= 10""", BATCH)
+      ORDER BY round(score, 9) DESC, source, doc_id % 90 DESC, doc_id)::INT AS rank
+    FROM (SELECT query_id, doc_id, sum(s) AS score FROM terms JOIN scores USING (token) GROUP BY 1, 2)
+    JOIN documents USING (doc_id)) WHERE rank <= 10""", BATCH)
 def batch_search(spark, sf):
-    docs = t.table(spark, sf, "documents").select("doc_id", "lang")
-    lengths = postings.document_lengths(t.documents(spark, sf), "doc_id", "text")
-    out = postings.batch_search(frequencies(spark, sf), batch_queries(spark, sf), docs, "doc_id", lengths)
-    return out.select("query_id", "doc_id", "lang", "rank", F.round("score", 6).alias("score"))
-
-
-@query("batch_search_all", """SELECT query_id, doc_id, rank FROM (
-    SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id
-      ORDER BY round(score, 9) DESC, doc_id)::INT AS rank
-    FROM (SELECT query_id, doc_id, sum(s) AS score, count(*) AS n FROM terms JOIN scores USING (token)
-      GROUP BY 1, 2) JOIN asked USING (query_id)
-    WHERE n = len(words) AND doc_id NOT IN (SELECT doc_id FROM freqs WHERE token = 'attion'))
-  WHERE rank <= 5""", BATCH)
+    asked = batch_queries(spark, sf).select("query_id", F.array_join("words", " ").alias("text"))
+    out = batch.batch_pages(t.index(spark, sf), asked)
+    return out.select("query_id", F.col("id").alias("doc_id"), "rank", F.round("score", 6).alias("score"))
+
+
+@query("batch_search_all", """SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id
+    ORDER BY doc_id % 90, source, doc_id)::INT AS rank
+  FROM (SELECT query_id, doc_id FROM terms JOIN freqs USING (token) GROUP BY query_id, doc_id
+      HAVING count(*) = (SELECT len(words) FROM asked a WHERE a.query_id = terms.query_id)) JOIN documents USING (doc_id)
+    WHERE doc_id NOT IN (SELECT doc_id FROM freqs WHERE token = 'attion') AND source <> 'src7'
+  QUALIFY rank <= 5""", BATCH)
 def batch_search_all(spark, sf):
-    docs = t.table(spark, sf, "documents").select("doc_id")
-    lengths = postings.document_lengths(t.documents(spark, sf), "doc_id", "text")
-    asked = batch_queries(spark, sf).withColumns({"need": F.lit("all"), "excluded": F.lit("Attion")})
-    out = postings.batch_search(frequencies(spark, sf), asked, docs, "doc_id", lengths, size=5)
-    return out.select("query_id", "doc_id", "rank")
+    text = F.concat(F.lit("+"), F.array_join("words", " +"), F.lit(" + -Attion"))
+    towns = F.array(*[F.lit(f"src{i}") for i in range(20) if i != 7])
+    asked = batch_queries(spark, sf).select("query_id", text.alias("text"), towns.alias("territory_ids"),
+                                            F.lit("ascending_date").alias("sort_by"), F.lit(5).alias("size"))
+    out = batch.batch_pages(t.index(spark, sf), asked)
+    return out.select("query_id", F.col("id").alias("doc_id"), "rank")
 
 
-@query("batch_totals", """SELECT query_id, count(DISTINCT doc_id) AS total FROM terms JOIN freqs USING (token)
-  GROUP BY query_id""", BATCH)
+@query("batch_totals", """SELECT query_id, count(DISTINCT doc_id) AS total FROM asked LEFT JOIN terms USING (query_id)
+  LEFT JOIN freqs USING (token) GROUP BY query_id""", BATCH)
 def batch_totals(spark, sf):
-    lengths = postings.document_lengths(t.documents(spark, sf), "doc_id", "text")
-    hits = postings.batch_hits(frequencies(spark, sf), batch_queries(spark, sf), "doc_id", lengths)
-    return page.total_hits(hits, ["query_id"])
+    asked = batch_queries(spark, sf).select("query_id", F.array_join("words", " ").alias("text"))
+    return batch.batch_totals(t.index(spark, sf), asked)
+
+
+#: Word idf, and per document the occurrences of the second and third word in a row, of a prefix and of the fourth word.
+REQUESTED = BATCH + """,
+wide AS (SELECT doc_id, source, '  ' || array_to_string(toks, '  ') || '  ' AS line, length FROM token_lists
+  JOIN lengths USING (doc_id) JOIN documents USING (doc_id)),
+weights AS (SELECT token, ln(1 + (n - df + 0.5) / (df + 0.5)) AS w FROM dfs, corpus),
+said AS (SELECT item_id AS query_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS words FROM benchmark),
+tried AS (SELECT query_id, words, doc_id, source,
+    (length(line) - length(replace(line, ' ' || words[2] || '  ' || words[3] || ' ', ''))) / (length(words[2]) + length(words[3]) + 4) AS tf,
+    contains(line, ' ' || words[4] || ' ') AS has, contains(line, ' ' || words[1][1:3]) AS begun, length FROM said, wide),
+judged AS (SELECT query_id, doc_id, source, coalesce(((SELECT w FROM weights WHERE token = words[2]) + (SELECT w FROM weights WHERE token = words[3]))
+    * tf / (tf + 1.2 * (0.25 + 0.75 * length / mean)), 0) + CASE WHEN begun AND NOT has THEN 2 ELSE 0 END AS score
+  FROM tried, corpus WHERE tf > 0 OR (begun AND NOT has))"""
+
+
+@query("batch_requests", """SELECT query_id, doc_id, rank, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id
+    ORDER BY round(score, 9) DESC, source, doc_id % 90 DESC, doc_id)::INT AS rank FROM judged
+    WHERE doc_id % 90 >= 10 AND source IN ('src0', 'src1', 'src2', 'src3', 'src4', 'src5')) WHERE rank BETWEEN 3 AND 12""", REQUESTED)
+def batch_requests(spark, sf):
+    """A phrase, or a prefix without another word, in some towns from a day on, the second page."""
+    words = EXACT.tokens(F.col("text"))
+    text = F.concat(F.lit('"'), words[1], F.lit(" "), words[2], F.lit('" | (+'), F.left(words[0], F.lit(3)), F.lit("* + -"), words[3], F.lit(")"))
+    towns = F.array(*[F.lit(f"src{i}") for i in range(6)])
+    asked = t.table(spark, sf, "benchmark").select(
+        F.col("item_id").alias("query_id"), text.alias("text"), towns.alias("territory_ids"), F.lit(date(2024, 1, 11)).alias("published_since"),
+        F.lit(10).alias("size"), F.lit(2).alias("offset"))
+    out = batch.batch_requests(t.index(spark, sf), asked, t.STORE, keep=("id",))
+    return out.select("query_id", F.col("id").alias("doc_id"), "rank", F.round("score", 6).alias("score"))
+
+
+@query("search_index", f"""SELECT id, territory_id, CAST(date AS VARCHAR) AS date, {NEW_URL.format('url')} AS url,
+    round(score, 6) AS score FROM found ORDER BY round(score, 9) DESC, territory_id, found.date DESC, id LIMIT 10 OFFSET 5""", FOUND)
+def search_index_query(spark, sf):
+    out = batch.search_index(t.index(spark, sf), SearchRequest(**ASKED, offset=5), t.STORE, keep=("id",))
+    return out.page.select("id", "territory_id", F.col("date").cast("string").alias("date"), "url", F.round("score", 6).alias("score"))
+
+
+LATEST = """latest AS (SELECT doc_id FROM documents QUALIFY row_number() OVER (
+    PARTITION BY md5(text) ORDER BY doc_id % 2 DESC, doc_id DESC) = 1)"""
+
+
+def kept_numbers(spark, sf):
+    """Numbers of the even documents, then of a load of the odd ones, which replace those with the same text."""
+    docs = t.gazettes(spark, sf).select("id", "file_checksum", "source_text")
+    current = ingest.bulk_load_latest(None, docs.where("id % 2 = 0"), ["file_checksum"], "id")
+    return numbers.numbers_after_load(numbers.count_numbers(current, "source_text"), current, docs.where("id % 2 = 1"),
+                                      ["file_checksum"], "id", "source_text")
+
+
+@query("kept_word_numbers", """SELECT side, token, count(*) AS doc_freq FROM freqs SEMI JOIN latest USING (doc_id),
+  (VALUES ('plain'), ('exact')) v(side) GROUP BY ALL""", t.TOKENS, LATEST)
+def kept_word_numbers(spark, sf):
+    return kept_numbers(spark, sf).words
+
+
+@query("kept_sizes", """SELECT count(*) AS n_docs, count(*) AS plain_texts, sum(length)::BIGINT AS plain_tokens, count(*) AS exact_texts,
+  sum(length)::BIGINT AS exact_tokens FROM lengths SEMI JOIN latest USING (doc_id)""", t.TOKENS, LATEST)
+def kept_sizes(spark, sf):
+    return kept_numbers(spark, sf).sizes
+
+
+@query("search_kept_numbers", """SELECT id, round(score, 6) AS score FROM found
+  ORDER BY round(score, 9) DESC, territory_id, found.date DESC, id LIMIT 10""", FOUND)
+def search_kept_numbers(spark, sf):
+    kept = numbers.count_numbers(t.gazettes(spark, sf), "source_text")
+    out = search_gazettes(gazette_corpus(spark, sf), SearchRequest(**ASKED), t.STORE, stats=kept, keep=("id", "score"))
+    return out.page.select("id", F.round("score", 6).alias("score"))
 
 
 @query("topk_per_query", """SELECT territory_id, id, row_number() OVER (PARTITION BY territory_id
@@ -433,18 +493,20 @@ def topk_deep_pages(spark, sf):
     return out.select("lang", "doc_id", "rank")
 
 
-PHRASES = """asked_phrases AS (SELECT item_id AS query_id, list_slice(
-    regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+'), -2, -1) AS words FROM benchmark)"""
+PHRASES = """asked_phrases AS (SELECT item_id AS query_id, ' ' || array_to_string(
+    regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+'), '  ') || ' ' AS phrase FROM benchmark),
+wide AS (SELECT doc_id, ' ' || array_to_string(toks, '  ') || ' ' AS line FROM token_lists)"""
 
 
-@query("batch_phrases", """SELECT query_id, a.doc_id, count(*) AS occurrences FROM asked_phrases
-  JOIN postings a ON a.token = words[1] JOIN postings b ON b.token = words[2] AND b.doc_id = a.doc_id
-    AND b.pos = a.pos + 1 GROUP BY 1, 2""", t.TOKENS, PHRASES)
+@query("batch_phrases", """SELECT query_id, doc_id, ((length(line) - length(replace(line, phrase, ''))) / length(phrase))::BIGINT AS occurrences
+  FROM asked_phrases JOIN wide ON contains(line, phrase)""", t.TOKENS, PHRASES)
 def batch_phrases(spark, sf):
-    last_two = F.slice(EXACT.tokens(F.col("text")), -2, 2)
+    """All words of each benchmark text as one phrase."""
     words = t.table(spark, sf, "benchmark").select(
-        F.col("item_id").alias("query_id"), F.posexplode(last_two).alias("place", "token"))
-    return postings.match_phrases(t.postings(spark, sf), "doc_id", words)
+        F.col("item_id").alias("query_id"), F.posexplode(EXACT.tokens(F.col("text"))).alias("place", "token"))
+    side = t.index(spark, sf).exact
+    out = postings.match_phrases(side.postings, "id", words, side.words)
+    return out.select("query_id", F.col("id").alias("doc_id"), "occurrences")
 
 
 VOCABULARY = "vocabulary AS (SELECT DISTINCT token FROM postings)"
@@ -454,16 +516,16 @@ VOCABULARY = "vocabulary AS (SELECT DISTINCT token FROM postings)"
     (SELECT DISTINCT query_id, left(token, 5) AS term FROM terms) q
     JOIN vocabulary v ON starts_with(v.token, term)""", BATCH, VOCABULARY)
 def expand_prefixes(spark, sf):
-    vocabulary = t.postings(spark, sf).select("token").distinct()
+    vocabulary = t.index(spark, sf).exact.words
     prefixes = batch_terms(spark, sf).select("query_id", F.left("token", F.lit(5)).alias("term")).distinct()
     return postings.expand_prefixes(vocabulary, prefixes)
 
 
 @query("expand_fuzzy", """SELECT query_id, q.token AS term, v.token FROM terms q
-    JOIN vocabulary v ON levenshtein({}, {}) <= 1""".format(
+    JOIN vocabulary v ON damerau_levenshtein({}, {}) <= 1""".format(
     PLAIN_LETTERS.format("v.token"), PLAIN_LETTERS.format("q.token")), BATCH, VOCABULARY)
 def expand_fuzzy(spark, sf):
-    vocabulary = t.postings(spark, sf).select("token").distinct()
+    vocabulary = t.index(spark, sf).exact.words
     terms = batch_terms(spark, sf).withColumnRenamed("token", "term")
     return postings.expand_fuzzy(vocabulary, terms, 1)
 

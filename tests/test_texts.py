@@ -1,5 +1,6 @@
 """Postings, batch search and excerpts, against plain Python on small texts."""
 
+import random
 import re
 from itertools import product
 
@@ -64,55 +65,52 @@ def test_stored_postings_need_no_shuffle_by_token(spark, docs):
         spark.sql(f"DROP TABLE {name}")
 
 
-def test_batch_and_single_search_agree(spark, docs):
-    asked = spark.createDataFrame([(1, "red dog"), (2, "fox"), (3, "nothing")], "query_id int, text string")
-    freqs = postings.term_frequencies(postings.token_rows(docs, "id", "text"), "id")
-    lengths = postings.document_lengths(docs, "id", "text")
-    hits = postings.batch_hits(freqs, asked, "id", lengths).collect()
-    corpus = Corpus(docs, key="id", text="text")
-    for number, text in ((1, "red dog"), (2, "fox"), (3, "nothing")):
-        single = {r.id: round(r.score, 6) for r in text_hits(corpus, docs, clause_of(text, corpus)).collect()}
-        assert {r.id: round(r.score, 6) for r in hits if r.query_id == number} == single
-    page = postings.batch_search(freqs, asked, docs, "id", lengths, size=1).collect()
-    assert sorted((r.query_id, r["rank"]) for r in page) == [(1, 1), (2, 1)]
-
-
-def test_batch_search_refuses_operators(spark, docs):
-    freqs = postings.term_frequencies(postings.token_rows(docs, "id", "text"), "id")
-    lengths = postings.document_lengths(docs, "id", "text")
-    texts = ['"red dog"', "+red", "red -dog", "re*", "red~", "(red)", "red well-known a~b 5*6"]
-    rows = spark.createDataFrame([(t, t) for t in texts], "text string, same string")
-    assert [bool(r[0]) for r in rows.select(F.col("text").rlike(postings._OPERATOR)).collect()] == [True] * 6 + [False]
-    asked = spark.createDataFrame([(1, '+"red dog" -fox')], "query_id int, text string")
-    with pytest.raises(Exception, match="plain words"):
-        postings.batch_hits(freqs, asked, "id", lengths).collect()
-
-
 def test_batch_phrases(spark, docs):
-    asked = [(1, "red fox"), (2, "dog dog dog"), (3, "lazy fox")]
+    from recordsearch.plans.index import build_index
+
+    side = build_index(Corpus(docs, key="id", text="text")).exact
+    asked = [(1, "red fox"), (2, "dog dog dog"), (3, "lazy fox"), (4, "red unheard"), (5, "fox")]
     rows = [(q, w, i) for q, t in asked for i, w in enumerate(t.split())]
     phrases = spark.createDataFrame(rows, "query_id int, token string, place int")
-    out = postings.match_phrases(postings.token_rows(docs, "id", "text"), "id", phrases).collect()
-    assert sorted((r.query_id, r.id, r.occurrences) for r in out) == [(1, 0, 2), (1, 1, 1), (2, 4, 2)]
+    out = postings.match_phrases(side.postings, "id", phrases, side.words).collect()
+    lines = {r.id: postings_line(r.text) for r in docs.collect()}
+    want = [(q, i, n) for q, t in asked for i, line in lines.items()
+            if (n := sum(line[k:k + len(t.split())] == t.split() for k in range(len(line))))]
+    assert sorted((r.query_id, r.id, r.occurrences) for r in out) == sorted(want)
+
+
+def postings_line(text):
+    return EXACT.words(text or "")
 
 
-def edit_distance(a, b):
-    rows = list(range(len(b) + 1))
-    for i, x in enumerate(a, 1):
-        last, rows[0] = rows[0], i
-        for j, y in enumerate(b, 1):
-            last, rows[j] = rows[j], min(rows[j] + 1, rows[j - 1] + 1, last + (x != y))
-    return rows[-1]
+def neighbours(word, letters):
+    """All words one edit away: a letter more, less or other, or two neighbours swapped."""
+    for i in range(len(word) + 1):
+        for x in letters:
+            yield word[:i] + x + word[i:]
+            yield word[:i] + x + word[i + 1:]
+        yield word[:i] + word[i + 1:]
+        yield word[:i] + word[i:i + 2][::-1] + word[i + 2:]
 
 
 @pytest.mark.parametrize("edits", [1, 2])
 def test_vocabulary_expansion(spark, edits):
     letters = ["".join(p) for n in range(1, 5) for p in product("abc", repeat=n)]
+    base = random.Random(edits)
+    for word in ("abcabcabcabca", "cabbagecab", "bcaabcab"):  # words that are cut into parts
+        level = [word]
+        for _ in range(3):
+            level = [n for w in level for n in base.sample(sorted(set(neighbours(w, "abcx"))), 6)]
+            letters += level
+    letters = sorted(set(letters) - {""})
     vocabulary = spark.createDataFrame([(w,) for w in letters], "token string")
-    asked = ["abca", "b", "xabc", "cc"]
+    asked = ["abca", "b", "xabc", "cc", "abcabcabcabca", "cabbagecab", "bcaabcab", "bcaacbab"]
     terms = spark.createDataFrame([(i, w) for i, w in enumerate(asked)], "query_id int, term string")
     out = {(r.term, r.token) for r in postings.expand_fuzzy(vocabulary, terms, edits).collect()}
-    assert out == {(q, w) for q in asked for w in letters if edit_distance(q, w) <= edits}
+    near = {q: {q} for q in asked}
+    for _ in range(edits):
+        near = {q: found | {n for w in found for n in neighbours(w, "abcx")} for q, found in near.items()}
+    assert out == {(q, w) for q in asked for w in letters if w in near[q]}
     out = {(r.term, r.token) for r in postings.expand_prefixes(vocabulary, terms).collect()}
     assert out == {(q, w) for q in asked for w in letters if w.startswith(q)}
 
