@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from recordsearch.operators.skew import lookup
+from recordsearch.operators.skew import lookup, spread_join
 
 
 def themes_list(themes: DataFrame, order: str = "seq") -> DataFrame:
@@ -59,14 +59,23 @@ def entities_by_category(themes: DataFrame) -> DataFrame:
 def entity_rows(categories: DataFrame, cases: DataFrame) -> DataFrame:
     """Flat tables: categories (name, description) left joined to cases.
 
-    The cases stay rows; a category of any size is never gathered.
+    The cases stay rows and those of a very frequent category are spread; a
+    category of any size is never gathered.
     """
     titles = cases.select(F.col("category").alias("name"), "title")
-    return categories.join(titles, "name", "left").select(
-        F.col("name").alias("entity_type"),
-        F.col("description").alias("entity_type_description"),
-        F.col("title").alias("entity"),
-    )
+    used = spread_join(titles, categories, ["name"], row_id=["title"])
+    unused = categories.join(titles.select("name").distinct(), "name", "left_anti").withColumn("title", F.lit(None).cast("string"))
+    out = [F.col("name").alias("entity_type"), F.col("description").alias("entity_type_description"), F.col("title").alias("entity")]
+    return used.select(*out).unionByName(unused.select(*out))
+
+
+def write_excerpts(excerpts: DataFrame, path: str) -> None:
+    """Store excerpts with a folder for each theme.
+
+    Rows are dealt by key, so a large theme is written by many tasks; a task
+    writes at most one file a theme.
+    """
+    excerpts.repartition(F.xxhash64("excerpt_id")).write.mode("overwrite").partitionBy("theme").parquet(path)
 
 
 def theme_route(excerpts: DataFrame, themes: DataFrame, name: str, check: bool = False):
@@ -79,6 +88,18 @@ def theme_route(excerpts: DataFrame, themes: DataFrame, name: str, check: bool =
     return excerpts.where(F.col("theme") == name)
 
 
+def route_excerpts(requests: DataFrame, themes: DataFrame, excerpts: DataFrame, row_id: str) -> DataFrame:
+    """The excerpts of every requested theme that the catalogue has.
+
+    Of stored excerpts only the folders of these themes are read: the themes
+    found (no more than the catalogue has) are a filter on the partition
+    column that is worked out before the scan lists its files.
+    """
+    found = route_all(requests, themes, row_id).where("status = 'found'").select(row_id, "theme")
+    asked = found.agg(F.collect_set("theme")).scalar()
+    return excerpts.where(F.array_contains(asked, F.col("theme"))).join(found, "theme")
+
+
 def route_all(requests: DataFrame, themes: DataFrame, row_id: str) -> DataFrame:
     """Index of every requested theme; ``status`` tells found from unknown."""
     first = themes.groupBy(F.col("name").alias("theme")).agg(F.min_by("index", "seq").alias("index"))

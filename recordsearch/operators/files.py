@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from recordsearch.operators.results import file_catalogue_record
@@ -26,9 +26,13 @@ def file_catalogue_batch(files: DataFrame, requests: DataFrame) -> DataFrame:
     return joined.select(*files.columns, "request_id")
 
 
-def order_year_desc(df: DataFrame, ties: tuple[str, ...] = ()) -> DataFrame:
+def year_order(ties: tuple[str, ...] = ()) -> list[Column]:
     """Newest year first; rows without a year come before all."""
-    return df.orderBy(F.col("year").desc_nulls_first(), *ties)
+    return [F.col("year").desc_nulls_first(), *[F.col(c) for c in ties]]
+
+
+def order_year_desc(df: DataFrame, ties: tuple[str, ...] = ()) -> DataFrame:
+    return df.orderBy(*year_order(ties))
 
 
 def find_files(files: DataFrame, state_code: str, territory_id: str | None = None,

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from recordsearch.operators.filters import where
+from recordsearch.operators.skew import spread_join
 
 
 def interval_overlap(spiders: DataFrame, start: date | None = None, end: date | None = None):
@@ -31,16 +32,41 @@ def order_spider_name(df: DataFrame) -> DataFrame:
     return df.orderBy("spider_name")
 
 
-def _month(day):
-    return F.year(day) * 12 + F.month(day) - 1
+def _pieces(first, last):
+    """The days first..last as (level, node): at most two aligned pieces of 2^level days for each level."""
+    empty = F.array().cast("array<struct<level:int,node:bigint>>")
+
+    def step(state, level):
+        odd_low, odd_high = state["low"] % 2 == 1, state["high"] % 2 == 1
+        some = state["low"] < state["high"]
+        piece = lambda ok, node: F.when(ok, F.array(F.struct(level.alias("level"), node.alias("node")))).otherwise(empty)
+        after = F.when(some & odd_low, state["low"] + 1).otherwise(state["low"])
+        more = F.concat(piece(some & odd_low, state["low"]), piece((after < state["high"]) & odd_high, state["high"] - 1))
+        return F.struct(F.shiftright(after, 1).alias("low"), F.shiftright(state["high"], 1).alias("high"),
+                        F.concat(state["out"], more).alias("out"))
+
+    start = F.struct(first.cast("long").alias("low"), (last + 1).cast("long").alias("high"), empty.alias("out"))
+    return F.aggregate(F.sequence(F.lit(0), F.lit(_LEVELS)), start, step, lambda state: state["out"])
+
+
+#: Levels of pieces; days count from the first day of the data.
+_LEVELS = 24
+
+
+def _holding(day):
+    """All pieces that a day lies in."""
+    return F.transform(F.sequence(F.lit(0), F.lit(_LEVELS)), lambda level: F.struct(
+        level.alias("level"), F.floor(day / F.pow(F.lit(2), level)).cast("long").alias("node")))
 
 
 def overlap_windows(spiders: DataFrame, windows: DataFrame) -> DataFrame:
     """(window_id, spider) pairs for a table of windows (window_id, start, end).
 
-    A range join by months: both sides list the months they touch, clipped to
-    the span of the data, and meet on the month.  A pair is given out in the
-    first month both share, so once.
+    Two spans meet when one's first day lies in the other.  A span is a few
+    aligned pieces of days and a day lies in one piece of each size, so both
+    cases are equi-joins on pieces; a day is in one piece of a span only, so a
+    pair comes once.  An open end reaches to the end of the data.  Pieces with
+    very many days' rows are spread.
     """
     live = spiders.where("enabled")
     ends = windows.select(F.col("start").alias("d")).unionByName(
@@ -48,26 +74,32 @@ def overlap_windows(spiders: DataFrame, windows: DataFrame) -> DataFrame:
     ).unionByName(live.select(F.col("date_from").alias("d"))).unionByName(
         live.select(F.col("date_to").alias("d"))
     )
-    span = ends.agg(F.min("d").alias("lo"), F.max("d").alias("hi"))
-    span = span.select(F.struct("*")).scalar()
-
-    def by_month(df, first, last, prefix):
-        lo = _month(F.coalesce(F.col(first), span["lo"]))
-        hi = _month(F.coalesce(F.col(last), span["hi"]))
-        return df.withColumn(prefix, lo).where(lo <= hi).withColumn(
-            "_month", F.explode(F.sequence(lo, hi))
-        )
-
-    asked = by_month(windows, "start", "end", "_w")
-    listed = by_month(live, "date_from", "date_to", "_s")
+    span = ends.agg(F.coalesce(F.min("d"), F.lit("2000-01-01").cast("date")).alias("lo"),
+                    F.coalesce(F.max("d"), F.lit("2000-01-01").cast("date")).alias("hi")).select(F.struct("*")).scalar()
+
+    def spans(df, first, last, prefix):
+        """First and last day, counted from the first of the data; reversed spans are turned, the last test decides on them."""
+        with_span = df.withColumn("_span", span)
+        begin = F.datediff(F.coalesce(F.col(first), F.col("_span.lo")), F.col("_span.lo"))
+        end = F.datediff(F.coalesce(F.col(last), F.col("_span.hi")), F.col("_span.lo"))
+        return with_span.withColumns({f"{prefix}a": F.least(begin, end), f"{prefix}b": F.greatest(begin, end)}).drop("_span")
+
+    asked, listed = spans(windows, "start", "end", "_w"), spans(live, "date_from", "date_to", "_s")
+
+    def met(days, at, of, first, last, row_id):
+        points = days.select("*", F.inline(_holding(F.col(at))))
+        pieces = of.select("*", F.inline(_pieces(F.col(first), F.col(last))))
+        return spread_join(points, pieces, ["level", "node"], row_id=[row_id])
+
+    began = met(listed, "_sa", asked, "_wa", "_wb", "spider_name")
+    # the day itself belongs to the case above
+    inside = met(asked, "_wa", listed.where("_sa < _sb").withColumn("_next", F.col("_sa") + 1), "_next", "_sb", "window_id")
     meets = (
-        (F.col("_month") == F.greatest("_w", "_s"))
-        & (F.col("start").isNull() | F.col("date_to").isNull() | (F.col("date_to") >= F.col("start")))
+        (F.col("start").isNull() | F.col("date_to").isNull() | (F.col("date_to") >= F.col("start")))
         & (F.col("end").isNull() | (F.col("date_from") <= F.col("end")))
     )
-    return listed.join(asked, "_month").where(meets).select(
-        "window_id", "spider_name", "date_from", "date_to"
-    )
+    out = ("window_id", "spider_name", "date_from", "date_to")
+    return began.where(meets).select(*out).unionByName(inside.where(meets).select(*out))
 
 
 def sync_spiders(spiders: DataFrame, batch: DataFrame, seq: str) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -40,13 +40,17 @@ def rebuild_dataset(docs: DataFrame, path: str, key: str = "file_checksum",
     (writer.partitionBy(partition) if partition else writer).parquet(path)
 
 
-def to_response_json(df: DataFrame, keep: tuple[str, ...] = (), nulls: bool = False,
-                     name: str = "json") -> DataFrame:
-    """Every row as JSON text; null fields are left out unless ``nulls``."""
-    fields = [c for c in df.columns if c not in keep]
+def json_text(fields: list[str], nulls: bool = False) -> Column:
+    """The fields as one JSON text; null fields are left out unless ``nulls``."""
     options = {"ignoreNullFields": "false" if nulls else "true",
                "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}
-    return df.select(*keep, F.to_json(F.struct(*fields), options).alias(name))
+    return F.to_json(F.struct(*fields), options)
+
+
+def to_response_json(df: DataFrame, keep: tuple[str, ...] = (), nulls: bool = False,
+                     name: str = "json") -> DataFrame:
+    """Every row as JSON text."""
+    return df.select(*keep, json_text([c for c in df.columns if c not in keep], nulls).alias(name))
 
 
 def write_json(df: DataFrame, path: str, nulls: bool = False) -> None:

@@ -79,9 +79,8 @@ def rebuild_dataset(spark, sf):
   FROM gazettes""", t.GAZETTES)
 def to_response_json(spark, sf):
     rows = t.gazettes(spark, sf).select("id", "state_code", "edition_number", "is_extra_edition")
-    short = writers.to_response_json(rows, ("id",))
-    full = writers.to_response_json(rows, ("id",), nulls=True, name="json_full")
-    return short.join(full, "id")
+    fields = rows.columns[1:]
+    return writers.to_response_json(rows.withColumn("json_full", writers.json_text(fields, nulls=True)), ("id", "json_full"))
 
 
 # ---- filters
@@ -365,36 +364,47 @@ def paginate(spark, sf):
     return _numbered(page.paginate(rows, order, 20, 15), order)
 
 
-def _placed(ordered):
-    """Place of each row in the order that the frame has."""
-    from pyspark.sql import Window
-
-    at = ordered.withColumn("_at", F.monotonically_increasing_id())
-    return at.withColumn("place", F.row_number().over(Window.orderBy("_at")).cast("long")).drop("_at")
-
-
 @query("order_year_desc", """SELECT id, y AS year, row_number() OVER (ORDER BY y DESC NULLS FIRST, id) AS place
   FROM (SELECT id, CASE WHEN CAST(file_size_mb AS INT) % 3 <> 0 THEN year END AS y FROM files WHERE territory_id IS NULL)""",
        t.FILES)
 def order_year_desc(spark, sf):
     year = F.expr("CASE WHEN CAST(file_size_mb AS int) % 3 <> 0 THEN year END")
     rows = t.files(spark, sf).where("territory_id IS NULL").withColumn("year", year)
-    return _placed(files.order_year_desc(rows, ("id",))).select("id", "year", "place")
+    order = files.year_order(("id",))
+    return page.placed(rows.select("id", "year"), order, writers.shared_folder(spark))
 
 
 @query("find_files", """SELECT state_code, year, 'store' || file_path AS file_path,
   row_number() OVER (ORDER BY year DESC NULLS FIRST) AS place FROM files
   WHERE state_code = 'O' AND territory_id = 'T7'""", t.FILES)
 def find_files(spark, sf):
-    rows = files.find_files(t.files(spark, sf), "o", "T7", "store")
-    return _placed(rows).select("state_code", "year", "file_path", "place")
+    rows = files.find_files(t.files(spark, sf), "o", "T7", "store").select("state_code", "year", "file_path")
+    return page.placed(rows, files.year_order(), writers.shared_folder(spark))
 
 
 @query("order_spider_name", """SELECT spider_name, row_number() OVER (ORDER BY spider_name) AS place
   FROM spiders WHERE enabled""", t.SPIDERS)
 def order_spider_name(spark, sf):
     live = spiders.interval_overlap(t.spiders(spark, sf))
-    return _placed(spiders.order_spider_name(live)).select("spider_name", "place")
+    return page.placed(live.select("spider_name"), [F.col("spider_name")], writers.shared_folder(spark))
+
+
+@query("page_deep", """SELECT id, CAST(row_number() OVER (ORDER BY date, territory_id, id) AS BIGINT) AS place
+  FROM gazettes QUALIFY place BETWEEN 401 AND 460""", t.GAZETTES)
+def page_deep(spark, sf):
+    order = page.sort_columns("ascending_date", ties=("territory_id", "id"))
+    rows = page.placed(t.gazettes(spark, sf).select("id", "date", "territory_id"), order, writers.shared_folder(spark))
+    return page.page_of(rows, 400, 60).select("id", "place")
+
+
+@query("page_after", """SELECT id, CAST(date AS VARCHAR) AS date FROM gazettes
+  WHERE date > DATE '2024-02-03' OR (date = DATE '2024-02-03' AND (territory_id > 'src3' OR (territory_id = 'src3' AND id > 33)))
+  ORDER BY gazettes.date, territory_id, id LIMIT 25""", t.GAZETTES)
+def page_after(spark, sf):
+    rows = t.gazettes(spark, sf).select("id", "date", "territory_id")
+    last = {"date": date(2024, 2, 3), "territory_id": "src3", "id": 33}
+    out = page.continue_after(rows, [("date", True), ("territory_id", True), ("id", True)], last, 25)
+    return out.select("id", F.col("date").cast("string").alias("date"))
 
 
 @query("latest_job_stats", """SELECT id, job_id FROM job_stats WHERE spider_name = 'view'
@@ -454,6 +464,18 @@ def theme_route(spark, sf):
         "excerpt_id", "theme")
 
 
+@query("route_excerpts", """SELECT request_id, theme, count(*) AS n FROM (SELECT n_nationkey AS request_id,
+    CASE n_nationkey % 4 WHEN 0 THEN 'es' WHEN 1 THEN 'fr' WHEN 2 THEN 'xx' END AS theme FROM nation)
+  JOIN excerpts USING (theme) GROUP BY ALL""", t.EXCERPTS)
+def route_excerpts(spark, sf):
+    folder = writers.shared_folder(spark)
+    catalogue.write_excerpts(t.excerpts(spark, sf).select("excerpt_id", "theme", "source_date"), folder)
+    asked = t.table(spark, sf, "nation").selectExpr(
+        "n_nationkey AS request_id", "CASE n_nationkey % 4 WHEN 0 THEN 'es' WHEN 1 THEN 'fr' WHEN 2 THEN 'xx' END AS theme")
+    out = catalogue.route_excerpts(asked, t.excerpt_themes(spark, sf), spark.read.parquet(folder), "request_id")
+    return out.groupBy("request_id", "theme").agg(F.count("*").alias("n"))
+
+
 @query("route_all", """SELECT o_orderkey AS request_id, 'theme ' || (o_custkey * 2) AS theme, f.index AS "index",
     CASE WHEN f.index IS NULL THEN 'not_found' ELSE 'found' END AS status
   FROM orders LEFT JOIN (SELECT name, arg_min("index", seq) AS index FROM themes GROUP BY name) f

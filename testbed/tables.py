@@ -124,6 +124,12 @@ EXCERPTS = """excerpts AS (SELECT lang AS theme, 'x' || doc_id AS excerpt_id, te
   FROM documents LEFT JOIN labels USING (doc_id))"""
 
 
+def excerpt_themes(spark, sf_dir):
+    """The catalogue of the excerpts' themes."""
+    names = table(spark, sf_dir, "documents").select(F.col("lang").alias("name")).distinct()
+    return names.select(F.xxhash64("name").alias("seq"), "name", F.concat(F.lit("index_"), "name").alias("index"))
+
+
 def themes(spark, sf_dir):
     """One catalogue entry per part; every tenth name comes twice."""
     return table(spark, sf_dir, "part").selectExpr(

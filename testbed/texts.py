@@ -339,7 +339,7 @@ en_corpus AS (SELECT count(*) AS n, avg(length) AS mean FROM excerpts JOIN lengt
     ON excerpt_id = 'x' || doc_id WHERE theme = 'en')""")
 def search_excerpts_query(spark, sf):
     ask = ThemeRequest(theme="en", querystring="the haed", entities=("e1", "e2", "e3"), size=20)
-    out = search_excerpts(excerpt_corpus(t.excerpts(spark, sf)), ask, t.STORE, keep=("score",))
+    out = search_excerpts(excerpt_corpus(t.excerpts(spark, sf)), ask, t.STORE, keep=("score",), themes=t.excerpt_themes(spark, sf))
     return out.page.select("excerpt_id", "territory_id", F.round("score", 6).alias("score"))
 
 

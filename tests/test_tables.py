@@ -1,5 +1,6 @@
 """Golden rows of everything but text search."""
 
+import os
 from datetime import date, datetime
 
 import pytest
@@ -326,3 +327,106 @@ def test_response_json(spark):
     row = spark.createDataFrame([(1, None, "x")], "a int, b int, c string")
     assert writers.to_response_json(row).first()[0] == '{"a":1,"c":"x"}'
     assert writers.to_response_json(row, nulls=True).first()[0] == '{"a":1,"b":null,"c":"x"}'
+
+
+def test_overlapping_spans_of_any_kind(spark):
+    import random
+    from datetime import date, timedelta
+
+    rng = random.Random(3)
+    first = date(2020, 1, 1)
+
+    def day():
+        return None if rng.random() < 0.15 else first + timedelta(days=rng.randrange(200))
+
+    live = [(f"s{i}", day(), day(), rng.random() < 0.9) for i in range(120)]
+    asked = [(i, day(), day()) for i in range(80)] + [(80, None, None), (81, first, first)]
+    table = spark.createDataFrame(live, "spider_name string, date_from date, date_to date, enabled boolean")
+    windows = spark.createDataFrame(asked, "window_id int, start date, end date")
+    want = sorted((w, s) for w, start, end in asked for s, begin, last, on in live if on
+                  and (start is None or last is None or last >= start)
+                  and (end is None or (begin is not None and begin <= end)))
+    got = sorted((r.window_id, r.spider_name) for r in spiders.overlap_windows(table, windows).collect())
+    assert got == want
+    nothing = spiders.overlap_windows(table.where("false"), windows)
+    assert nothing.collect() == [] and nothing.columns == ["window_id", "spider_name", "date_from", "date_to"]
+
+
+def test_pages_by_place_and_by_key(spark, tmp_path):
+    import random
+
+    from recordsearch.operators import page
+
+    rng = random.Random(1)
+    rows = [(i, rng.choice([None, *range(6)]), rng.choice("abc")) for i in range(500)]
+    table = spark.createDataFrame(rows, "id int, n int, s string").repartition(5)
+    order = [F.col("n").desc_nulls_last(), F.col("s").asc_nulls_last(), F.col("id").asc_nulls_last()]
+    want = sorted(rows, key=lambda r: (r[1] is None, -(r[1] or 0), r[2], r[0]))
+    placed = page.placed(table, order, str(tmp_path / "placed"))
+    assert [tuple(r)[:3] for r in placed.orderBy("place").collect()] == want
+    assert [r.place for r in placed.orderBy("place").collect()] == list(range(1, 501))
+    assert [r.id for r in page.page_of(placed, 490, 20).collect()] == [r[0] for r in want[490:]]
+    assert page.placed(table.where("false"), order, str(tmp_path / "none")).collect() == []
+    by, at = [("n", False), ("s", True), ("id", True)], 0
+    while at < len(want) - 1:
+        last = dict(zip(("id", "n", "s"), want[at], strict=True))
+        got = [tuple(r) for r in page.continue_after(table, by, last, 90).collect()]
+        assert got == want[at + 1:at + 91]
+        at += len(got)
+
+
+def test_entity_rows_of_equal_and_unused_categories(spark):
+    from recordsearch.operators import catalogue
+
+    categories = spark.createDataFrame([("a", "x"), ("a", "y"), ("b", None), ("c", "z")], "name string, description string")
+    cases = spark.createDataFrame([("1", "a"), ("2", "a"), ("2", "a"), ("3", "c"), ("4", "lost"), ("5", None)], "title string, category string")
+    got = sorted(map(tuple, catalogue.entity_rows(categories, cases).collect()), key=repr)
+    assert got == sorted([("a", d, e) for d in "xy" for e in "122"] + [("b", None, None), ("c", "z", "3")], key=repr)
+
+
+def test_only_folders_of_asked_themes_are_read(spark, tmp_path):
+    from recordsearch.operators import catalogue
+    from recordsearch.plans.search import ThemeRequest, excerpt_corpus, search_excerpts
+    from testbed import tables as t
+
+    folder = "/root/testdata/sf0.001"
+    if not os.path.isdir(folder):
+        pytest.skip("test tables are not here")
+    themes = t.excerpt_themes(spark, folder)
+    catalogue.write_excerpts(t.excerpts(spark, folder), str(tmp_path / "excerpts"))
+    stored = spark.read.parquet(str(tmp_path / "excerpts"))
+    asked = spark.createDataFrame([(1, "es"), (2, "unheard"), (3, None)], "request_id int, theme string")
+    rows = catalogue.route_excerpts(asked, themes, stored, "request_id")
+    assert {(r.request_id, r.theme) for r in rows.collect()} == {(1, "es")}
+    scans = [x for x in rows._jdf.queryExecution().explainString(
+        spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted")).splitlines() if x.startswith("PartitionFilters")]
+    assert any("ubquery" in x and "theme" in x for x in scans), scans
+    assert rows.count() == t.excerpts(spark, folder).where("theme = 'es'").count()
+    with pytest.raises(ValueError, match="Theme not found"):
+        search_excerpts(excerpt_corpus(stored), ThemeRequest(theme="unheard"), themes=themes)
+    page = search_excerpts(excerpt_corpus(stored), ThemeRequest(theme="es"), themes=themes).page
+    assert "PartitionFilters: [isnotnull(theme" in page._jdf.queryExecution().toString()
+
+
+def test_numbers_follow_loads(spark):
+    from recordsearch.functions.text import Analysis
+    from recordsearch.operators import ingest, numbers
+    from recordsearch.operators.match import AnyOf, Fuzzy, Phrase, Word
+    from recordsearch.plans.search import Corpus, corpus_stats, kept_stats
+
+    plain = Analysis(stopwords=("the",), suffixes=("s",))
+    first = spark.createDataFrame([(1, "k1", "the dogs"), (2, "k2", "a dog and a cat"), (3, "k3", None), (4, "k4", "")], "id int, k string, text string")
+    load = spark.createDataFrame([(5, "k2", "cats"), (6, "k5", "dog dog"), (7, "k2", "birds the bird"), (8, "k4", None)], "id int, k string, text string")
+    kept = numbers.count_numbers(first, "text", plain)
+    kept = numbers.numbers_after_load(kept, first, load, ["k"], "id", "text", plain)
+    after = ingest.bulk_load_latest(first, load, ["k"], "id")
+    again = numbers.count_numbers(after, "text", plain)
+    assert sorted(map(tuple, kept.words.collect())) == sorted(map(tuple, again.words.collect()))
+    assert kept.sizes.collect() == again.sizes.collect()
+    corpus = Corpus(after, key="k", text="text", plain=plain)
+    clause = AnyOf((Word("dog"), Word("unheard"), Phrase("birds the"), Fuzzy("bord", 1)))
+    one, other = kept_stats(kept, corpus, clause).first().asDict(), corpus_stats(corpus, clause).first().asDict()
+    del other["any"]
+    assert {c: one[c] for c in other} == other
+    empty = numbers.count_numbers(first.where("false"), "text")
+    assert empty.words.collect() == [] and empty.sizes.first()["n_docs"] == 0
