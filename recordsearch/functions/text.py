@@ -8,12 +8,14 @@ need no shuffle and no array of tokens.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import regex
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from recordsearch.functions import portuguese
+
 WORD_CHARS = r"\p{L}\p{N}"
 TOKEN_PATTERN = rf"[{WORD_CHARS}]+"
 # Keeps numbers with inner dots or commas, such as 000.000.000, in one piece.
@@ -26,19 +28,23 @@ class Analysis:
 
     ``stopwords`` are left out and ``suffixes`` are cut from word ends (the
     longest one that leaves ``min_stem`` letters).  Both are empty for the
-    exact analysis, which only lower-cases.
+    exact analysis, which only lower-cases.  ``language`` (portuguese) stems
+    by the rules of that language instead.
     """
 
     token_pattern: str = TOKEN_PATTERN
     stopwords: tuple[str, ...] = ()
     suffixes: tuple[str, ...] = ()
     min_stem: int = 3
+    language: str = ""
 
     def _suffix_alternatives(self) -> str:
         longest_first = sorted(self.suffixes, key=lambda s: (-len(s), s))
         return "|".join(regex.escape(s) for s in longest_first)
 
     def stem(self, token: Column) -> Column:
+        if self.language:
+            return portuguese.stem(token)
         if not self.suffixes:
             return token
         return F.regexp_replace(
@@ -50,13 +56,17 @@ class Analysis:
         found = F.regexp_extract_all(F.lower(text), F.lit(self.token_pattern), F.lit(0))
         if self.stopwords:
             found = F.filter(found, lambda t: ~t.isin(*self.stopwords))
-        if self.suffixes:
+        if self.suffixes or self.language:
             found = F.transform(found, self.stem)
         return found
 
+    def unstemmed(self) -> Analysis:
+        """The same without stems: what a vocabulary is made of before its words are stemmed once each."""
+        return replace(self, suffixes=(), language="")
+
     def spaced(self, text: Column) -> Column:
         """The tokens as one string, each between its own two blanks."""
-        if self.token_pattern != TOKEN_PATTERN:
+        if self.token_pattern != TOKEN_PATTERN or self.language:
             body = F.array_join(self.tokens(text), "  ")
             return F.concat(F.lit(" "), body, F.lit(" "))
         body = F.trim(F.regexp_replace(F.lower(text), rf"[^{WORD_CHARS}]+", "  "))
@@ -76,6 +86,8 @@ class Analysis:
         """Analyse a short query text on the driver, by the same rules."""
         found = regex.findall(self.token_pattern, text.lower())
         found = [t for t in found if t not in self.stopwords]
+        if self.language:
+            return [portuguese.stem_text(t) for t in found]
         if self.suffixes:
             rule = regex.compile(
                 rf"^(.{{{self.min_stem},}}?)(?:{self._suffix_alternatives()})$"
@@ -87,6 +99,13 @@ class Analysis:
 EXACT = Analysis()
 
 
+def portuguese_analysis() -> Analysis:
+    """Language analysis for Portuguese: the stop-words that Spark ships and stems by rules."""
+    from pyspark.ml.feature import StopWordsRemover
+
+    return Analysis(stopwords=tuple(StopWordsRemover.loadDefaultStopWords("portuguese")), language="portuguese")
+
+
 def let(value: Column, body) -> Column:
     """Bind a value once and use it many times in ``body``."""
     return F.element_at(F.transform(F.array(value), body), 1)

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from recordsearch.functions.text import Analysis, let, token_count
 from recordsearch.operators import rank
+from recordsearch.operators.postings import normalize_vocabulary
 from recordsearch.plans.search import Corpus
 
 
@@ -62,10 +63,20 @@ def index_docs(corpus: Corpus) -> DataFrame:
 
 
 def index_postings(corpus: Corpus, analysis: Analysis) -> DataFrame:
-    """token, key, positions (ascending) and length: one row for each token of a document."""
-    tokens = corpus.docs.select(corpus.key, analysis.tokens(F.col(corpus.text)).alias("tokens"))
+    """token, key, positions (ascending) and length: one row for each token of a document.
+
+    Where words are stemmed by the rules of a language, the distinct words are
+    stemmed once each and joined back.
+    """
+    raw = analysis.unstemmed() if analysis.language else analysis
+    tokens = corpus.docs.select(corpus.key, raw.tokens(F.col(corpus.text)).alias("tokens"))
     spots = tokens.select(corpus.key, F.size("tokens").alias("length"), F.posexplode("tokens").alias("pos", "token"))
-    return spots.groupBy("token", corpus.key, "length").agg(F.sort_array(F.collect_list("pos")).alias("positions"))
+    rows = spots.groupBy("token", corpus.key, "length").agg(F.sort_array(F.collect_list("pos")).alias("positions"))
+    if not analysis.language:
+        return rows
+    stems = normalize_vocabulary(rows, analysis=analysis)
+    joined = rows.join(stems, "token").drop("token").withColumnRenamed("norm", "token")
+    return joined.groupBy("token", corpus.key, "length").agg(F.sort_array(F.flatten(F.collect_list("positions"))).alias("positions"))
 
 
 def index_numbers(docs: DataFrame) -> DataFrame:

@@ -203,8 +203,9 @@ def text_hits(corpus: Corpus, rows: DataFrame, clause, scored: bool = True,
     leaves = match.leaves(clause)
     sloppy = [x for x in leaves if isinstance(x, match.Phrase) and x.slop]
     number = {leaf: i for i, leaf in enumerate(leaves)}
-    stored = corpus.analysed_plain is not None
-    hint = None if stored else match.raw_hint(clause, F.lower(F.col(corpus.text)))
+    # a stem by rules may hold letters that the text has not
+    unlike = corpus.analysed_plain is not None or corpus.plain.language
+    hint = None if unlike else match.raw_hint(clause, F.lower(F.col(corpus.text)))
     rows = filters.where(rows, hint)
     columns = rows.columns
 

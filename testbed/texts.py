@@ -6,14 +6,16 @@ from datetime import date
 
 from pyspark.sql import functions as F
 
-from recordsearch.functions.text import EXACT, Analysis
+from recordsearch.functions.text import EXACT, Analysis, portuguese_analysis
 from recordsearch.operators import highlight, ingest, numbers, page, postings
 from recordsearch.operators.match import AllOf, AnyOf, Not, Phrase, Word
 from recordsearch.plans import batch
+from recordsearch.plans.index import write_index
 from recordsearch.plans.search import (
     Corpus, SearchRequest, ThemeRequest, clause_of, corpus_stats, excerpt_corpus,
     search_excerpts, search_gazettes, text_hits,
 )
+from recordsearch.sources.writers import shared_folder
 from testbed import tables as t
 from testbed.registry import query
 from testbed.rows import NEW_URL
@@ -552,6 +554,21 @@ def highlight_query(spark, sf):
     return hits.select("id", F.md5(marked[0]).alias("digest"))
 
 
+@query("stem_vocabulary")
+def stem_vocabulary(spark, sf):
+    """The stem of every word of the corpus, by the rules for Portuguese."""
+    return postings.normalize_vocabulary(t.index(spark, sf).exact.words, analysis=portuguese_analysis())
+
+
+@query("search_portuguese")
+def search_portuguese(spark, sf):
+    """Language analysis in the index, phrases in the exact one."""
+    asked = SearchRequest('ciones +(los | "de la") + -mente*', size=50)
+    c = Corpus(t.gazettes(spark, sf), key="id", plain=portuguese_analysis())
+    out = batch.search_index(write_index(c, shared_folder(spark), buckets=16), asked, t.STORE, keep=("id",))
+    return out.page.select("id", F.round("score", 6).alias("score"))
+
+
 @query("highlight_merged")
 def highlight_merged(spark, sf):
     c = Corpus(corpus(spark, sf).docs, key="id", text="text", plain=PLAIN)

@@ -172,3 +172,45 @@ def test_theme_search(spark):
     assert (first.excerpt, first.entities, first.txt_url) == ("red <dog>", [], None)
     assert found.total.first().total == 1
     assert ids(querystring="fox", offset=1, size=1) == [sorted(ids(querystring="fox"), key=["x1", "x3"].index)[1]]
+
+
+STEMS = """boa boa, boas boas, boataria boat, boates boat, boba bob, bobagem bobag, bobagens bobagens, bobalhões bobalhõ, bobear bob,
+    bobeira bobeir, bobinho bobinh, bobs bobs, bocadas boc, bocaiúva bocaiúv, boçal boçal, bodoque bodoqu, body body, boemia boem,
+    boêmio boêmi, quilométricas quilométr, quilo quil, quimioterapia quimioterap, quinhão quinhã, quintessência quintessent,
+    quintuplicou quintuplic, quiosque quiosqu, rapidamente rapid, constitucionalmente constitucional, cidades cidad,
+    atividade ativ, administrações administr, contratação contrat, licitação licit, sociologia sociolog, agitação agit, obras obras"""
+
+
+def test_portuguese_stems(spark):
+    from recordsearch.functions import portuguese
+
+    golden = [tuple(x.split()) for x in STEMS.replace("\n", " ").split(",")]
+    assert [(w, portuguese.stem_text(w)) for w, _ in golden] == golden
+    rng = random.Random(2)
+    ends = portuguese.NOUNS + portuguese.VERBS + ["amente", "ativamente", "idade", "logia", "uções", "ências", "ira", "eira", "gue", "cie", "ç"]
+    made = ["".join(rng.choice("aeioubcrstãé") for _ in range(rng.randrange(7))) + rng.choice(ends).replace("a~", "ã").replace("o~", "õ")
+            for _ in range(3000)]
+    words_ = spark.createDataFrame([(w,) for w, _ in golden] + [(w,) for w in made], "w string")
+    for r in words_.select("w", portuguese.stem(F.col("w")).alias("s")).collect():
+        assert r.s == portuguese.stem_text(r.w), r
+
+
+def test_language_search_of_text_and_index_agree(spark):
+    from recordsearch.functions.text import portuguese_analysis
+    from recordsearch.plans import batch
+    from recordsearch.plans.index import build_index
+    from recordsearch.plans.search import SearchRequest, search_gazettes
+
+    said = ["A contratação de obras públicas", "Contratações e licitações da cidade", "As cidades contrataram", "de a o", None,
+            "existência da agitação", "existentes obras"]
+    rows = [(i, "t", "Town", "RJ", None, None, "1", False, f"s{i}", "u", "r", x) for i, x in enumerate(said)]
+    docs = spark.createDataFrame(rows, "id long, territory_id string, territory_name string, state_code string, date date, scraped_at timestamp_ntz,"
+                                 " edition_number string, is_extra_edition boolean, file_checksum string, url string, file_raw_txt string, source_text string")
+    corpus = Corpus(docs, key="id", plain=portuguese_analysis())
+    index = build_index(corpus)
+    for text, want in (("contratar", {0, 1, 2}), ("+cidade +licitação", {1}), ('"obras públicas" | agitar', {0, 5}), ("da", set()),
+                       ("existência", {5, 6})):
+        found = search_gazettes(corpus, SearchRequest(text), keep=("id", "score")).page.collect()
+        mine = batch.search_index(index, SearchRequest(text), keep=("id",)).page.collect()
+        assert {r.id for r in found} == want == {r.id for r in mine}, text
+        assert sorted(round(r.score, 6) for r in found) == sorted(round(r.score, 6) for r in mine)
