@@ -44,25 +44,25 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def stored(df: DataFrame, folder: str | None = None) -> DataFrame:
-    """Rows written as Parquet to the shared folder and read back.
+def fresh(df: DataFrame) -> DataFrame:
+    """Checkpointed rows whose size the planner does not carry on from the plan they replace.
 
-    A checkpoint keeps the size estimate of the plan it replaces, and a join
-    multiplies the estimates of its sides, so a loop of joins needs true sizes:
-    those of the written files.  The folder stays until ``drop`` or its owner
-    deletes it.
+    A checkpoint keeps the size estimate of its plan, and a join multiplies
+    those of its sides: a loop of joins makes numbers of millions of digits.
+    A table made of the checkpoint's rows starts with no estimate.
     """
+    rows = checkpointed(df)
+    made = df.sparkSession._jsparkSession.createDataFrame(rows._jdf.javaRDD(), rows._jdf.schema())
+    return DataFrame(made, df.sparkSession)
+
+
+def stored(df: DataFrame, folder: str | None = None) -> DataFrame:
+    """Rows written as Parquet to the shared folder and read back; the folder stays until its owner deletes it."""
     folder = folder or new_folder(df.sparkSession, "rows")
     df.write.parquet(folder)
     return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 
-def drop(spark: SparkSession, folder: str) -> None:
-    """Delete a folder below the shared one."""
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def parts(df: DataFrame) -> int:
     """Tasks of a shuffle; given as a number, small rows that mean much work are not put together."""
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))

@@ -2,12 +2,23 @@
 
 from __future__ import annotations
 
-import itertools
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from recordsearch.llm.common import attach, drop, new_folder, stored
+from recordsearch.llm.common import attach, fresh, parts
+
+#: Links of one task at least; a short table is kept in few files, however many tasks a shuffle has.
+LINKS = 2000
+
+
+def _few(rows: DataFrame, links: int) -> DataFrame:
+    return rows.coalesce(min(links // LINKS + 1, parts(rows)))
+
+
+def _with_least(links: DataFrame, n: int) -> DataFrame:
+    """(u, v, m): m is the least node among u and its neighbours v in the n ``links``."""
+    least = fresh(_few(links.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"), F.count("*").alias("n")), n))
+    return _few(attach(links, least, "u", "v", "n"), n)
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -17,36 +28,23 @@ def components(links: DataFrame) -> DataFrame:
     node to the least of them, which halves long paths about every round.  A
     node with very many links is not gathered anywhere.  Nodes are compared
     as they are (strings or numbers); links with a null are ignored.  Each
-    half round is written to the shared folder, so lost executors cost one
-    half round and the sizes that the next joins are planned with are true;
-    a round's tables are deleted behind the next one.  No links, no rounds.
+    half round is kept in the shared folder, so lost executors cost one half
+    round.  No links, no rounds.
     """
-    spark = links.sparkSession
-    folder = new_folder(spark, "components")
-
-    def with_least(rows: DataFrame, name: str) -> DataFrame:
-        """(u, v, m): m is the least node among u and its neighbours v in ``rows``."""
-        least = stored(rows.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"), F.count("*").alias("n")),
-                       f"{name}-least")
-        return attach(rows, least, "u", "v", "n")
-
     pairs = links.select(F.col("a").alias("u"), F.col("b").alias("v")).where("u <> v")
-    pairs = stored(pairs.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), f"{folder}/0/pairs")
+    pairs = fresh(pairs.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     state = None
-    for number in itertools.count(1):
+    while True:
         row = pairs.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
         if not row["n"] or state == (row["n"], row["h"]):
             break
-        state = (row["n"], row["h"])
-        own = f"{folder}/{number}"
+        state, n = (row["n"], row["h"]), row["n"]
+        pairs = _few(pairs, n)
         both = pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = with_least(both, f"{own}/large").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        large = stored(large.where("u <> v"), f"{own}/pairs-large")
-        small = with_least(large, f"{own}/small")
-        pairs = stored(small.select(F.col("v").alias("u"), F.col("m").alias("v"))
-                       .unionByName(small.select("u", F.col("m").alias("v"))).where("u <> v").distinct(), f"{own}/pairs")
-        drop(spark, f"{folder}/{number - 1}")
-    found = stored(pairs.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(
-        pairs.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()))
-    drop(spark, folder)
-    return found
+        large = _with_least(both, 2 * n).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = fresh(_few(large.where("u <> v"), n))
+        small = _with_least(large, n)
+        pairs = fresh(_few(small.select(F.col("v").alias("u"), F.col("m").alias("v"))
+                           .unionByName(small.select("u", F.col("m").alias("v"))).where("u <> v").distinct(), n))
+    return pairs.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(
+        pairs.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from recordsearch.llm import words
-from recordsearch.llm.common import attach, stored
+from recordsearch.llm.common import attach, fresh
 from recordsearch.llm.graph import components
 
 #: Words of a shingle; least similarity; sketches of a text; shingles of a sketch.
@@ -24,7 +24,7 @@ SHINGLE, SIMILAR, SKETCHES, KEPT = 5, 0.8, 16, 3
 _WIDE = 1 << 16
 #: Most bits of a labelled shingle that name its counter.
 _SLOT_BITS = 22
-#: Rows that a shingle's classes are compared with in one task.
+#: Rows of one shingle in one part of the join.
 _SHARE = 1 << 12
 #: Aligned shingles of a pair at the least similarity, as a part of the shingles of both.
 _BOTH = SIMILAR / (1 + SIMILAR)
@@ -215,18 +215,19 @@ def _crowd_pairs(crowd: DataFrame) -> DataFrame:
                                               pa.array(chosen, pa.list_(pa.int64()))], names=["id", "class", "n", "chosen"])
 
     named = crowd.select(F.xxhash64("node").alias("id"), F.xxhash64("root").alias("class"), "node", "words")
-    rows = stored(named.select("id", "class", "words").mapInArrow(prefixes, "id long, class long, n long, chosen array<long>")
+    rows = fresh(named.select("id", "class", "words").mapInArrow(prefixes, "id long, class long, n long, chosen array<long>")
                   .select("id", "class", "n", F.posexplode("chosen").alias("place", "shingle")))
     met = rows.groupBy("shingle").agg(F.min("class").alias("a"), F.max("class").alias("b"), F.count("*").alias("k"))
     met = met.where("a <> b").select("shingle", F.ceil(F.col("k") / _SHARE).cast("int").alias("parts"))
-    rows = stored(rows.join(met, "shingle"))
-    # the shorter text of a pair has the shingle among its first 1 - 2 SIMILAR / (1 + SIMILAR)
-    short = rows.where(F.col("n") - F.col("place") >= 2 * _BOTH * F.col("n") - 1e-9)
-    short = short.withColumn("part", F.pmod(F.col("id"), F.col("parts")))
-    classes = rows.groupBy("shingle", F.col("class").alias("other")).agg(F.first("parts").alias("parts"))
-    classes = classes.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    both = short.alias("y").join(classes.alias("c"), F.expr("y.shingle = c.shingle AND y.part = c.part AND y.class <> c.other")).join(
-        rows.alias("x"), F.expr("x.shingle = y.shingle AND x.class = c.other AND (y.n, y.id) < (x.n, x.id)")
+    rows = fresh(rows.join(met, "shingle"))
+    # the longer text of a pair is at most 1 / SIMILAR as long: of three neighbouring steps of that ratio one is its own
+    step = F.floor(F.log("n") / float(-np.log(SIMILAR))).cast("int")
+    # the shorter one has the shingle among its first 1 - 2 SIMILAR / (1 + SIMILAR)
+    short = rows.where(F.col("n") - F.col("place") >= 2 * _BOTH * F.col("n") - 1e-9).withColumns(
+        {"part": F.pmod(F.col("id"), F.col("parts")).cast("int"), "step": F.explode(F.sequence(step, step + 2))})
+    long = rows.withColumns({"part": F.explode(F.sequence(F.lit(0), F.col("parts") - 1)), "step": step})
+    both = short.alias("y").join(long.alias("x"), F.expr(
+        "x.shingle = y.shingle AND x.part = y.part AND x.step = y.step AND x.class <> y.class AND (y.n, y.id) < (x.n, x.id)")
         & (F.col("y.n") >= SIMILAR * F.col("x.n") - 1e-9)
         & (F.least(F.expr("x.n - x.place"), F.expr("y.n - y.place")) >= _BOTH * F.expr("x.n + y.n") - 1e-9))
     pairs = both.select(F.col("y.id").alias("y"), F.col("x.id").alias("x")).distinct()
@@ -237,7 +238,7 @@ def _crowd_pairs(crowd: DataFrame) -> DataFrame:
 
 def _candidates(buckets: DataFrame) -> DataFrame:
     """(key, lead, node): every member of a bucket with the member of the smallest id."""
-    leads = stored(buckets.groupBy("key").agg(
+    leads = fresh(buckets.groupBy("key").agg(
         F.min(F.struct("first_id", "node", "n")).alias("least"), F.count("*").alias("members")).where("members > 1")
         .select("key", F.col("least.node").alias("lead"), F.col("least.n").alias("lead_n"), "members"))
     return attach(buckets, leads, "key", "node", "members").where("lead IS NOT NULL AND lead <> node")
@@ -267,19 +268,19 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     """
     source = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"),
                          text_digest(F.col(text)).alias("digest"))
-    sketched = stored(source.mapInArrow(_sketch, "doc_id long, digest string, n long, keys array<long>"))
-    nodes = stored(sketched.where("digest IS NOT NULL").groupBy(F.col("digest").alias("node")).agg(
+    sketched = fresh(source.mapInArrow(_sketch, "doc_id long, digest string, n long, keys array<long>"))
+    nodes = fresh(sketched.where("digest IS NOT NULL").groupBy(F.col("digest").alias("node")).agg(
         F.min("doc_id").alias("first_id"), F.any_value("n").alias("n"), F.any_value("keys").alias("keys"), F.count("*").alias("copies")))
     buckets = nodes.select("node", "first_id", "n", F.explode("keys").alias("key"))
     fit = (F.least("n", "lead_n") >= SIMILAR * F.greatest("n", "lead_n") - 1e-9)
-    first = stored(_candidates(buckets).select("key", "node", "first_id", "n", "lead", "lead_n"))
-    pairs = stored(first.where(fit).select("lead", "node").distinct())
+    first = fresh(_candidates(buckets).select("key", "node", "first_id", "n", "lead", "lead_n"))
+    pairs = fresh(first.where(fit).select("lead", "node").distinct())
     needed = pairs.select("node").unionByName(pairs.select(F.col("lead").alias("node"))).distinct()
     # the second round compares only members of the same buckets
     needed = needed.unionByName(first.where(~fit).select("node")).distinct()
     needed = nodes.select("node", "first_id").join(needed, "node", "left_semi")
     own = source.where("digest IS NOT NULL").mapInArrow(_sequences, "first_id long, node string, words binary")
-    texts = stored(  # of each node the row with its smallest id, so copies are spread by their ids
+    texts = fresh(  # of each node the row with its smallest id, so copies are spread by their ids
         own.alias("o").join(needed.alias("q"), F.expr("o.node = q.node AND o.first_id <=> q.first_id"))
         .select("o.node", "o.first_id", "o.words").dropDuplicates(["node", "first_id"]).select("node", "words"))
 
@@ -287,15 +288,15 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
         right = texts.withColumnRenamed("words", "right_words")
         left = texts.select(F.col("node").alias("lead"), F.col("words").alias("left_words"))
         both = asked.join(right, "node").join(left, "lead")
-        return stored(both.mapInArrow(_verify, "lead string, node string, share double"))
+        return fresh(both.mapInArrow(_verify, "lead string, node string, share double"))
 
     checked = verified(pairs)
     links = checked.where("share > 0").select(F.col("lead").alias("a"), F.col("node").alias("b"))
     judged = first.join(checked, ["lead", "node"], "left").withColumn("share", F.coalesce("share", F.lit(0.0)))
-    judged = stored(judged.select("key", "node", "first_id", "n", "share"))
+    judged = fresh(judged.select("key", "node", "first_id", "n", "share"))
     rejected = judged.where("share = 0").drop("share")
     again = _candidates(rejected).select("lead", "node", "n", "lead_n")
-    accepted = stored(judged.where("share > 0").groupBy("key").agg(
+    accepted = fresh(judged.where("share > 0").groupBy("key").agg(
         F.max(F.struct("first_id", "node", "n")).alias("last"))
         .join(rejected.groupBy("key").agg(F.count("*").alias("members")), "key")
         .select("key", F.col("last.node").alias("lead"), F.col("last.n").alias("lead_n"), "members"))
@@ -304,21 +305,21 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
         checked.select("lead", "node"), ["lead", "node"], "left_anti")
     links = links.unionByName(verified(second).where("share > 0").select(F.col("lead").alias("a"), F.col("node").alias("b")))
 
-    roots = stored(components(links))
-    member = stored(judged.select("key", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")))
+    roots = fresh(components(links))
+    member = fresh(judged.select("key", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")))
     open_ = member.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b"), F.count("*").alias("members")).where(
         "a <> b AND members > 2")  # of two, each was compared with the other
-    asked = attach(member, stored(open_.select("key", "a", "members")), "key", "node", "members").where("a IS NOT NULL")
-    crowd = stored(texts.join(asked.select("node", "root").distinct(), "node").select("node", "root", "words"))
+    asked = attach(member, fresh(open_.select("key", "a", "members")), "key", "node", "members").where("a IS NOT NULL")
+    crowd = fresh(texts.join(asked.select("node", "root").distinct(), "node").select("node", "root", "words"))
     late = verified(_crowd_pairs(crowd)).where("share > 0").select("lead", "node")
     of = crowd.select("node", "root")
     joined = components(late.join(of.withColumnRenamed("root", "b"), "node").join(
         of.select(F.col("node").alias("lead"), F.col("root").alias("a")), "lead").select("a", "b"))
     rooted = nodes.select("node", "first_id", "copies").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    rooted = stored(rooted.join(joined.select(F.col("node").alias("root"), F.col("root").alias("last")), "root", "left")
+    rooted = fresh(rooted.join(joined.select(F.col("node").alias("root"), F.col("root").alias("last")), "root", "left")
                           .withColumn("root", F.coalesce("last", "root")).drop("last"))
-    classes = stored(rooted.groupBy("root").agg(F.min("first_id").alias("class_id"), F.count("*").alias("members")))
-    named = stored(attach(rooted, classes, "root", "node", "members").select(
+    classes = fresh(rooted.groupBy("root").agg(F.min("first_id").alias("class_id"), F.count("*").alias("members")))
+    named = fresh(attach(rooted, classes, "root", "node", "members").select(
         F.col("node").alias("digest"), "class_id", "root", "copies"))
     rows = attach(sketched.select("doc_id", "digest"), named, "digest", "doc_id", "copies")
     return rows.withColumn("class_id", F.when(F.col("digest").isNull(), F.col("doc_id")).otherwise(F.col("class_id")))

@@ -127,6 +127,18 @@ def test_alignment_and_sketches():
     assert (neardup.sketches(one) == neardup.sketches(one.copy())).all()
 
 
+def test_estimates_do_not_grow_with_rounds(spark):
+    links = spark.createDataFrame([(i, i + 1) for i in range(300)], "a long, b long")
+    sizes = []
+    for _ in range(2):
+        found = components(links)
+        sizes.append(len(str(found._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())))
+        links = found.select(found.node.alias("a"), found.root.alias("b"))
+    assert max(sizes) < 100  # digits
+    assert {r.root for r in found.collect()} == {0}
+    assert components(links.where("false")).collect() == []
+
+
 def test_components(spark):
     links = [(5, 5), *[(i, i + 1) for i in range(100, 140)], *[(200, i) for i in range(201, 260)], (9, 3), (3, 7), (20, 21), (21, 22),
              (22, 20), (30, 4), (4, 9)]
