@@ -38,14 +38,18 @@ def test_equals_the_library_on_any_text(text):
     same(text)
 
 
+def read_back(encoder, text, end):
+    last, found = encoder.last_pieces(text), []
+    while end:
+        found.insert(0, last[end - 1] or text[end - 1])
+        end -= len(found[0])
+    return found
+
+
 def test_prefixes_have_the_pieces_of_the_text():
     text = "▁internationalisation"
-    last = ENCODER.last_pieces(text)
     for end in range(1, len(text) + 1):
-        whole, at = [], end
-        while at:
-            whole.insert(0, last[at] or text[at - 1])
-            at -= len(whole[0])
+        whole = read_back(ENCODER, text, end)
         assert whole == ENCODER.merges.merged(text[:end])[0]
         assert all(ENCODER.merges.compatible(a, b) for a, b in zip(whole, whole[1:]))
 
@@ -56,17 +60,27 @@ def test_merges_of_any_table():
     for _ in range(60):
         scores = {"".join(rng.choice("abc") for _ in range(rng.randrange(2, 5))): rng.randrange(6) for _ in range(rng.randrange(1, 12))}
         own = pieces.Encoder.__new__(pieces.Encoder)
-        own.merges, own.machine = pieces.Merges(scores), pieces.ahocorasick.Automaton()
-        for piece in scores:
-            own.machine.add_word(piece, piece)
-        own.machine.make_automaton()
+        own.prepare(pieces.Merges(scores))
         for _ in range(40):
             text = "".join(rng.choice("abc") for _ in range(rng.randrange(1, 14)))
-            last, at, found = own.last_pieces(text), len(text), []
-            while at:
-                found.insert(0, last[at] or text[at - 1])
-                at -= len(found[0])
-            assert found == own.merges.merged(text)[0]
+            assert read_back(own, text, len(text)) == own.merges.merged(text)[0]
+
+
+def test_any_ids_decode_as_in_the_library():
+    rng = random.Random(3)
+    for _ in range(3000):
+        ids = [rng.randrange(rng.choice([4, 262, 32000])) for _ in range(rng.randrange(12))]
+        assert ENCODER.text(ids) == LIBRARY.decode(ids)
+    assert ENCODER.text(None) == ""
+
+
+def test_memory_is_bounded(monkeypatch):
+    monkeypatch.setattr(pieces, "SEGMENTS", 5)
+    monkeypatch.setattr(pieces, "PAIRS", 5)
+    few = pieces.Encoder(MODEL)
+    for text in ("one two three four five six seven eight nine ten " * 2, "x" * 100):
+        assert few.ids(text).tolist() == LIBRARY.encode(text)
+        assert len(few) <= 5 and len(few.pairs) <= 5
 
 
 def test_query_and_round_trip(rows, tmp_path, spark):
