@@ -8,7 +8,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from recordsearch.operators.filters import where
-from recordsearch.operators.skew import spread_join
 
 
 def interval_overlap(spiders: DataFrame, start: date | None = None, end: date | None = None):
@@ -65,8 +64,8 @@ def overlap_windows(spiders: DataFrame, windows: DataFrame) -> DataFrame:
     Two spans meet when one's first day lies in the other.  A span is a few
     aligned pieces of days and a day lies in one piece of each size, so both
     cases are equi-joins on pieces; a day is in one piece of a span only, so a
-    pair comes once.  An open end reaches to the end of the data.  Pieces with
-    very many days' rows are spread.
+    pair comes once.  An open end reaches to the end of the data.  Of pieces
+    with very many rows adaptive execution makes several tasks.
     """
     live = spiders.where("enabled")
     ends = windows.select(F.col("start").alias("d")).unionByName(
@@ -86,14 +85,14 @@ def overlap_windows(spiders: DataFrame, windows: DataFrame) -> DataFrame:
 
     asked, listed = spans(windows, "start", "end", "_w"), spans(live, "date_from", "date_to", "_s")
 
-    def met(days, at, of, first, last, row_id):
+    def met(days, at, of, first, last):
         points = days.select("*", F.inline(_holding(F.col(at))))
         pieces = of.select("*", F.inline(_pieces(F.col(first), F.col(last))))
-        return spread_join(points, pieces, ["level", "node"], row_id=[row_id])
+        return points.join(pieces, ["level", "node"])  # every row is a pair, so a frequent piece is only split
 
-    began = met(listed, "_sa", asked, "_wa", "_wb", "spider_name")
+    began = met(listed, "_sa", asked, "_wa", "_wb")
     # the day itself belongs to the case above
-    inside = met(asked, "_wa", listed.where("_sa < _sb").withColumn("_next", F.col("_sa") + 1), "_next", "_sb", "window_id")
+    inside = met(asked, "_wa", listed.where("_sa < _sb").withColumn("_next", F.col("_sa") + 1), "_next", "_sb")
     meets = (
         (F.col("start").isNull() | F.col("date_to").isNull() | (F.col("date_to") >= F.col("start")))
         & (F.col("end").isNull() | (F.col("date_from") <= F.col("end")))
