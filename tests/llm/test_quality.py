@@ -51,6 +51,44 @@ def test_few_labels_and_no_rows(spark, rows):
     assert quality.classify(table.where("false"), spark.createDataFrame([(1, 0, 1)], schema)).collect() == []
 
 
+def test_pseudo_labels_bring_words_that_no_label_has(spark, rows, monkeypatch):
+    rng = random.Random(4)
+    docs, labels = [], []
+    for i in range(900):
+        toxic = i % 3 == 0
+        text = rng.choices(["plain", "words", "about", "something", "quiet"], k=20)
+        if toxic:
+            text[rng.randrange(20)] = "nasty" if i < 500 else "gruesome"
+        docs.append((i, " ".join(text), "en", "forum" if toxic else "press"))
+        if i < 500:
+            labels.append((i, 1, int(toxic)))
+    table = rows(docs)
+    known = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    new, ordinary = [set(quality.text_features([w])[1].view(np.int64).tolist()) for w in ("gruesome", "ordinary")]
+    new -= ordinary
+
+    def weights():
+        names, views, _ = quality.train(table, known)["toxic"]
+        return {f: w for f, w in zip(names[0].tolist(), views[0].weights, strict=True) if f in new}
+
+    assert len(weights()) == len(new) and min(weights().values()) > 0.5
+    monkeypatch.setattr(quality, "ROUNDS", 0)
+    assert not weights()
+
+
+def test_own_columns_named_like_results(spark, rows):
+    docs, labels = made(200)
+    table = rows(docs).selectExpr("*", "'x' AS quality_score", "2 AS toxic_score", "3 AS accepted", "4 AS own")
+    known = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    kept = quality.accepted_documents(table, known)
+    assert kept.columns == table.columns
+    got = kept.collect()
+    assert {(r.quality_score, r.toxic_score, r.accepted, r.own) for r in got} == {("x", 2, 3, 4)}
+    scored = quality.classify(table, known, tuple(table.columns))
+    assert sorted(r.doc_id for r in scored.where("accepted").collect()) == sorted(r.doc_id for r in got)
+    assert len(set(scored.columns)) == len(scored.columns)
+
+
 def test_features_do_not_depend_on_neighbours():
     texts = ["Ab cd, cd %% x", "", "é È ab"]
     owner, value = quality.text_features(texts)
