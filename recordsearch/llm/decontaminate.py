@@ -1,9 +1,11 @@
 """Benchmark questions in documents, also when their numbers, names or units were changed.
 
 Texts become templates: numbers, units behind numbers and capitalised names
-inside a sentence are typed slots, all else stays as a word in lower case.
-Windows of a question's template are looked up in those of the documents by
-hash; then one value of a slot must always stand for one other value.
+are typed slots, all else stays as a word in lower case.  A capitalised word
+at the beginning of a sentence may be a name or not, so every text has two
+templates, one for either reading.  Windows of a question's template are
+looked up in those of the documents by hash; then one value of a slot must
+always stand for one other value.
 """
 
 from __future__ import annotations
@@ -33,6 +35,10 @@ _TOKEN = _DIGIT | (_BYTE >= 65) & (_BYTE <= 90) | (_BYTE >= 97) & (_BYTE <= 122)
 _LOWER = (_BYTE >= 97) & (_BYTE <= 122)
 _BLANK = np.isin(_BYTE, [32, 9, 10, 11, 12, 13])
 _STOP = np.isin(_BYTE, list(b".!?:;\"([{"))
+#: Operators between two numbers are part of the template.
+_OPERATOR = np.zeros(256, np.uint64)
+_OPERATOR[list(b"+-*/=<>^%")] = words.mix(np.arange(9, dtype=np.uint64), 57)
+_POINT = np.isin(_BYTE, list(b".,"))
 _SLOT = words.mix(np.arange(4, dtype=np.uint64), 99)
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
 
@@ -45,10 +51,12 @@ def _unit_hashes() -> np.ndarray:
 _UNIT = _unit_hashes()
 
 
-def templates(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of all texts in order: each token's kind (0 word, 1 number, 2 unit, 3 name), value and text number.
+def readings(texts: list[str]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Of all texts in order: each token's kind (0 word, 1 number, 2 unit, 3 name), value, operators before it, text number.
 
-    Neighbouring tokens of one slot kind are one slot.
+    In the first reading a capitalised word at the beginning of a sentence is
+    a word, in the second a name.  Neighbouring names or units are one slot,
+    as are the parts of a number around a point or comma.
     """
     raw, at = words.joined(texts)
     small = raw.copy()
@@ -57,7 +65,7 @@ def templates(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     small[accented + 1] += 32
     value, starts, ends = words.run_hashes(small, _TOKEN[raw])
     if not len(starts):
-        return np.zeros(0, np.int8), value, starts
+        return [(np.zeros(0, np.int8), value, value, starts)] * 2
     own = np.searchsorted(at, starts, side="right") - 1
 
     def within(mask, a, b):
@@ -72,88 +80,105 @@ def templates(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     solid = np.maximum.accumulate(np.where(~_BLANK[raw], place, -1))
     before = np.where(starts > 0, solid[starts - 1], -1)
     inside = (before >= at[own]) & ~_STOP[raw[before]] & (within(raw == 10, np.maximum(before, 0), starts) == 0)
-    follows = np.concatenate(([False], number[:-1] & (own[1:] == own[:-1])))
-    kind = np.select([number, follows & np.isin(value, _UNIT), upper & mixed & inside], [1, 2, 3], 0).astype(np.int8)
-    first = np.ones(len(kind), dtype=bool)
-    first[1:] = (kind[1:] == 0) | (kind[1:] != kind[:-1]) | (own[1:] != own[:-1])
-    heads = np.flatnonzero(first)
-    return kind[heads], np.add.reduceat(value, heads), own[heads]
-
-
-def windows(kind: np.ndarray, value: np.ndarray, own: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hash and first token of every window of k tokens of one text.
+    beside = own[1:] == own[:-1]
+    follows = np.concatenate(([False], number[:-1] & beside))
+    tight = (starts[1:] - ends[:-1] == 1) & _POINT[raw[ends[:-1]]]
+    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(_OPERATOR[raw], dtype=np.uint64)))
+    between = np.zeros(len(starts), np.uint64)
+    between[1:] = np.where(number[1:] & number[:-1] & beside, sums[starts[1:]] - sums[ends[:-1]], np.uint64(0))
+    found = []
+    for name in (upper & mixed & inside, upper & mixed):
+        kind = np.select([number, follows & np.isin(value, _UNIT), name], [1, 2, 3], 0).astype(np.int8)
+        first = np.ones(len(kind), dtype=bool)
+        first[1:] = (kind[1:] == 0) | (kind[1:] != kind[:-1]) | ~beside | (kind[1:] == 1) & ~tight
+        heads = np.flatnonzero(first)
+        found.append((kind[heads], np.add.reduceat(value, heads), between[heads], own[heads]))
+    return found
+
+
+def windows(kind: np.ndarray, value: np.ndarray, between: np.ndarray, own: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hash, hash with the values of the slots, and first token of every window of k tokens of one text.
 
     A window with fewer words than slots says little; its values stay in it.
     """
     n = len(kind) - k + 1
     if n <= 0:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    slotted = np.where(kind > 0, _SLOT[kind], value)
+        return np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    slotted, valued = np.where(kind > 0, _SLOT[kind], value) + between, value + between
     open_, exact = np.zeros(n, np.uint64), np.zeros(n, np.uint64)
     literal = np.zeros(n, np.int64)
     for i in range(k):
         open_ = open_ * _PRIME + slotted[i:i + n]
-        exact = exact * _PRIME + value[i:i + n]
+        exact = exact * _PRIME + valued[i:i + n]
         literal += kind[i:i + n] == 0
-    hashes = words.mix(np.where(2 * literal >= k, open_, exact), k)
     whole = np.flatnonzero(own[:n] == own[k - 1:])
-    return hashes[whole], whole
+    return words.mix(np.where(2 * literal >= k, open_, exact), k)[whole], words.mix(exact, k)[whole], whole
 
 
 class Questions:
-    """Templates of a block of questions, ready to be looked up."""
+    """Templates of a block of questions, ready to be looked up.
+
+    A question with fewer than WINDOW words beside its slots ("What is
+    12 + 7?") is too common a template: its values must be the same.
+    """
 
     def __init__(self, items: list[int], texts: list[str]):
-        kind, value, own = templates(texts)
         self.items, self.tokens, self.count = items, {}, {}
-        found: dict[int, list] = defaultdict(list)
-        for i in range(len(items)):
-            at = np.flatnonzero(own == i) if len(items) < 2 else slice(*np.searchsorted(own, [i, i + 1]))
-            one = kind[at], value[at]
-            k = min(WINDOW, len(one[0]))
-            if not k:
-                continue
-            hashes, places = windows(*one, np.zeros(len(one[0]), np.int64), k)
-            self.tokens[i], self.count[i] = one, len(hashes)
-            for h, p in zip(hashes.tolist(), places.tolist(), strict=True):
-                found[k, h].append((i, p))
-        self.sizes = sorted({k for k, _ in found})
-        self.hashes = {k: np.array(sorted(h for q, h in found if q == k), dtype=np.uint64) for k in self.sizes}
+        found: dict[tuple, list] = defaultdict(list)
+        for reading, (kind, value, between, own) in enumerate(readings(texts)):
+            for i in range(len(items)):
+                at = slice(*np.searchsorted(own, [i, i + 1]))
+                one = kind[at], value[at], between[at]
+                k = min(WINDOW, len(one[0]))
+                if not k:
+                    continue
+                strict = int((one[0] == 0).sum() < WINDOW)
+                hashes = windows(*one, np.zeros(len(one[0]), np.int64), k)
+                self.tokens[reading, i], self.count[reading, i] = one, len(hashes[2])
+                for h, p in zip(hashes[strict].tolist(), hashes[2].tolist(), strict=True):
+                    found[reading, k, strict, h].append((i, p))
+        known: dict[tuple, list] = defaultdict(list)
+        for *look, h in found:
+            known[tuple(look)].append(h)
+        self.hashes = {look: np.array(sorted(h), dtype=np.uint64) for look, h in sorted(known.items())}
         self.places = dict(found)
 
     def matches(self, texts: list[str]) -> list[list[tuple[int, float]]]:
         """Of each text the questions (item, share of its windows) with a share of LEAST or more."""
-        result: list[list[tuple[int, float]]] = [[] for _ in texts]
+        result: list[dict[int, float]] = [{} for _ in texts]
         for part in words.groups(texts):
-            kind, value, own = templates(texts[part])
-            hits: dict[tuple[int, int], list] = defaultdict(list)
-            for k in self.sizes:
-                hashes, places = windows(kind, value, own, k)
-                known = self.hashes[k]
+            both = readings(texts[part])
+            hits: dict[tuple[int, int, int], list] = defaultdict(list)
+            made: dict[tuple[int, int], tuple] = {}
+            for (reading, k, strict), known in self.hashes.items():
+                if (reading, k) not in made:
+                    made = {(reading, k): windows(*both[reading], k)}  # looks come in order, so one is held
+                hashes, places = made[reading, k][strict], made[reading, k][2]
                 at = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
                 for n in np.flatnonzero(known[at] == hashes):
                     p = int(places[n])
-                    for item, q in self.places[k, int(hashes[n])]:
-                        hits[int(own[p]), item].append((p - q, p, q, k))
-            for (text, item), found in hits.items():
-                share = self._share(item, found, kind, value)
+                    for item, q in self.places[reading, k, strict, int(hashes[n])]:
+                        hits[int(both[reading][3][p]), item, reading].append((p - q, p, q, k))
+            for (text, item, reading), found in hits.items():
+                share = self._share(reading, item, found, both[reading][1])
                 if share >= LEAST:
-                    result[part.start + text].append((self.items[item], round(share, 6)))
-        return [sorted(r) for r in result]
+                    own = result[part.start + text]
+                    own[item] = max(own.get(item, 0.0), round(share, 6))
+        return [sorted((self.items[i], share) for i, share in r.items()) for r in result]
 
-    def _share(self, item: int, found: list, kind: np.ndarray, value: np.ndarray) -> float:
+    def _share(self, reading: int, item: int, found: list, value: np.ndarray) -> float:
         """Largest share of the question's windows in one occurrence with consistent slots."""
         found.sort()
         best, start = 0, 0
         for end in range(1, len(found) + 1):
             if end == len(found) or found[end][0] - found[end - 1][0] > SHIFT:
                 if end - start > best:
-                    best = max(best, self._consistent(item, found[start:end], kind, value))
+                    best = max(best, self._consistent(reading, item, found[start:end], value))
                 start = end
-        return best / self.count[item]
+        return best / self.count[reading, item]
 
-    def _consistent(self, item: int, found: list, kind: np.ndarray, value: np.ndarray) -> int:
-        own_kind, own_value = self.tokens[item]
+    def _consistent(self, reading: int, item: int, found: list, value: np.ndarray) -> int:
+        own_kind, own_value, _ = self.tokens[reading, item]
         pairs: Counter = Counter()
         in_window: dict[tuple[int, int], set] = {}
         for _, p, q, k in found:
@@ -188,8 +213,8 @@ def find_questions(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id"
     """Pairs (doc_id, item_id, share): each document with each question that it holds.
 
     ``share`` is the part of the question's windows that one occurrence in the
-    document holds with consistent slots, LEAST or more.  Questions shorter
-    than a window are one window.  Null and empty texts hold nothing and are
+    document holds with consistent slots, LEAST or more, in the reading that
+    gives more.  Questions shorter than a window are one window.  Null and empty texts hold nothing and are
     no questions; exact repeats of a question count once, repeated document
     rows give repeated pairs.  Empty tables give no pairs; other columns play
     no part.  Whole texts are read, and no document is shuffled.
@@ -212,7 +237,7 @@ def find_questions(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id"
 
 
 def without_questions(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFrame:
-    """The documents that hold no question, with all their columns."""
+    """The documents that hold no question, with exactly their own columns; nulls, repeats and the like as in find_questions."""
     for block in _blocks(benchmark, "item_id", "text"):
         shared = docs.sparkSession.sparkContext.broadcast(block)
 

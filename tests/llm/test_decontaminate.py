@@ -41,7 +41,24 @@ def test_a_large_benchmark_takes_several_passes(spark, rows, monkeypatch):
     assert sorted((r.doc_id, r.item_id) for r in got) == [(1, 70), (2, 71)]
 
 
-def plain(text):
+def test_names_at_the_beginning_of_sentences():
+    question = d.Questions([1], ["Alice has 3 apples. Bob gives her 4 more. How many apples does Alice have now?"])
+    same = "Carol has 7 apples. Dan gives her 9 more. How many apples does Carol have now?"
+    swapped = "Carol has 7 apples. Dan gives her 9 more. How many apples does Eve have now?"
+    assert question.matches([f"Read this. {same} Then answer."]) == [[(1, 1.0)]]
+    assert question.matches([same.lower()]) == [[]]
+    other = question.matches([swapped])[0]
+    assert not other or other[0][1] < 1.0
+
+
+def test_short_questions_need_their_values():
+    question = d.Questions([1, 2], ["What is 12 + 7?", "How much is 3 kg of 5%?"])
+    texts = ["so tell me what is 5 and then go", "what is 12 - 7?", "What is 12 7", "what is 13 + 7", "I ask: what is 12 + 7? Nineteen.",
+             "how much is 4 kg of 5%", "How much is 3 KG of 5 % then"]
+    assert [[i for i, _ in m] for m in question.matches(texts)] == [[], [], [], [], [1], [], [2]]
+
+
+def plain(text, names):
     """Templates token by token."""
     out, end = [], 0
     for m in re.finditer(r"[0-9A-Za-z\u0080-\U0010ffff]+", text):
@@ -49,20 +66,27 @@ def plain(text):
         solid = text[:m.start()].rstrip(" \t\n\v\f\r")
         inside = solid and solid[-1] not in ".!?:;\"([{" and "\n" not in text[len(solid):m.start()]
         kind = 1 if re.search("[0-9]", w) else 2 if out and out[-1][1] == 1 and w.lower() in d.UNITS else \
-            3 if re.match("[A-ZÀ-ÖØ-Þ]", w) and re.search("[a-z\u0080-\U0010ffff]", w[1:]) and inside else 0
-        out.append((w.lower(), kind))
+            3 if re.match("[A-ZÀ-ÖØ-Þ]", w) and re.search("[a-z\u0080-\U0010ffff]", w[1:]) and (inside or names) else 0
+        out.append((w.lower(), kind, gap))
         end = m.end()
-        del gap
-    merged = []
-    for w, kind in out:
-        if not (merged and kind and merged[-1] == kind):
-            merged.append(kind)
+    merged, last = [], 0
+    for _, kind, gap in out:
+        if not (merged and kind and last == kind and (kind != 1 or gap in (".", ","))):
+            operators = sorted(c for c in gap if c in "+-*/=<>^%") if kind == 1 and last == 1 else []
+            merged.append((kind, "".join(operators)))
+        last = kind
     return merged
 
 
 def test_templates_equal_a_plain_reading():
     rng = random.Random(3)
-    pieces = ["Anna", "bob", "É1", "Élan", "élan", "12", "kg", "km", "THE", "The", ".", "\n", "!", "(", "x1", "ÀB", "I", "Öl"]
-    for _ in range(300):
-        text = "".join(rng.choice(pieces) + rng.choice([" ", "", ", "]) for _ in range(rng.randrange(15)))
-        assert d.templates([text])[0].tolist() == plain(text), text
+    pieces = ["Anna", "bob", "É1", "Élan", "élan", "12", "7", "kg", "km", "THE", "The", ".", "\n", "!", "(", "x1", "ÀB", "I", "Öl", "+", "-"]
+    codes = {}
+    for _ in range(600):
+        text = "".join(rng.choice(pieces) + rng.choice([" ", "", ", ", ","]) for _ in range(rng.randrange(15)))
+        for names, (kind, _, between, _) in enumerate(d.readings([text])):
+            wanted = plain(text, names)
+            assert kind.tolist() == [k for k, _ in wanted], text
+            for (_, operators), code in zip(wanted, between.tolist(), strict=True):
+                assert codes.setdefault(operators, code) == code, text
+    assert len(set(codes.values())) == len(codes)
