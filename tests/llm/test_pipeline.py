@@ -58,4 +58,4 @@ def test_queries_equal_their_sql(spark, name):
 
 
 def test_numbers_of_queries():
-    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 14))
