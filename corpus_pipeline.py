@@ -10,18 +10,17 @@ from recordsearch.llm.common import new_folder
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the co-trained classifiers find good and not toxic."""
-    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    return quality.classify(docs, labels, tuple(docs.columns)).where("accepted").select(*docs.columns)
+    """Documents that the co-trained classifiers find good and not toxic; null texts count as empty ones."""
+    return quality.accepted_documents(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def neardup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near duplicates."""
+    """One document of each class of near duplicates, that of the smallest id; documents without words stay."""
     return neardup.without_near_duplicates(docs)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark question."""
+    """Documents that hold no benchmark question; null and empty texts hold none."""
     return decontaminate.without_questions(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
