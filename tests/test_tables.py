@@ -352,6 +352,21 @@ def test_overlapping_spans_of_any_kind(spark):
     assert nothing.collect() == [] and nothing.columns == ["window_id", "spider_name", "date_from", "date_to"]
 
 
+def test_windows_meet_spiders_in_many_tasks(spark):
+    from datetime import date
+
+    windows = spark.range(300).coalesce(1).selectExpr("id AS window_id", "date'2024-01-01' AS start", "date'2024-02-01' AS end")
+    table = spark.range(40).coalesce(1).selectExpr(
+        "concat('s', id) AS spider_name", "date'2023-12-01' AS date_from", "CAST(NULL AS date) AS date_to", "true AS enabled")
+    pairs = spiders.overlap_windows(table, windows)
+    shares = [r["count"] for r in pairs.groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(shares) == pairs.distinct().count() == 300 * 40
+    assert max(shares) < 300 * 40 * 0.6
+    late = spiders.overlap_windows(table, windows.where("window_id < 2").withColumn("end", F.lit(date(2023, 11, 1))))
+    assert late.count() == 0
+
+
+
 def test_pages_by_place_and_by_key(spark, tmp_path):
     import random
 
