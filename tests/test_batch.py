@@ -104,3 +104,43 @@ def test_only_asked_buckets_are_read(stored):
         plan = batch.search_index(index, SearchRequest(text)).page._jdf.queryExecution().toString()
         read = [int(n) for n in re.findall(r"SelectedBucketsCount: (\d+) out of 16", plan)]
         assert read and min(read) <= most, plan
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_postings_are_grouped_without_shuffling_occurrences(spark):
+    from recordsearch.functions.text import EXACT
+    from recordsearch.plans.index import index_postings
+
+    rows = [(1, "b a B c"), (1, "a x y z"), (2, "a"), (3, ""), (4, None), (None, "q q"), (5, "+ -")]
+    corpus = Corpus(spark.createDataFrame(rows, "id int, source_text string"), key="id")
+    found = index_postings(corpus, EXACT)
+    assert "hashpartitioning(token" not in plan_of(found)
+    assert {(r.token, r.id, r.length): r.positions for r in found.collect()} == {
+        ("a", 1, 4): [0, 1], ("b", 1, 4): [0, 2], ("c", 1, 4): [3], ("x", 1, 4): [1], ("y", 1, 4): [2], ("z", 1, 4): [3],
+        ("a", 2, 1): [0], ("q", None, 2): [0, 1]}
+
+
+def test_lengths_of_stemmed_texts_need_no_stems(spark):
+    from recordsearch.functions.text import portuguese_analysis
+    from recordsearch.plans.index import index_docs
+
+    corpus = Corpus(spark.createDataFrame([(1, "As obras públicas e de"), (2, ""), (3, None), (4, "de")], "id int, source_text string"),
+                    key="id", plain=portuguese_analysis())
+    found = index_docs(corpus)
+    assert "amento" not in plan_of(found)
+    assert sorted((r.id, r.plain_len, r.exact_len) for r in found.collect()) == [(1, 2, 5), (2, 0, 0), (3, None, None), (4, 0, 1)]
+
+
+def test_asked_words_meet_queries_where_a_document_lies(spark):
+    from recordsearch.plans.batch import batch_pages
+    from recordsearch.plans.index import build_index
+
+    rows = [(1, "a b", "t", date(2024, 1, 1)), (2, "a a c", "u", date(2024, 1, 2)), (3, "d", "t", None)]
+    corpus = Corpus(spark.createDataFrame(rows, "id int, source_text string, territory_id string, date date"), key="id")
+    asked = spark.createDataFrame([(1, "a b"), (2, "+a -b"), (3, "+a + -b")], "query_id int, text string")
+    pages = batch_pages(build_index(corpus), asked)
+    assert "hashpartitioning(id#" in plan_of(pages) and "REPARTITION_BY_NUM" in plan_of(pages)
+    assert sorted((r.query_id, r.rank, r.id) for r in pages.collect() if r.query_id != 2) == [(1, 1, 1), (1, 2, 2), (3, 1, 2)]
