@@ -115,6 +115,43 @@ CHUNK = 32
 LOCATED = "array<struct<token:string,start:int,stop:int>>"
 
 
+def token_runs(text: Column, token_pattern: str = TOKEN_PATTERN) -> Column:
+    """Raw tokens in runs of CHUNK: array of (first, begin, tokens, gaps).
+
+    ``first`` is the number of the run's first token, ``begin`` the place in
+    the text where the gap before it starts; ``gaps`` stand before the tokens
+    (after the last token of the text there may be one more).
+    """
+    found = F.struct(F.split(text, token_pattern).alias("gaps"),
+                     F.regexp_extract_all(text, F.lit(token_pattern), F.lit(0)).alias("tokens"))
+
+    def runs(all_found):
+        return F.transform(
+            F.sequence(F.lit(0), F.greatest(F.size(all_found["tokens"]) - 1, F.lit(0)), F.lit(CHUNK)),
+            lambda at: F.struct(at.alias("first"), F.slice(all_found["tokens"], at + 1, CHUNK).alias("tokens"),
+                                F.slice(all_found["gaps"], at + 1, CHUNK).alias("gaps")))
+
+    def step(done, run):
+        width = F.length(F.array_join(run["gaps"], "")) + F.length(F.array_join(run["tokens"], ""))
+        return F.struct((done["at"] + width).alias("at"),
+                        F.concat(done["begins"], F.array(done["at"])).alias("begins"))
+
+    def with_begins(parts):
+        first = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("begins"))
+        begins = F.aggregate(parts, first, step, lambda done: done["begins"])
+        return F.zip_with(parts, begins, lambda run, begin: F.struct(
+            run["first"].alias("first"), begin.alias("begin"), run["tokens"].alias("tokens"), run["gaps"].alias("gaps")))
+
+    return let(found, lambda all_found: F.when(text.isNotNull(), let(runs(all_found), with_begins)))
+
+
+def token_stops(begin: Column, tokens: Column, gaps: Column) -> Column:
+    """Where each token of a run ends: running sums over the gaps and tokens."""
+    sums = F.aggregate(F.arrays_zip(gaps.alias("gap"), tokens.alias("tok")), F.array(begin), lambda done, pair: F.concat(
+        done, F.array(F.element_at(done, -1) + F.length(pair["gap"]) + F.length(pair["tok"]))))
+    return F.slice(sums, F.lit(2), F.size(tokens))
+
+
 def located_tokens(text: Column, token_pattern: str = TOKEN_PATTERN) -> Column:
     """Every raw token with its 0-based place: array of (token, start, stop).
 
@@ -166,6 +203,26 @@ def located_tokens(text: Column, token_pattern: str = TOKEN_PATTERN) -> Column:
     return let(pairs, by_chunks)
 
 
+PIECE = 128
+
+
+def pieces(text: Column) -> Column:
+    """The text cut into pieces of PIECE characters; ``piece_at`` reads any stretch of it from these."""
+    return F.regexp_extract_all(text, F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0))
+
+
+def piece_at(cut: Column, start: Column, length: Column) -> Column:
+    """``length`` characters from the 0-based ``start`` on, from the pieces there alone.
+
+    A substring of a long text counts its characters from the beginning; here
+    the work does not depend on where the stretch lies.
+    """
+    inside = start % PIECE
+    some = F.floor((inside + length + PIECE - 1) / PIECE).cast("int")
+    near = F.slice(cut, F.floor(start / PIECE).cast("int") + 1, some)
+    return F.array_join(near, "").substr(inside + 1, length)
+
+
 def earlier_max(values: Column) -> Column:
     """The largest of the values (0 or more) before each one, -1 for the first.
 

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from recordsearch.functions.text import EXACT, Analysis, let, located_tokens, token_count, within_edits
+from recordsearch.functions.text import EXACT, Analysis, let, token_count, token_runs, token_stops, within_edits
 from recordsearch.operators.skew import lookup, spread_join
 
 
@@ -21,13 +21,18 @@ def analyze_tokens(df: DataFrame, text: str, analyses: dict[str, Analysis]) -> D
 
 
 def build_postings(docs: DataFrame, key: str, text: str, analysis: Analysis = EXACT) -> DataFrame:
-    """One row per token occurrence: key, token, position and start offset."""
-    spots = docs.select(
-        key,
-        F.posexplode(located_tokens(F.col(text), analysis.token_pattern)).alias("pos", "spot"),
-    )
-    token = F.lower("spot.token")
-    rows = spots.select(key, token.alias("token"), "pos", F.col("spot.start").alias("start"))
+    """One row per token occurrence: key, token, position and start offset.
+
+    A text becomes rows of a few tokens first, so offsets are summed over
+    short arrays and no array of all places of a text is made.
+    """
+    runs = docs.select(key, F.inline(token_runs(F.col(text), analysis.token_pattern))
+                       .alias("_first", "_begin", "_tokens", "_gaps"))
+    sums = runs.select(key, "_first", "_tokens", token_stops(F.col("_begin"), F.col("_tokens"), F.col("_gaps")).alias("_stops"))
+    spots = sums.select(key, "_first", F.posexplode(F.arrays_zip("_tokens", "_stops")).alias("_at", "_spot"))
+    raw = F.col("_spot._tokens")
+    rows = spots.select(key, F.lower(raw).alias("token"), (F.col("_first") + F.col("_at")).alias("pos"),
+                        (F.col("_spot._stops") - F.length(raw)).alias("start"))
     if analysis.stopwords:
         rows = rows.where(~F.col("token").isin(*analysis.stopwords))
     return rows.withColumn("token", analysis.stem(F.col("token")))

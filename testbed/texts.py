@@ -6,7 +6,7 @@ from datetime import date
 
 from pyspark.sql import functions as F
 
-from recordsearch.functions.text import EXACT, Analysis, portuguese_analysis
+from recordsearch.functions.text import EXACT, Analysis, piece_at, pieces, portuguese_analysis
 from recordsearch.operators import highlight, ingest, numbers, page, postings
 from recordsearch.operators.match import AllOf, AnyOf, Not, Phrase, Word
 from recordsearch.plans import batch
@@ -96,8 +96,8 @@ def build_postings(spark, sf):
 def postings_offsets(spark, sf):
     """Occurrences whose text at the start offset is the token: all of them."""
     rows = postings.build_postings(t.documents(spark, sf), "doc_id", "text")
-    docs = t.documents(spark, sf).select("doc_id", "text")
-    there = F.lower(F.col("text").substr(F.col("start") + 1, F.length("token"))) == F.col("token")
+    docs = t.documents(spark, sf).select("doc_id", pieces(F.col("text")).alias("pieces"))
+    there = F.lower(piece_at(F.col("pieces"), F.col("start"), F.length("token"))) == F.col("token")
     return rows.join(docs, "doc_id").where(there).groupBy("doc_id").agg(F.count("*").alias("n"))
 
 

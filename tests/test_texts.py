@@ -7,7 +7,9 @@ from itertools import product
 import pytest
 from pyspark.sql import functions as F
 
-from recordsearch.functions.text import EXACT, Analysis, located_tokens, phrase_occurrences, token_count
+from recordsearch.functions.text import (
+    CHUNK, EXACT, PIECE, Analysis, located_tokens, phrase_occurrences, piece_at, pieces, token_count, token_runs,
+)
 from recordsearch.operators import postings
 from recordsearch.operators.highlight import highlight
 from recordsearch.operators.match import AnyOf, Fuzzy, Phrase, Prefix, Word
@@ -53,6 +55,27 @@ def test_postings(docs):
     assert {r.token for r in kept} == {"red", "fox", "lazy", "dog", "été", "s", "and"}
 
 
+def test_offsets_come_from_short_runs(spark):
+    long = "Ärger, 10 dogs\n" * 70 + "x" * 300 + " 𝒜b 🙂 end..."
+    table = spark.createDataFrame([(1, long), (2, None), (3, "... "), (4, " one")], "first int, text string")
+    runs = table.select(F.inline(token_runs(F.col("text")))).collect()
+    assert max(len(r.tokens) for r in runs) == CHUNK
+    out = postings.build_postings(table, "first", "text").collect()
+    assert sorted((r.first, r.token, r.pos, r.start) for r in out) == sorted(
+        (n, m.group().lower(), i, m.start()) for n, t in ((1, long), (4, " one"))
+        for i, m in enumerate(re.finditer(r"[^\W_]+", t)))
+
+
+def test_stretches_read_from_pieces(spark):
+    text = "aé\n🙂" * PIECE
+    asked = [(s, n) for s in (0, 1, PIECE - 1, PIECE, 2 * PIECE - 3, 4 * PIECE - 2, 4 * PIECE) for n in (0, 1, 5, PIECE, 3 * PIECE)]
+    table = spark.createDataFrame([(text, s, n) for s, n in asked], "text string, s int, n int")
+    cut = table.withColumn("cut", pieces(F.col("text")))
+    out = cut.select("s", "n", F.size("cut").alias("size"), piece_at(F.col("cut"), F.col("s"), F.col("n")).alias("got")).collect()
+    assert {r.size for r in out} == {4}
+    assert {(r.s, r.n): r.got for r in out} == {(s, n): text[s:s + n] for s, n in asked}
+
+
 def test_stored_postings_need_no_shuffle_by_token(spark, docs):
     name = "stored_postings"
     postings.write_postings(postings.build_postings(docs, "id", "text"), name, 4)
