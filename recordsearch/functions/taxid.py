@@ -54,14 +54,24 @@ def _valid_digits(digits: Column) -> Column:
     return F.coalesce((F.length(digits) == 14) & right, F.lit(False))
 
 
+def are_valid(digits: Column) -> Column:
+    """``is_valid`` of what ``only_digits`` gave."""
+    return let(digits, _valid_digits)
+
+
 def is_valid(raw: Column) -> Column:
-    return let(only_digits(raw), _valid_digits)
+    return are_valid(only_digits(raw))
 
 
 def masked(raw: Column) -> Column:
     """NN.NNN.NNN/NNNN-NN."""
+    return mask(only_digits(raw))
+
+
+def mask(digits: Column) -> Column:
+    """``masked`` of what ``only_digits`` gave."""
     return F.regexp_replace(
-        only_digits(raw), r"^(\d{2})(\d{3})(\d{3})(\d{4})(\d*)$", r"$1.$2.$3/$4-$5"
+        digits, r"^(\d{2})(\d{3})(\d{3})(\d{4})(\d*)$", r"$1.$2.$3/$4-$5"
     )
 
 

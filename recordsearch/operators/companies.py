@@ -7,22 +7,28 @@ from pyspark.sql import functions as F
 
 from recordsearch.functions import taxid
 from recordsearch.functions.text import text_or_null
-from recordsearch.operators.skew import lookup, spread_join
+from recordsearch.operators.skew import lookup, shuffle_tasks, spread_join
 from recordsearch.schemas import COMPANY_ATTRIBUTES, COMPANY_KEYS, PARTNER_ATTRIBUTES
+from recordsearch.sources.readers import spread
 
 ID_COLUMNS = ("cnpj_basico", "cnpj_ordem", "cnpj_dv", "cnpj_completo",
               "cnpj_completo_apenas_numeros")
 
 
 def request_ids(requests: DataFrame, column: str, row_id: str) -> DataFrame:
-    """The id columns of a record; they come from the requested id."""
-    digits = taxid.only_digits(F.col(column))
-    asked = requests.select(row_id, column, digits.alias("cnpj_completo_apenas_numeros"))
+    """The id columns of a record; they come from the requested id.
+
+    Requests are dealt out, as a small file of them is read by one task.  The
+    digits leave a generator: a filter on valid ids stays behind it and behind
+    the dealing, and the cleaning of the text is not repeated in each column.
+    """
+    dealt = spread(requests.select(row_id, column), shuffle_tasks(requests))
+    once = F.explode(F.array(taxid.only_digits(F.col(column))))
+    asked = dealt.select(row_id, column, once.alias("cnpj_completo_apenas_numeros"))
     raw = F.col("cnpj_completo_apenas_numeros")
-    p = taxid.parts(raw)
     return asked.withColumns({
-        "is_valid": taxid.is_valid(raw), "cnpj_basico": p["base"], "cnpj_ordem": p["branch"],
-        "cnpj_dv": p["check"], "cnpj_completo": taxid.masked(raw),
+        "is_valid": taxid.are_valid(raw), "cnpj_basico": F.substring(raw, 1, 8), "cnpj_ordem": F.substring(raw, 9, 4),
+        "cnpj_dv": F.substring(raw, 13, 1 << 20), "cnpj_completo": taxid.mask(raw),
     })
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def _tasks(df: DataFrame) -> int:
+def shuffle_tasks(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
@@ -22,7 +22,7 @@ def salts(df: DataFrame, keys: list[str]) -> Column:
     such a share are twice as many as there are tasks at most; the map comes
     from a frequent-items sketch of that size, with partial aggregation.
     """
-    tasks = _tasks(df)
+    tasks = shuffle_tasks(df)
     most = 2 * tasks
     top = F.expr(f"approx_top_k(h, {most}, {max(16 * most, 10_000)})")
     listed = df.select(_key_hash(keys).alias("h")).agg(top.alias("top"), F.count("*").alias("n"))
@@ -79,7 +79,7 @@ def dense_ids(df: DataFrame, order: str, start: Column, name: str, slices: int |
     counts (at most ``slices`` rows) meet in one place.  There are as many
     slices as a shuffle has tasks unless a number is given.
     """
-    slices = slices or max(2, _tasks(df))
+    slices = slices or max(2, shuffle_tasks(df))
     at = F.col(order).cast("double")
     cuts = (
         (df if cuts_from is None else cuts_from).select(at.alias("v"))

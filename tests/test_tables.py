@@ -165,6 +165,19 @@ def test_partners_are_never_merged(spark):
     assert sorted((r.n, r.total_partners) for r in counts) == [(1, 2), (2, 0)]
 
 
+def test_asked_ids_are_checked_after_they_are_dealt_out(spark):
+    rows = [(n, "191" if n % 2 else None if n % 4 else "11.222.333/0001-80") for n in range(200)]
+    asked = companies.request_ids(spark.createDataFrame(rows, "n int, id string").coalesce(1), "id", "n")
+    valid = asked.where("is_valid")
+    plan = valid._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Filter") < plan.index("Repartition")
+    assert plan.count("[^0-9]") == 1
+    assert valid.select(F.spark_partition_id()).distinct().count() > 1
+    assert valid.count() == 100 and asked.count() == 200
+    one = valid.select(*companies.ID_COLUMNS).distinct().collect()
+    assert [tuple(r) for r in one] == [("00000000", "0001", "91", "00.000.000/0001-91", "00000000000191")]
+
+
 def test_file_catalogue(spark):
     table = spark.createDataFrame(
         [("1", None, "SP", "2022", "/agg/sp/2022.zip", "1", "None", "d"),
