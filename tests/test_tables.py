@@ -380,6 +380,19 @@ def test_windows_meet_spiders_in_many_tasks(spark):
 
 
 
+def test_pairs_of_windows_and_spiders_take_few_bytes(spark, tmp_path):
+    """Most of the work's bytes are those of the pairs: ids in long runs and in stretches that come again."""
+    windows = spark.range(40_000).selectExpr("id AS window_id", "date_add(date'2024-01-01', CAST(id % 5 AS int)) AS start",
+                                             "date_add(date'2024-12-01', CAST(id % 7 AS int)) AS end")
+    table = spark.range(50).selectExpr("concat('spider', id) AS spider_name", "date_add(date'2024-02-01', CAST(id % 60 AS int)) AS date_from",
+                                       "CAST(NULL AS date) AS date_to", "true AS enabled")
+    pairs = spiders.overlap_windows(table, windows).select("window_id", "spider_name")
+    pairs.write.parquet(str(tmp_path / "pairs"))
+    assert spark.read.parquet(str(tmp_path / "pairs")).distinct().count() == 40_000 * 50
+    written = sum(f.stat().st_size for f in (tmp_path / "pairs").glob("*.parquet"))
+    assert written < 40_000 * 50 * 2, written
+
+
 def test_pages_by_place_and_by_key(spark, tmp_path):
     import random
 
