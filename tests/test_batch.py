@@ -144,3 +144,56 @@ def test_asked_words_meet_queries_where_a_document_lies(spark):
     pages = batch_pages(build_index(corpus), asked)
     assert "hashpartitioning(id#" in plan_of(pages) and "REPARTITION_BY_NUM" in plan_of(pages)
     assert sorted((r.query_id, r.rank, r.id) for r in pages.collect() if r.query_id != 2) == [(1, 1, 1), (1, 2, 2), (3, 1, 2)]
+
+
+def test_rarest_required_word_chooses_the_documents(spark):
+    from recordsearch.functions.text import EXACT
+    from recordsearch.plans.batch import _leading, batch_pages, batch_totals, read_requests
+
+    rows = [(i, "a b" + (" c rare" if i in (3, 5) else "") + (" d" if i == 5 else ""), "t", date(2024, 1, 1)) for i in range(30)] + [(99, "rare", "t", None)]
+    index = build_index(Corpus(spark.createDataFrame(rows, "id int, source_text string, territory_id string, date date"), key="id", plain=EXACT))
+    texts = ["+a +b +rare", "+a +rare + -d", "a rare", "+a +b", "+a +rare +(d | zzz | b)", "+a +b +nowhere", "-a -rare", "+a +b +rare", "+a +b +rare"]
+    asked = spark.createDataFrame([(min(n, 7), text) for n, text in enumerate(texts)], "query_id int, text string")
+    read = read_requests(index, asked)
+    assert read.required
+    words = read.leaves.where("kind = 'word'")
+    assert {(r.query_id, r.token) for r in _leading(index, words).collect()} == {(0, "rare"), (1, "rare"), (4, "rare"), (5, "nowhere")}
+    got = {}
+    for r in batch_pages(index, asked.where("query_id < 6")).collect():
+        got.setdefault(r.query_id, set()).add(r.id)
+    assert got.pop(2) | got.pop(3) <= set(range(30)) | {99}
+    assert got == {0: {3, 5}, 1: {3}, 4: {3, 5}}
+    assert {r.query_id: r.total for r in batch_totals(index, asked.where("query_id < 6")).collect()} == {0: 2, 1: 1, 2: 31, 3: 30, 4: 2, 5: 0}
+
+
+def test_only_asked_words_of_phrases_are_exchanged(spark, stored):
+    asked = spark.createDataFrame([(1, '"harbour repair"'), (2, '"the town" | harb*')], "query_id int, text string")
+    pages = batch.batch_pages(stored[1], asked)
+    assert "LeftSemi" in plan_of(pages)
+    assert not re.search(r"hashpartitioning\(query_id#\d+, id#", plan_of(pages))
+    for number, text in ((1, '"harbour repair"'), (2, '"the town" | harb*')):
+        want = search_gazettes(stored[0], SearchRequest(text), keep=("id", "score")).page.collect()
+        got = sorted((r["rank"], round(r.score, 6)) for r in pages.where(f"query_id = {number}").collect())
+        assert [s for _, s in got] == [round(r.score, 6) for r in want]
+
+
+def test_stored_stems_move_no_postings_and_leave_nothing(spark, docs, tmp_path):
+    from pathlib import Path
+
+    from recordsearch.functions.text import portuguese_analysis
+
+    def exchanged():
+        folders = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()
+        return {f.name for d in folders for f in Path(d).rglob("shuffle_*.data")}
+
+    corpus, before = Corpus(docs.unionAll(docs.where("id < 9")), key="id", plain=portuguese_analysis()), exchanged()
+    kept = spark.conf.get("spark.sql.requireAllClusterKeysForCoPartition")
+    index = write_index(corpus, str(tmp_path), "stems", buckets=4)
+    assert not exchanged() - before
+    assert spark.conf.get("spark.sql.requireAllClusterKeysForCoPartition") == kept
+    assert not (tmp_path / "stems" / "plain_parts").exists() and not spark.catalog.tableExists("stems_plain_parts")
+    plan = build_index(corpus)
+    for mine, other in ((index.plain, plan.plain), (index.exact, plan.exact)):
+        both = [sorted(map(str, side.postings.select("token", "id", "length", "positions").collect())) for side in (mine, other)]
+        assert both[0] == both[1] and both[0]
+        assert sorted(map(tuple, mine.words.select("token", "doc_freq").collect())) == sorted(map(tuple, other.words.select("token", "doc_freq").collect()))
